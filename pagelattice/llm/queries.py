@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, token_histogram
+from . import bpe, minhash_dedup, mixing, token_histogram
 from .common import read
 
 #: File of the vocabulary; a parameter of the operators.
@@ -23,6 +23,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), bpe.Bpe(vocabulary()))
 
@@ -33,10 +37,12 @@ def op9_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op9_token_histogram": op9_token_histogram,
 }
 
 ORACLES: dict[str, str] = {
     "op2_source_mixing": mixing.ORACLE,
+    "op3_minhash_near_dedup": minhash_dedup.ORACLE,
 }
