@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash_dedup, mixing, token_histogram
+from . import bpe, minhash_dedup, mixing, quality_rules, token_histogram
 from .common import read
 
 #: File of the vocabulary; a parameter of the operators.
@@ -19,6 +19,11 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_robust_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = quality_rules.scores(read(spark, sf_dir, "documents"))
+    return s.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -36,6 +41,7 @@ def op9_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_robust_outlier_rules": op1_robust_outlier_rules,
     "op2_source_mixing": op2_source_mixing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
