@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash_dedup, mixing, quality_rules, token_histogram
+from . import bpe, embedding_dedup, minhash_dedup, mixing, quality_rules, token_histogram, warc_index
 from .common import read
 
 #: File of the vocabulary; a parameter of the operators.
@@ -40,15 +40,28 @@ def op9_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_histogram.histogram(token_histogram.lengths(read(spark, sf_dir, "documents"), bpe.Bpe(vocabulary())))
 
 
+def op7_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = warc_index.archive_and_read(read(spark, sf_dir, "pages"))
+    return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_robust_outlier_rules": op1_robust_outlier_rules,
     "op2_source_mixing": op2_source_mixing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op7_warc_index_first": op7_warc_index_first,
     "op9_token_histogram": op9_token_histogram,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_source_mixing": mixing.ORACLE,
     "op3_minhash_near_dedup": minhash_dedup.ORACLE,
+    "op7_warc_index_first": warc_index.ORACLE,
+    "op10_embedding_near_dedup": embedding_dedup.ORACLE,
 }
