@@ -104,27 +104,47 @@ def _verified(pairs: DataFrame, payload: Callable[[DataFrame], DataFrame], alike
     return j.select("u", "v", "pu", "pv").mapInArrow(run, "u long, v long")
 
 
-def link(items: DataFrame, payload: Callable[[DataFrame], DataFrame], alike: Callable[[list, list], list], floor: float) -> DataFrame:
+def _sketched(ids: DataFrame, payload: Callable[[DataFrame], DataFrame], short_of: Callable[[list], np.ndarray]) -> DataFrame:
+    """Short sketches (fp, sk) of given items, made from their full sets."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array([r.tobytes() for r in short_of(b.column("payload").to_pylist())], pa.binary())], names=["fp", "sk"])
+
+    return payload(ids).select("fp", "payload").mapInArrow(run, "fp long, sk binary").dropDuplicates(["fp"])
+
+
+def link(items: DataFrame, payload: Callable[[DataFrame], DataFrame], alike: Callable[[list, list], list], floor: float, short_of: Callable[[list], np.ndarray] | None = None) -> DataFrame:
     """Components of near-equal items: (id, component), for items that have a link.
 
-    items: staged rows (fp, bands array<long>, sk binary), equal items any number of times. payload(ids)
-    gives (fp, payload binary) for a table of fp, once each. alike(list, list) tells for payloads of pairs
-    whether they are linked. floor: agreement of sketches under which a pair isn't verified; far enough
-    below the threshold that a linked pair comes under it with a probability below one in a million.
+    items: staged rows (fp, bands array<long>, sk binary), equal items any number of times; without sk,
+    ``short_of`` makes short sketches from payloads where they are needed. payload(ids) gives
+    (fp, payload binary) for a table of fp. alike(list, list) tells for payloads of pairs whether they are
+    linked. floor: agreement of sketches under which a pair isn't verified; far enough below the threshold
+    that a linked pair comes under it with a probability below one in a million.
     """
     rows = items.select("fp", F.explode("bands").alias("key"))
     least = rows.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("key", "low")
     least = staged(least)
     members = staged(rows.join(checked_broadcast(least), "key").distinct())
     stars = members.where("fp <> low").select(F.col("low").alias("u"), F.col("fp").alias("v")).distinct()
-    first = staged(_verified(staged(_estimate(stars, items, floor)), payload, alike))
+    stars = staged(_estimate(stars, items, floor) if short_of is None else stars)
+    first = staged(_verified(stars, payload, alike))
     found = components(first)
-    c = members.join(found.withColumnRenamed("id", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("component"))
-    c = staged(c)
+    c = members.join(checked_broadcast(found).withColumnRenamed("id", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("component"))
     mixed = c.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a < b and n > 2").select("key", "n")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_ = c.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    one = items.groupBy("fp").agg(F.first("sk").alias("sk"))
+    open_ = staged(c.join(mixed, "key"))
+    if open_.isEmpty():
+        return found
+    if short_of is None:
+        one = items.select("fp", "sk").join(open_.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("sk").alias("sk"))
+    else:
+        one = _sketched(open_.select("fp").distinct(), payload, short_of)
+    open_ = open_.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     second = staged(_compare(open_.join(one, "fp"), floor))
+    if second.isEmpty():
+        return found
     second = staged(_verified(second, payload, alike))
     return components(first.union(second))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, minhash_dedup, mixing, quality_rules, token_histogram, warc_index
+from . import bpe, embedding_dedup, line_dedup, minhash_dedup, mixing, quality_rules, rule_classifier, token_histogram, toxicity, warc_index
 from .common import read
 
 #: File of the vocabulary; a parameter of the operators.
@@ -36,10 +37,25 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), bpe.Bpe(vocabulary()))
 
 
+def op8_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_histogram.histogram(token_histogram.lengths(read(spark, sf_dir, "documents"), bpe.Bpe(vocabulary())))
 
 
+def op5_rule_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return rule_classifier.scores(docs, rule_classifier.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_dedup.deduplicated(read(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_lines", "n_dropped", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op7_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = warc_index.archive_and_read(read(spark, sf_dir, "pages"))
     return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -54,7 +70,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_rule_quality_classifier": op5_rule_quality_classifier,
+    "op6_fuzzy_line_dedup": op6_fuzzy_line_dedup,
     "op7_warc_index_first": op7_warc_index_first,
+    "op8_lexicon_toxicity": op8_lexicon_toxicity,
     "op9_token_histogram": op9_token_histogram,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
