@@ -1,4 +1,91 @@
-"""All queries of the engine's own operators, with their SQL."""
+"""All queries of the engine's own operators: name -> (spark, sf_dir) -> DataFrame, with their SQL where it can express them."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import backlinks as B
+from .operators import documents as D
+from .operators import findings as N
+from .operators import hosts as S
+from .operators import links as L
+from .operators import models as M
+from .operators import pages as P
+from .oracles import ORACLES  # noqa: F401
+from .sources.tables import literal, load
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _on(table: str, f: Callable[..., DataFrame]) -> Query:
+    return lambda spark, d: f(load(spark, d, table))
+
+
+def _lit(f: Callable[..., DataFrame], *names: str) -> Query:
+    return lambda spark, d: f(*(literal(spark, n) for n in names))
+
+
+def _findings_of_pages(pages: DataFrame) -> DataFrame:
+    return P.length_findings(pages).select("severity").unionByName(P.thin_content(pages).select("severity")).unionByName(P.schema_findings(pages).select("severity"))
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    """Links between pages of a folder, as (src, dst) of URLs."""
+    pages = load(spark, d, "pages")
+    return L.edges(pages).join(pages.select("page_id", F.lit(1).alias("x")), "page_id").join(pages.select("page_id", L.U.normal_b(F.col("url")).alias("src")), "page_id").select("src", F.col("target").alias("dst"))
+
+
+def reach_depth(spark: SparkSession, d: str) -> DataFrame:
+    """Least number of links from the lowest URL of each host."""
+    pages = load(spark, d, "pages")
+    seeds = pages.groupBy(L.U.host(F.col("url"))).agg(F.min(L.U.normal_b(F.col("url"))).alias("node"))
+    return L.reach(_edges(spark, d), seeds, 3).groupBy("depth").agg(F.count("*").alias("nodes"))
+
+
+def onpage_overall(spark: SparkSession, d: str) -> DataFrame:
+    """Section scores of each host from its pages, and their weighted mean."""
+    pages = load(spark, d, "pages")
+    host = pages.select("page_id", L.U.host(F.col("url")).alias("site"))
+    parts = {"onpage": P.onpage_scores, "image_seo": P.image_scores, "social": P.social_scores, "schema_validation": P.schema_scores, "local_signals": P.local_scores}
+    rows = None
+    for section, f in parts.items():
+        one = f(pages).select("page_id", F.lit(section).alias("section"), F.col("score").cast("double").alias("score"))
+        rows = one if rows is None else rows.unionByName(one)
+    s = rows.join(host, "page_id").groupBy("site", "section").agg(F.round(F.avg("score"), 6).alias("score"))
+    return N.overall(s)
+
+
+QUERIES: dict[str, Query] = {
+    # pages
+    "thin_content": _on("pages", P.thin_content), "host_word_stats": _on("pages", P.host_word_stats), "page_facts": _on("pages", P.facts), "title_meta_lengths": _on("pages", P.length_findings), "length_scores": _on("pages", P.length_scores), "onpage_scores": _on("pages", P.onpage_scores),
+    "title_uniqueness": _on("pages", lambda p: P.uniqueness(p, "title")), "h1_uniqueness": _on("pages", lambda p: P.uniqueness(p, "first_h1")), "template_groups": _on("pages", P.template_groups), "severity_totals": _on("pages", lambda p: N.severity_totals(_findings_of_pages(p))),
+    "platform_detection": _on("pages", P.platforms), "soft_404_pages": _on("pages", lambda p: S.soft_404(P.facts(p))), "onpage_overall": onpage_overall,
+    # page rules on literal heads, which have what crawled pages lack
+    "head_facts": _lit(lambda h: P.facts(h), "head_html"), "image_list": _lit(P.images, "head_html"), "image_scores": _lit(P.image_scores, "head_html"), "social_checks": _lit(P.social_checks, "head_html"), "social_scores": _lit(P.social_scores, "head_html"), "social_previews": _lit(P.social_previews, "head_html"),
+    "json_ld_objects": _lit(lambda h: P.json_ld(h).drop("raw"), "head_html"), "schema_findings": _lit(P.schema_findings, "head_html"), "schema_scores": _lit(P.schema_scores, "head_html"), "local_scores": _lit(P.local_scores, "head_html"), "platform_hints": _lit(P.platforms, "page_html_hint"),
+    # URLs and links
+    "url_parts": _on("pages", L.url_parts), "url_normal_forms": _on("pages", L.url_normal_forms), "url_hygiene_classes": _on("pages", L.hygiene_classes), "url_standards": _on("pages", L.url_standards), "http_vs_https": _on("pages", L.scheme_mix), "www_overlap": _on("pages", L.www_overlap),
+    "link_edges": _on("pages", L.edges), "anchor_top20": _on("pages", L.anchor_top), "out_degree_stats": _on("pages", L.out_degree_stats), "in_out_degree": _on("pages", L.degrees), "orphans_zero_in": _on("pages", L.unlinked), "orphans_le1": _on("pages", lambda p: L.orphans(p, 1)), "dead_ends": _on("pages", L.dead_ends),
+    "top_linked": _on("pages", L.top_linked), "broken_targets": _on("pages", L.broken_targets), "external_domains": _on("pages", L.external_domains), "anchor_diversity": _on("pages", L.anchor_diversity), "template_cross_links": _on("pages", L.template_cross_links), "reach_depth": reach_depth, "redirect_chains": _lit(L.chains, "redirect"),
+    # documents
+    "exact_dups": _on("documents", D.exact_groups), "thin_texts": _on("documents", D.thin_texts), "near_dups_minhash": _on("documents", D.near_pairs), "boilerplate_ratio": _on("documents", D.boilerplate), "readability_a": _on("documents", D.readability_a), "readability_b": _on("documents", D.readability_b), "reading_levels": _on("documents", D.reading_levels),
+    "keyword_ngrams": _on("documents", D.keywords), "long_sentences_topk": _on("documents", D.long_sentences), "sentence_rewrites": _on("documents", D.sentence_rewrites), "citable_passages": _on("documents", D.citable_passages), "keyword_density": _on("documents", D.keyword_density),
+    "benchmark_overlap": lambda spark, d: D.shingle_overlap(load(spark, d, "documents"), load(spark, d, "benchmark")), "quality_by_readability": lambda spark, d: D.quality_by_readability(load(spark, d, "documents"), load(spark, d, "labels")),
+    # hosts
+    "robots_parse": _lit(S.robots_rules, "robots_txt"), "ai_crawler_status": _lit(S.ai_crawler_status, "robots_txt"), "robots_scores": _lit(S.robots_scores, "robots_txt"), "crawl_delays": _lit(S.crawl_delays, "robots_txt"), "sitemap_locs": _lit(S.sitemap_locs, "sitemap_xml"), "sitemap_pages": _lit(S.sitemap_pages, "sitemap_xml"),
+    "sitemap_hygiene": _lit(S.sitemap_hygiene, "sitemap_xml"), "sitemap_vs_crawl": lambda spark, d: S.sitemap_gaps(literal(spark, "sitemap_xml"), load(spark, d, "pages")), "url_health": _lit(S.url_health_summary, "url_status"), "broken_link_score": _lit(S.broken_link_score, "url_status"), "llms_items": _lit(S.llms_items, "llms_txt"), "llms_scores": _lit(S.llms_scores, "llms_txt"),
+    "security_scores": _lit(S.security_scores, "http_response"), "redirect_findings": _lit(S.redirect_findings, "http_response"), "redirect_map_check": _lit(S.redirect_map_check, "redirect_map"), "canonical_audit": _lit(S.canonical_audit, "canonical_page", "http_response"), "canonical_scores": _lit(S.canonical_scores, "canonical_page", "http_response"), "canonical_groups": _lit(S.canonical_groups, "canonical_page"),
+    "hreflang_codes": _lit(S.hreflang_codes, "hreflang"), "hreflang_return_tags": _lit(S.hreflang_return_tags, "hreflang"), "hreflang_pages": _lit(S.hreflang_pages, "hreflang"), "cwv_p75_rating": _lit(S.vitals_p75, "cwv"), "psi_facts": _lit(S.psi_facts, "psi"), "same_as_platforms": _lit(S.same_as, "entity"), "entity_scores": _lit(S.entity_scores, "entity"), "indexnow_scores": _lit(S.indexnow_scores, "indexnow"),
+    # backlinks
+    "backlink_overview": _lit(B.overview, "backlink"), "dr_buckets": _lit(B.dr_buckets, "backlink"), "anchor_mix": _lit(B.anchor_mix, "backlink"), "top_anchors": _lit(B.top_anchors, "backlink"), "tld_mix": _lit(B.tld_mix, "backlink"), "domain_ratings": _lit(B.domain_ratings, "backlink"), "top_targets": _lit(B.top_targets, "backlink"),
+    "toxic_links": _lit(B.toxic_links, "backlink"), "toxic_ratio": _lit(B.toxic_ratio, "backlink"), "backlink_health": _lit(B.health, "backlink"), "backlink_issues": _lit(B.health_issues, "backlink"), "disavow_lines": _lit(B.disavow, "backlink"), "anchor_naturalness": _lit(B.anchor_naturalness, "backlink"),
+    "competitor_gap": _lit(B.competitor_gap, "backlink", "competitor_backlink"), "gap_opportunities": _lit(B.gap_opportunities, "backlink", "competitor_backlink"), "link_rollup_by_nation": lambda spark, d: M.gap_by_region(load(spark, d, "supplier"), load(spark, d, "nation"), load(spark, d, "lineitem")),
+    # findings and scores
+    "verify_findings": _lit(N.verified, "finding", "metric_context"), "assertion_eval": lambda spark, d: N.assertion_results(load(spark, d, "conversations"), literal(spark, "assertion")), "overall_score": _lit(N.overall, "section_score"), "weighted_grade": _lit(N.weighted_grades, "grade", "grade_weight"), "diagnosis_matrix": _lit(N.diagnosis, "grade", "grade_weight"),
+    # models
+    "keyword_opportunity": _lit(M.keyword_opportunity, "keyword"), "ctr_band_join": _lit(M.ctr_gap, "keyword", "ctr_band"), "query_triage": _lit(M.query_triage, "keyword"), "traffic_drop_7d": _on("events", M.traffic_drops), "content_decay": _on("events", M.content_decay), "velocity_cv": _on("events", M.velocity_cv),
+    "sessions": _on("events", M.sessions), "engaged_sessions": _on("events", M.engagement), "event_log_report": _on("events", M.event_log_report), "event_value_p75": _on("events", M.value_p75), "route_request": _on("conversations", M.routed),
+}
