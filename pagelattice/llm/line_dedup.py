@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import checked_broadcast, small_batches, staged
 from .neardup import link
-from .sketch import STEP, bands, mix, prefix, short, sketch, stretch
+from .sketch import STEP, bands, distinct, mix, prefix, short, sketch, stretch
 
 #: Characters of a shingle and the least Jaccard similarity of linked lines, in percent.
 K, PERCENT = 8, 80
@@ -111,7 +111,11 @@ def dropped(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     def short_of(texts: list[bytes]) -> np.ndarray:
         return short(sketch(*shingles([t.decode("utf-8", "replace") for t in texts], k), BANDS * ROWS))
 
-    found = link(all_.select("fp", "bands"), payload, alike(k, percent), FLOOR, short_of)
+    def sets_of(texts: list[bytes]) -> list[np.ndarray]:
+        values, at = distinct(*shingles([t.decode("utf-8", "replace") for t in texts], k))
+        return [values[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+    found = link(all_.select("fp", "bands"), payload, alike(k, percent), sets_of, percent, FLOOR, short_of)
     at = all_.select("doc_id", "h", "pos", "fp").join(checked_broadcast(found).withColumnRenamed("id", "fp"), "fp", "left")
     at = at.select("doc_id", "h", "pos", F.coalesce("component", "fp").alias("root"))
     first = at.groupBy("root").agg(F.min(F.struct("doc_id", "pos", "h")).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")

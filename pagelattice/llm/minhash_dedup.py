@@ -95,6 +95,10 @@ def _payload(docs: DataFrame, k: int):
     return sets
 
 
+def _numbers(payloads: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in payloads]
+
+
 def alike(percent: int):
     """Tells for sorted sets whether 100 * intersection >= percent * union."""
 
@@ -125,7 +129,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
         wanted = by.join(checked_broadcast(ids), "fp").where("doc_id is not null").select("doc_id", "fp")
         return _payload(docs, k)(wanted)
 
-    found = link(some.select("fp", "bands", "sk"), payload, alike(percent), FLOOR)
+    found = link(some.select("fp", "bands", "sk"), payload, alike(percent), _numbers, percent, FLOOR)
     d = all_.select("doc_id", "n_shingles", "fp").join(found.withColumnRenamed("id", "fp"), "fp", "left")
     d = staged(d.select("doc_id", "n_shingles", F.coalesce("component", "fp").alias("root")))
     least = d.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")

@@ -6,7 +6,9 @@ into pairs:
 1. Every item is compared with the least item of each of its buckets. What passes on the full sets is
    joined to components.
 2. In buckets that still hold different components, items of different components are compared by their
-   sketches, in blocks of bounded size, and what comes near the threshold is verified on the full sets.
+   sketches, in blocks of bounded size. Components that come near the threshold form clusters, and items of
+   different components of a cluster are compared on the full sets, in pairs of blocks. Tasks return spanning
+   links, never all pairs.
 
 So each pair that shares a bucket is either in one component already or has been compared.
 """
@@ -24,6 +26,8 @@ from .common import checked_broadcast, components, staged
 
 #: Items of a bucket that one task compares with each other at most; larger buckets go in pairs of blocks.
 BLOCK = 256
+#: Columns of a membership matrix that are multiplied at once.
+WIDE = 8192
 
 
 def _estimate(pairs: DataFrame, items: DataFrame, floor: float) -> DataFrame:
@@ -42,33 +46,48 @@ def _estimate(pairs: DataFrame, items: DataFrame, floor: float) -> DataFrame:
     return j.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def _compare(rows: DataFrame, floor: float) -> DataFrame:
-    """Pairs (u, v) of different components that share a bucket and whose sketches agree in ``floor`` of the coordinates.
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least index that each of n nodes reaches over links i - j."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _close(rows: DataFrame, floor: float) -> DataFrame:
+    """Links (u, v) that span the components which may be near each other: items of both share a bucket and their sketches agree in ``floor`` of the coordinates.
 
     rows: key, fp, component, sk, block, other. Rows of one (key, pair of blocks) are neighbours; they are
     compared with the next one, the one after it, and so on, all groups of a batch at once.
     """
     grouped = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    grouped = grouped.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "fp").select("key", "lo", "hi", "block", "fp", "component", "sk")
+    grouped = grouped.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "fp").select("key", "lo", "hi", "block", "component", "sk")
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        k, lo, hi, block, fp, comp = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "block", "fp", "component"))
+    def spans(t: pa.Table) -> pa.RecordBatch:
+        k, lo, hi, block, comp = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "block", "component"))
         sk = np.frombuffer(b"".join(t.column("sk").to_pylist()), np.uint8).reshape(len(k), -1)
+        names, c = np.unique(comp, return_inverse=True)
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
         starts = np.flatnonzero(new)
         ends = np.repeat(np.append(starts[1:], len(k)), np.diff(np.append(starts, len(k))))
-        found, i, lag = [], np.arange(len(k)), 1
+        label, i, lag = np.arange(len(names)), np.arange(len(k)), 1
         while len(i := i[i + lag < ends[i]]):
             for part in np.array_split(i, len(i) // 20_000 + 1):
                 j = part + lag
-                ask = (comp[part] != comp[j]) & ((lo[part] == hi[part]) | (block[part] != block[j]))
-                a, b = part[ask], j[ask]
-                near = (sk[a] == sk[b]).mean(axis=1) >= floor if len(a) else np.zeros(0, bool)
-                found.append(np.stack([fp[a[near]], fp[b[near]]]))
+                ask = (label[c[part]] != label[c[j]]) & ((lo[part] == hi[part]) | (block[part] != block[j]))
+                x, y = part[ask], j[ask]
+                near = (sk[x] == sk[y]).mean(axis=1) >= floor if len(x) else np.zeros(0, bool)
+                if near.any():
+                    label = forest(len(names), np.concatenate([np.arange(len(names)), c[x[near]]]), np.concatenate([label, c[y[near]]]))
             lag += 1
-        uv = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(uv[0], pa.int64()), pa.array(uv[1], pa.int64())], names=["u", "v"])
+        child = np.flatnonzero(label != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[child], pa.int64()), pa.array(names[label[child]], pa.int64())], names=["u", "v"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -82,12 +101,59 @@ def _compare(rows: DataFrame, floor: float) -> DataFrame:
             k, lo, hi = (t.column(c).to_numpy() for c in ("key", "lo", "hi"))
             last = int(np.flatnonzero((k != k[-1]) | (lo != lo[-1]) | (hi != hi[-1])).max(initial=-1)) + 1  # the last group may go on
             if last:
-                yield pairs(t.slice(0, last))
+                yield spans(t.slice(0, last))
             held = t.slice(last).combine_chunks().to_batches()
         if held:
-            yield pairs(pa.Table.from_batches(held))
-
-    return grouped.mapInArrow(run, "u long, v long").distinct()
+            yield spans(pa.Table.from_batches(held))
+
+    return grouped.mapInArrow(run, "u long, v long")
+
+
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each two of some sets have 100 * intersection >= percent * union, from exact counts by matrix products."""
+    n = np.array([len(x) for x in sets], np.int64)
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    rank = np.cumsum(times > 1) - 1  # values that one set alone has are in no intersection
+    use = times[column] > 1
+    row, at = row[use], rank[column[use]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    both = np.zeros((len(sets), len(sets)), np.float64)
+    for lo in range(0, int(rank[-1]) + 1 if len(rank) else 0, WIDE):
+        a, b = np.searchsorted(at, [lo, lo + WIDE])
+        x = np.zeros((len(sets), WIDE), np.float32)
+        x[row[a:b], at[a:b] - lo] = 1
+        both += x @ x.T
+    return 100 * both >= percent * (n[:, None] + n[None, :] - both)
+
+
+def _tiles(members: DataFrame, sets: DataFrame, sets_of: Callable[[list], list], percent: int) -> DataFrame:
+    """Spanning links (u, v) between items of different components of a cluster, decided on the full sets.
+
+    members: cluster, component, fp. Items are dealt into blocks; a large component has blocks of its own,
+    which need no comparison with each other, so that work grows with what isn't linked yet.
+    """
+    c = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    few = c.where(F.col("n") < BLOCK).groupBy("cluster").agg(F.sum("n").alias("few"))
+    m = members.join(c, ["cluster", "component"]).join(few, "cluster", "left")
+    share = lambda col, n: F.pmod(F.xxhash64(col), F.ceil(n / BLOCK).cast("long"))
+    big = F.col("n") >= BLOCK
+    m = staged(m.select("cluster", "component", "fp", F.when(big, F.col("component")).alias("own"), F.when(big, F.xxhash64("component", share("fp", F.col("n")))).otherwise(share("component", F.col("few"))).alias("block")))
+    b = staged(m.select("cluster", "block", "own").distinct())
+    x, y = b.alias("x"), b.alias("y")
+    pairs = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False)))
+    pairs = pairs.select("x.cluster", F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"), F.xxhash64("x.cluster", "x.block", "y.block").alias("pair"))
+    rows = m.join(pairs, ["cluster", "block"]).join(sets, "fp").select("pair", "fp", "component", "payload")
+
+    def run(t: pa.Table) -> pa.Table:
+        fp, comp = t.column("fp").to_numpy(), t.column("component").to_numpy()
+        near = linked(sets_of(t.column("payload").to_pylist()), percent) & (comp[:, None] != comp[None, :])
+        label = forest(len(fp), *np.nonzero(near))
+        child = np.flatnonzero(label != np.arange(len(fp)))
+        return pa.table({"u": pa.array(fp[child], pa.int64()), "v": pa.array(fp[label[child]], pa.int64())})
+
+    return rows.groupBy("pair").applyInArrow(run, "u long, v long")
 
 
 def _verified(pairs: DataFrame, payload: Callable[[DataFrame], DataFrame], alike: Callable[[list, list], list]) -> DataFrame:
@@ -115,13 +181,13 @@ def _sketched(ids: DataFrame, payload: Callable[[DataFrame], DataFrame], short_o
     return payload(ids).select("fp", "payload").mapInArrow(run, "fp long, sk binary").dropDuplicates(["fp"])
 
 
-def link(items: DataFrame, payload: Callable[[DataFrame], DataFrame], alike: Callable[[list, list], list], floor: float, short_of: Callable[[list], np.ndarray] | None = None) -> DataFrame:
+def link(items: DataFrame, payload: Callable[[DataFrame], DataFrame], alike: Callable[[list, list], list], sets_of: Callable[[list], list], percent: int, floor: float, short_of: Callable[[list], np.ndarray] | None = None) -> DataFrame:
     """Components of near-equal items: (id, component), for items that have a link.
 
     items: staged rows (fp, bands array<long>, sk binary), equal items any number of times; without sk,
     ``short_of`` makes short sketches from payloads where they are needed. payload(ids) gives
     (fp, payload binary) for a table of fp. alike(list, list) tells for payloads of pairs whether they are
-    linked. floor: agreement of sketches under which a pair isn't verified; far enough below the threshold
+    linked; sets_of(list) gives the payloads' sets as numbers, for the same rule by ``percent``. floor: agreement of sketches under which a pair isn't verified; far enough below the threshold
     that a linked pair comes under it with a probability below one in a million.
     """
     rows = items.select("fp", F.explode("bands").alias("key"))
@@ -142,9 +208,11 @@ def link(items: DataFrame, payload: Callable[[DataFrame], DataFrame], alike: Cal
         one = items.select("fp", "sk").join(open_.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("sk").alias("sk"))
     else:
         one = _sketched(open_.select("fp").distinct(), payload, short_of)
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    second = staged(_compare(open_.join(one, "fp"), floor))
-    if second.isEmpty():
+    dealt = open_.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    clusters = components(_close(dealt.join(one, "fp"), floor)).select(F.col("id").alias("component"), F.col("component").alias("cluster"))
+    near = staged(open_.select("component", "fp").distinct().join(checked_broadcast(clusters), "component").select("cluster", "component", "fp"))
+    if near.isEmpty():
         return found
-    second = staged(_verified(second, payload, alike))
+    sets = staged(payload(near.select("fp").distinct()).select("fp", "payload"))
+    second = staged(_tiles(near, sets.dropDuplicates(["fp"]), sets_of, percent))
     return components(first.union(second))
