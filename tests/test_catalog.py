@@ -42,7 +42,7 @@ def test_runs(spark, name):
 def test_verified_findings(spark):
     got = {r.key: (r.severity, r.merged, r.sources) for r in catalog.QUERIES["verify_findings"](spark, "").collect()}
     assert got["missing-required:security"] == ("Critical", 2, "a,b")  # a key ends at the first full stop
-    assert got["community-profile-missing:code of conduct"] == ("Critical", 2, "a")
+    assert got["community-profile-missing:code of conduct"] == ("Critical", 2, "a,b")
     assert not any("no code examples" in k for k in got)
 
 
