@@ -26,6 +26,8 @@ from .common import checked_broadcast, components, staged
 
 #: Items of a bucket that one task compares with each other at most; larger buckets go in pairs of blocks.
 BLOCK = 256
+#: The same for sketches, which are shorter.
+SKETCHES = 512
 #: Columns of a membership matrix that are multiplied at once.
 WIDE = 8192
 
@@ -95,7 +97,7 @@ def _close(rows: DataFrame, floor: float) -> DataFrame:
             if not b.num_rows:
                 continue
             held.append(b)
-            if sum(x.num_rows for x in held) < 4 * BLOCK:
+            if sum(x.num_rows for x in held) < 4 * SKETCHES:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
             k, lo, hi = (t.column(c).to_numpy() for c in ("key", "lo", "hi"))
@@ -200,7 +202,7 @@ def link(items: DataFrame, payload: Callable[[DataFrame], DataFrame], alike: Cal
     found = components(first)
     c = members.join(checked_broadcast(found).withColumnRenamed("id", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("component"))
     mixed = c.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a < b and n > 2").select("key", "n")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("n") / SKETCHES).cast("int")
     open_ = staged(c.join(mixed, "key"))
     if open_.isEmpty():
         return found
@@ -208,8 +210,8 @@ def link(items: DataFrame, payload: Callable[[DataFrame], DataFrame], alike: Cal
         one = items.select("fp", "sk").join(open_.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("sk").alias("sk"))
     else:
         one = _sketched(open_.select("fp").distinct(), payload, short_of)
-    dealt = open_.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    clusters = components(_close(dealt.join(one, "fp"), floor)).select(F.col("id").alias("component"), F.col("component").alias("cluster"))
+    dealt = open_.join(one, "fp").withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    clusters = components(_close(dealt, floor)).select(F.col("id").alias("component"), F.col("component").alias("cluster"))
     near = staged(open_.select("component", "fp").distinct().join(checked_broadcast(clusters), "component").select("cluster", "component", "fp"))
     if near.isEmpty():
         return found

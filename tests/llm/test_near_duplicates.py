@@ -52,6 +52,7 @@ def brute(rows, k=5, percent=75):
 @pytest.mark.parametrize("block", [256, 16])
 def test_documents(spark, block, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "SKETCHES", block)
     rows = fixture()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     want = brute(rows)
