@@ -58,7 +58,8 @@ def _spans(lines: list[str]):
 
 def _split(docs: DataFrame, *keep) -> DataFrame:
     """(keep, pos, line) of lines that are not blank, as they are compared."""
-    d = docs.select(*keep, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", F.lower(F.trim("line")))
+    # the outer form: else the optimizer would split once more to filter on the number of lines
+    d = docs.select(*keep, F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", F.lower(F.trim("line")))
     return d.where("line <> ''")
 
 

@@ -196,6 +196,10 @@ def link(items: DataFrame, payload: Callable[[DataFrame], DataFrame], alike: Cal
     least = rows.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("key", "low")
     least = staged(least)
     members = staged(rows.join(checked_broadcast(least), "key").distinct())
+    if short_of is not None:
+        # payloads are small and a scan for them is not: fetch those of all members of shared buckets once
+        pool = staged(payload(members.select("fp").distinct()).select("fp", "payload"))
+        payload = lambda ids: pool.join(checked_broadcast(ids), "fp")
     stars = members.where("fp <> low").select(F.col("low").alias("u"), F.col("fp").alias("v")).distinct()
     stars = staged(_estimate(stars, items, floor) if short_of is None else stars)
     first = staged(_verified(stars, payload, alike))
