@@ -21,12 +21,13 @@ from .common import SPACE, checked_broadcast, staged
 WINDOW = 8
 SHARE = 0.75
 STEPS = 4
-#: Probability that the vector of a clean document passes the cut, if vectors were normal.
-TAIL = 1e-8
+#: Probability that the vector of a clean document is beyond the cut, if vectors were normal.
+TAIL = 1e-3
 #: Groups with fewer rows are pooled by language; pools with fewer rows are one last pool.
 LEAST_ROWS = 50
-#: Least standard deviation of each transformed statistic: a statistic that hardly varies must not decide alone.
-FLOORS = (0.9, 0.2, 0.6, 0.25, 0.25)
+#: Least standard deviation of each transformed statistic: sets the scale where clean texts vary less, and keeps the covariance regular.
+#: Each statistic alone can pass the cut; the last one only where the base rule lets over 82 % repeated words through.
+FLOORS = (0.2, 0.1, 0.3, 0.2, 0.2)
 D = len(FLOORS)
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 #: Bins of the logarithm of a squared distance.

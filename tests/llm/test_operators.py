@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagelattice.llm import bpe, embedding_dedup, mixing, quality_rules, queries, rule_classifier, token_histogram, toxicity, warc_index
 
@@ -49,6 +50,22 @@ def test_outliers_are_rejected_and_clean_kept(spark):
     assert not any(got[i] for i, *_ in junk) and sum(got[i] for i, *_ in clean) >= 299
 
 
+def test_outliers_of_each_statistic_are_rejected(spark):
+    rng = random.Random(7)
+    word = lambda: "w" * rng.randrange(2, 9) + str(rng.randrange(10**4))
+    text = lambda n, f=word, end=" ": end.join(f() for _ in range(n))
+    few = [word() for _ in range(6)]
+    one = text(30)
+    planted = {
+        "many words": text(20_000), "long words": text(150, lambda: word() + "v" * 12), "symbols": text(150, lambda: word() + "|" * (rng.random() < 0.25)), "lines": text(150, lambda: rng.choice(few), "\n"), "repeated": " ".join([one] * 8),
+    }
+    rows = [(i, text(rng.randrange(40, 400)), "en", "s", 0) for i in range(300)] + [(1000 + i, t, "en", "s", 0) for i, t in enumerate(planted.values())]
+    got = {r.doc_id: r for r in quality_rules.scores(frame(spark, rows), base_failed=F.lit(False)).collect()}
+    assert {name: got[1000 + i].kept for i, name in enumerate(planted)} == dict.fromkeys(planted, False)
+    assert sum(got[i].kept for i in range(300)) >= 297
+    assert got[1003].n_repeat_words < 0.3 * got[1003].n_words
+
+
 def test_mahalanobis_matches_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 5)) * [1, 0.5, 2, 1, 1]
