@@ -17,12 +17,14 @@ from .common import checked_broadcast, small_batches, staged
 from .neardup import link
 from .sketch import STEP, bands, distinct, mix, prefix, short, sketch, stretch
 
-#: Characters of a shingle and the least Jaccard similarity of linked lines, in percent.
-K, PERCENT = 8, 80
-#: A pair at the threshold is no candidate with a probability of (1 - 0.8**4)**14, 6 in 10,000.
-BANDS, ROWS = 14, 4
-#: Agreement of 56 coordinates below which lines of a crowded bucket aren't verified: over 5 standard deviations under 0.8.
-FLOOR = 0.5
+#: Characters of a shingle and the least Jaccard similarity of linked lines, in percent. One edited character in a
+#: line of 40 has (37 - 4) / (37 + 4), just over 0.80; longer shingles would lose it.
+K, PERCENT = 4, 80
+#: A pair at the threshold is no candidate with a probability of (1 - 0.8**7)**32, 5 in 10,000. Short shingles make unlike lines share
+#: buckets; fewer rows a band would let many more of them do so.
+BANDS, ROWS = 32, 7
+#: Agreement of 224 coordinates below which lines of a crowded bucket aren't verified: over 5 standard deviations under 0.8.
+FLOOR = 0.65
 CHUNK = 300_000
 
 _TABLE: list[np.ndarray] = []

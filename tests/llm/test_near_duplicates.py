@@ -122,3 +122,13 @@ def test_lines(spark):
     assert got == want
     assert sum(len(t or "") for t in want.values()) < 0.7 * sum(len(t or "") for _, t, *_ in rows)
     assert line_dedup.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_edited_character(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lines = ["".join(rng.choice(letters) for _ in range(n)) for n in range(40, 79) for _ in range(3)]
+    edits = [x[: len(x) // 2] + "#" + x[len(x) // 2 + 1 :] for x in lines]
+    rows = [(0, "\n".join(lines), "en", "s", 0), (1, "\n".join(edits), "en", "s", 0)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: (len(lines), 0), 1: (len(lines), len(lines))}
