@@ -39,10 +39,10 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reach_depth(spark: SparkSession, d: str) -> DataFrame:
-    """Least number of links from the lowest URL of each host."""
+    """Least number of links from the lowest URL of each host, as deep as links lead."""
     pages = load(spark, d, "pages")
     seeds = pages.groupBy(L.U.host(F.col("url"))).agg(F.min(L.U.normal_b(F.col("url"))).alias("node"))
-    return L.reach(_edges(spark, d), seeds, 3).groupBy("depth").agg(F.count("*").alias("nodes"))
+    return L.reach(_edges(spark, d), seeds, None).groupBy("depth").agg(F.count("*").alias("nodes"))
 
 
 def onpage_overall(spark: SparkSession, d: str) -> DataFrame:

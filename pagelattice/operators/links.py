@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
+from ..plans.stage import staged
 
 SKIP = r"(?i)^(#|javascript:|mailto:|tel:|data:)"
 
@@ -127,16 +128,23 @@ def url_standards(pages: DataFrame) -> DataFrame:
     return pages.agg(F.count_if(U.path(u).rlike("[A-Z]")).alias("upper_case"), F.count_if(U.path(u).contains("_")).alias("underscores"), F.count_if(F.length(u) > 100).alias("too_long"), F.count_if(U.fragment(u) != "").alias("fragments"), F.count_if(U.query(u) != "").alias("parameters"))
 
 
-def reach(edge: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
+def reach(edge: DataFrame, seeds: DataFrame, depth: int | None = 5) -> DataFrame:
     """(node, depth): least number of links from a seed, by frontier expansion; edge (src, dst), seeds (node).
 
     One join and one anti join a level; a level's frontier is checkpointed where a checkpoint folder is set.
+    Without a depth it goes on until no new node is found; edges and frontiers are then staged, as levels may be many.
     """
+    edge = staged(edge.select("src", "dst").distinct()) if depth is None else edge
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long"))
-    frontier = seen
-    for d in range(1, depth + 1):
+    frontier, d = seen, 0
+    while depth is None or d < depth:
+        d += 1
         new = frontier.join(edge, frontier["node"] == edge["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d).cast("long"))
-        if edge.sparkSession.sparkContext.getCheckpointDir():
+        if depth is None:
+            new = staged(new)
+            if new.isEmpty():
+                break
+        elif edge.sparkSession.sparkContext.getCheckpointDir():
             new = new.checkpoint()
         seen, frontier = seen.unionByName(new), new
     return seen

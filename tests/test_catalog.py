@@ -57,3 +57,9 @@ def test_entities(spark):
     got = {(r.page_id, r.platform) for r in catalog.QUERIES["same_as_platforms"](spark, "").collect()}
     assert got == {(1, "wikidata"), (1, "linkedin"), (1, "x"), (3, "wikipedia"), (3, "twitter"), (3, "crunchbase")}
     assert all(0 <= r.score <= 100 for r in catalog.QUERIES["entity_scores"](spark, "").collect())
+
+
+def test_reach_goes_as_deep_as_links_lead(spark, tmp_path):
+    page = lambda i: (i, f"https://a.example/p{i}", f'<html><body><a href="/p{(i + 1) % 8}">next</a></body></html>')
+    spark.createDataFrame([page(i) for i in range(8)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted(map(tuple, catalog.QUERIES["reach_depth"](spark, str(tmp_path)).collect())) == [(d, 1) for d in range(8)]
