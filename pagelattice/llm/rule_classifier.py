@@ -133,7 +133,11 @@ def _grow(binned: np.ndarray, edges: list, rows: np.ndarray, gradient: np.ndarra
 
 def _lasso(r: np.ndarray, y: np.ndarray, penalty: float, start: np.ndarray, steps: int = 300) -> np.ndarray:
     """Logistic regression with an L1 penalty on all but the first weight, by accelerated proximal steps."""
-    lipschitz = 0.25 * np.linalg.norm(r[: min(len(r), 4000)], 2) ** 2 / min(len(r), 4000) * 1.2 + 1e-9
+    v = np.ones(r.shape[1], r.dtype)
+    for _ in range(50):  # the largest curvature, by power iteration over all rows
+        v = r.T @ (r @ v)
+        v /= np.linalg.norm(v) + 1e-30
+    lipschitz = 0.25 * float(np.linalg.norm(r @ v)) ** 2 / len(r) * 1.1 + 1e-9
     w, z, t = start.copy(), start.copy(), 1.0
     for _ in range(steps):
         grad = r.T @ (1 / (1 + np.exp(-(r @ z).clip(-30, 30))) - y) / len(y)
@@ -172,12 +176,12 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Ensemble:
             unique.setdefault(np.packbits(mask).tobytes(), rule)
     rules = list(unique.values())
     r = np.stack([np.ones(len(y)), *(holds(rule, x) for rule in rules)], axis=1).astype(np.float32)
-    check = rng.random(len(y)) < 0.25 if len(y) >= 200 else np.zeros(len(y), bool)
+    check = rng.random(len(y)) < 0.25
     highest = float(np.abs(r[:, 1:].T @ (y.mean() - y)).max() / len(y)) or 1.0
     base = np.zeros(r.shape[1], np.float32)
     base[0] = np.log(y.mean() / (1 - y.mean()))
     best, loss = PENALTIES[1], np.inf
-    if check.any() and 0 < y[~check].mean() < 1:
+    if check.any() and not check.all() and 0 < y[~check].mean() < 1:
         w = base
         for share in PENALTIES:
             w = _lasso(r[~check], y[~check], share * highest, w)
@@ -194,7 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     """Fit on at most ``sample`` labelled documents that are not held out; nothing else of ``labels`` is read."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("double").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), ("_y",)).drop("doc_id").limit(2 * sample).toPandas()
+    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), ("_y",))
+    # rows that share an id are one example, the least of them, so that no more than ``sample`` come to the driver
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("_y", *STATISTICS)).alias("r")).select("r.*").toPandas()
     rows = rows.sort_values(list(rows.columns), ignore_index=True)
     return fit(rows[list(STATISTICS)].to_numpy(float), rows["_y"].to_numpy(float))
 
@@ -209,7 +215,14 @@ def scores(docs: DataFrame, model: Ensemble, threshold: float = THRESHOLD) -> Da
 
 
 def accepted(docs: DataFrame, model: Ensemble, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, with their columns."""
+    """The rows of ``docs`` that the model does not reject, with their columns.
+
+    Null and empty texts, null ids and repeated rows are kept or rejected by their score, as in ``scores``;
+    columns of any name are passed on; an empty table gives an empty one.
+    """
     names = {c: f"_in{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    s = statistics(docs.withColumnsRenamed(names), ("text", *names.values())).where(model.score() >= threshold)
+    s = statistics(docs.withColumnsRenamed(names), ("text", *names.values()))
+    # the score is a generator's output: a filter on a plain column would be pushed below the statistics, whose
+    # expressions would then be evaluated again in every comparison of every rule
+    s = s.select("doc_id", "text", *names.values(), F.explode_outer(F.array(model.score())).alias("_score")).where(F.col("_score") >= threshold)
     return s.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -200,6 +201,27 @@ def test_rules_separate_held_out(spark):
     assert rule_classifier.scores(d, rule_classifier.train(d, y.limit(0))).select("score").distinct().count() == 1
 
 
+def test_rejecting_reads_each_text_once(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join("w" + str(rng.randrange(500)) + "#" * (i % 2) for _ in range(50)), "en", "s", 0) for i in range(200)] + EDGES
+    d = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], SCHEMA + ", _score int")
+    y = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(10, 200)], "doc_id long, quality int, toxic int")
+    m = rule_classifier.train(d, y)
+    kept = rule_classifier.accepted(d, m)
+    want = {r.doc_id for r in rule_classifier.scores(d, m).where("predicted = 1").collect()}
+    assert {r.doc_id for r in kept.collect()} == want and kept.columns == d.columns
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2 and "Generate explode(array" in plan  # the filter is above the score, not below the statistics
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="tables are not there")
+def test_quality_of_held_out_labels(spark):
+    d, y = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = rule_classifier.scores(d, rule_classifier.train(d, y)).join(y.where("quality is not null").dropDuplicates(["doc_id"]), "doc_id").where("held_out")
+    r = got.agg(F.count("*"), F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()
+    assert r[0] > 500 and r[1] > 0.98
+
+
 def test_folding():
     assert toxicity.fold("Sсum, 1D10T!") == " scum idiot "  # the second letter is Cyrillic
     assert toxicity.fold("l0ser") == toxicity.fold("LOSER") == " ioser "
