@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, components, staged
+from .common import checked_broadcast, components, forest, staged
 
 THRESHOLD = 0.93
 #: Items of a tile, items that the axes are fitted on, and pairs that are finished at once.
@@ -72,19 +72,6 @@ def linked(x: np.ndarray, y: np.ndarray, rotation: np.ndarray, threshold: float,
     return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least index that each of n nodes reaches over links i - j."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, i, label[j])
-        np.minimum.at(new, j, label[i])
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _usable():
     e = F.col("embedding")
     fine = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))

@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash: one line of each component of near-equal lines stays.
 
-Lines are compared trimmed and in lower case. Equal lines are one item; the set of an item holds its
-character shingles. Fast similarity sketches are banded for high recall, candidates are decided by the exact
+Lines are compared in lower case and without blanks at their ends (the six characters that part words). Equal
+lines are one item, told apart by two 64-bit hashes; the set of an item holds its character shingles. Fast similarity sketches are banded for high recall, candidates are decided by the exact
 Jaccard similarity of the shingles, and a distributed union-find gives the components. Of each component the
 first line by document and place stays, whatever the number of its copies; blank lines are left alone.
 """
@@ -14,37 +14,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, small_batches, staged
-from .neardup import link
-from .sketch import STEP, bands, distinct, mix, prefix, short, sketch, stretch
+from .neardup import PACKED, fresh, link, packs, places_for
+from .sketch import bands, mix, short, sketch
 
 #: Characters of a shingle and the least Jaccard similarity of linked lines, in percent. One edited character in a
-#: line of 40 has (37 - 4) / (37 + 4), just over 0.80; longer shingles would lose it.
-K, PERCENT = 4, 80
-#: A pair at the threshold is no candidate with a probability of (1 - 0.8**7)**32, 5 in 10,000. Short shingles make unlike lines share
-#: buckets; fewer rows a band would let many more of them do so.
-BANDS, ROWS = 32, 7
-#: Agreement of 224 coordinates below which lines of a crowded bucket aren't verified: over 5 standard deviations under 0.8.
-FLOOR = 0.65
-CHUNK = 300_000
-
-_TABLE: list[np.ndarray] = []
-
-
-def _letters() -> np.ndarray:
-    if not _TABLE:
-        _TABLE.append(mix(np.arange(1, 0x110001, dtype=np.uint64) * STEP))
-    return _TABLE[0]
+#: line of 40 has (36 - 5) / (36 + 5), just over 0.75; longer shingles or a higher threshold would lose it.
+K, PERCENT = 5, 75
+#: A pair at the threshold is no candidate with a probability of (1 - 0.75**7)**24, 3 in 100; at 0.8 it is 4 in 1,000 and at 0.85 2 in 10,000.
+#: Fewer rows a band would let lines that are half alike share buckets.
+BANDS, ROWS = 24, 7
+#: Agreement of 168 coordinates below which lines of a crowded bucket aren't verified: 5 standard deviations under 0.75.
+FLOOR = 0.58
+#: Blanks at the ends of a line, as Spark's btrim takes them.
+ENDS = " \t\n\x0b\x0c\r"
+#: Characters that are hashed at once: few enough for a processor's cache.
+CHUNK = 80_000
+
+#: Powers of an odd base for the characters of a shingle.
+_BASE = 0x9E3779B97F4A7C15
 
 
 def shingles(lines: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-character shingles of the lines, with repeats, and offsets by line; shorter lines are one shingle."""
     size = np.array([len(x) for x in lines], np.int64)
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    end = np.cumsum(size)
+    # NUL characters after the last line fill up shingles that reach beyond it; shorter lines get theirs below
+    code = np.frombuffer(("".join(lines) + "\0" * k).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    h = np.zeros(len(code) - k, np.uint64)
+    for j in range(k):
+        h *= np.uint64(_BASE)
+        h += code[j : j + len(h)]
+    h = mix(h)
     made = np.where(size >= k, size - k + 1, np.minimum(size, 1))
     offsets = np.concatenate([[0], np.cumsum(made)])
-    starts = np.repeat(end - size - offsets[:-1], made) + np.arange(offsets[-1])
-    return stretch(prefix(_letters()[code]), starts, np.minimum(starts + k, np.repeat(end, made))), offsets
+    begin = np.cumsum(size) - size
+    values = h[np.repeat(begin - offsets[:-1], made) + np.arange(offsets[-1])]
+    for i in np.flatnonzero((size > 0) & (size < k)).tolist():
+        x = int(size[i])
+        for c in lines[i]:
+            x = (x * _BASE + ord(c) + 1) % 2**64
+        values[offsets[i]] = mix(np.array([x], np.uint64))[0]
+    return values, offsets
 
 
 def _spans(lines: list[str]):
@@ -58,71 +67,101 @@ def _spans(lines: list[str]):
         yield a, len(lines)
 
 
-def _split(docs: DataFrame, *keep) -> DataFrame:
-    """(keep, pos, line) of lines that are not blank, as they are compared."""
+def _split(docs: DataFrame, *keep, bad: DataFrame | None = None) -> DataFrame:
+    """(keep, pos, fp, fp2, line) of lines that are not blank, as they are compared; ids in ``bad`` are replaced by the second hash."""
     # the outer form: else the optimizer would split once more to filter on the number of lines
-    d = docs.select(*keep, F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", F.lower(F.trim("line")))
-    return d.where("line <> ''")
+    d = docs.select(*keep, F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", F.lower(F.btrim("line", F.lit(ENDS))))
+    d = d.where("line <> ''").withColumns({"fp": F.xxhash64("line"), "fp2": F.xxhash64(F.lit(1), "line")})
+    if bad is not None:
+        d = d.join(checked_broadcast(bad.withColumn("_bad", F.lit(True))), "fp", "left").withColumn("fp", F.when(F.col("_bad"), F.col("fp2")).otherwise(F.col("fp"))).drop("_bad")
+    return d
 
 
-def lines(docs: DataFrame, k: int = K, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, h, pos, fp, bands): every line that isn't blank; h tells apart documents that share an id."""
-    small = _split(docs, "doc_id", F.xxhash64("text").alias("h")).withColumn("fp", F.xxhash64("line"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def buckets(lines: DataFrame, places: int, k: int = K, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Packed bands of (fp, line); a task makes the sketch of a line once."""
 
-    def run(batches):
+    def keys(batches):
+        seen: set = set()
         for b in batches:
-            text = b.column("line").to_pylist()
+            b = b.take(pa.array(fresh(b.column("fp").to_numpy(), seen)))
+            text, fp = b.column("line").to_pylist(), b.column("fp").to_numpy()
             for lo, hi in _spans(text):
-                key = bands(sketch(*shingles(text[lo:hi], k), n_bands * rows), rows)
-                flat = pa.array(key.reshape(-1).view(np.int64))
-                part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "h", "pos", "fp")), pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * n_bands, pa.int32()), flat)], names=["doc_id", "h", "pos", "fp", "bands"])
+                yield fp[lo:hi], bands(sketch(*shingles(text[lo:hi], k), n_bands * rows), rows)
 
-    return small.select("doc_id", "h", "pos", "fp", "line").mapInArrow(run, f"doc_id {kind}, h long, pos int, fp long, bands array<long>")
+    return lines.select("fp", "line").mapInArrow(lambda batches: packs(keys(batches), places), PACKED)
+
+
+def _sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Sorted 64-bit hashes of the distinct shingles of each line."""
+    values, at = shingles([t.decode("utf-8", "replace") for t in texts], k)
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        x = np.sort(values[a:b])
+        out.append(x[np.append(True, x[1:] != x[:-1])] if b > a else x)
+    return out
 
 
 def alike(k: int, percent: int):
-    """Tells for lines whether 100 * intersection >= percent * union of their character shingles."""
+    """Tells for lines whether 100 * intersection >= percent * union of their character shingles, as 64-bit hashes.
 
-    def cut(x: bytes) -> set[str]:
-        s = x.decode("utf-8", "replace")
-        return {s[i : i + k] for i in range(max(1, len(s) - k + 1))}
+    Within lines of n shingles two collide with a probability under n * n / 2**65.
+    """
 
     def run(left: list[bytes], right: list[bytes]) -> list[bool]:
-        out, last, held = [], None, set()
+        texts = list(dict.fromkeys(left + right))
+        held = dict(zip(texts, _sets(texts, k), strict=True))
+        out = []
         for x, y in zip(left, right, strict=True):
-            if x != last:
-                last, held = x, cut(x)
-            b = cut(y)
-            both = len(held & b)
-            out.append(100 * both >= percent * (len(held) + len(b) - both))
+            a, b = held[x], held[y]
+            if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+                out.append(False)
+                continue
+            both = np.sort(np.concatenate([a, b]))
+            n = int(np.count_nonzero(both[1:] == both[:-1]))
+            out.append(100 * n >= percent * (len(both) - n))
         return out
 
     return run
 
 
+def _one(at: DataFrame) -> DataFrame:
+    """Of each item its first place and number of places, and the range of the second hash."""
+    place = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "pos", "h")
+    return at.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("fp2").alias("a"), F.max("fp2").alias("b"))
+
+
 def dropped(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, h, n_lines, drop): how many lines of a document are not blank, and places of those that are not kept."""
+    """(doc_id, h, drop): places of the lines of a document that are not kept; h tells apart documents that share an id."""
     small_batches(docs.sparkSession)
-    all_ = staged(lines(docs, k))
+    where = ("doc_id", F.xxhash64("text").alias("h"))
+    # texts are split once: the lines are staged, and what follows reads the columns it needs
+    at = staged(_split(docs, *where), "zstd")
+    one = staged(_one(at))
+    bad = staged(one.where("a <> b").select("fp"))
+    if not bad.isEmpty():  # different lines with one hash: expected from some billions of lines on
+        at = staged(_split(docs, *where, bad=bad), "zstd")
+        one = staged(_one(at))
 
     def payload(ids: DataFrame) -> DataFrame:
-        wanted = _split(docs).withColumn("fp", F.xxhash64("line"))
-        return wanted.join(checked_broadcast(staged(ids)), "fp").groupBy("fp").agg(F.min("line").alias("line")).select("fp", F.col("line").cast("binary").alias("payload"))
-
-    def short_of(texts: list[bytes]) -> np.ndarray:
-        return short(sketch(*shingles([t.decode("utf-8", "replace") for t in texts], k), BANDS * ROWS))
-
-    def sets_of(texts: list[bytes]) -> list[np.ndarray]:
-        values, at = distinct(*shingles([t.decode("utf-8", "replace") for t in texts], k))
-        return [values[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-
-    found = link(all_.select("fp", "bands"), payload, alike(k, percent), sets_of, percent, FLOOR, short_of)
-    at = all_.select("doc_id", "h", "pos", "fp").join(checked_broadcast(found).withColumnRenamed("id", "fp"), "fp", "left")
-    at = at.select("doc_id", "h", "pos", F.coalesce("component", "fp").alias("root"))
-    first = at.groupBy("root").agg(F.min(F.struct("doc_id", "pos", "h")).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")
-    out = at.join(checked_broadcast(staged(first)), "root").where(~F.struct("doc_id", "pos", "h").eqNullSafe(F.col("first")))
+        seen = at.select("fp", "line").join(checked_broadcast(staged(ids)), "fp")
+        return seen.groupBy("fp").agg(F.min("line").alias("line")).select("fp", F.col("line").cast("binary").alias("payload"))
+
+    def sketches(sets: DataFrame) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    made = short(sketch(*shingles([t.decode("utf-8", "replace") for t in b.column("payload").to_pylist()], k), BANDS * ROWS))
+                    yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array([r.tobytes() for r in made], pa.binary())], names=["fp", "sk"])
+
+        return sets.select("fp", "payload").mapInArrow(run, "fp long, sk binary")
+
+    found = link(buckets(at, places_for(at.count(), BANDS), k), payload, alike(k, percent), lambda texts: _sets(texts, k), percent, FLOOR, sketches, estimate=False)
+    known = one.select("fp", "first", "n").join(checked_broadcast(found).withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    alone = known.where("component is null and n > 1").select("fp", "first")
+    group = staged(known.where("component is not null").select("fp", "root", "first"))
+    least = group.groupBy("root").agg(F.min("first").alias("first"))
+    act = staged(alone.unionByName(group.select("fp", "root").join(checked_broadcast(staged(least)), "root").select("fp", "first")))
+    out = at.join(checked_broadcast(act), "fp").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")) & (F.col("h") == F.col("first.h"))))
     return out.groupBy("doc_id", "h").agg(F.collect_set("pos").alias("drop"))
 
 
@@ -131,12 +170,17 @@ def deduplicated(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFra
 
     Every row stays, if need be with an empty text; a null text stays null with 0 lines. Rows that are equal
     in id and text are one document and keep the same lines. A null id comes before all others. An empty
-    table gives an empty one; other columns are passed on, but n_lines and n_dropped are replaced.
+    table gives an empty one; other columns of any name are passed on, but n_lines and n_dropped are replaced.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    gone = staged(dropped(docs, k, percent)).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("drop").alias("_drop"))
-    d = docs.select(*kept).join(checked_broadcast(gone, 500_000), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
-    parts = F.split("text", "\n", -1)
-    left = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_drop", i)), "\n"))
-    count = F.coalesce(F.size(F.filter(parts, lambda x: F.trim(x) != "")), F.lit(0)).cast("long")
-    return d.select(*(left.alias("text") if c == "text" else F.col(c) for c in kept), F.when(F.col("text").isNull(), F.lit(0)).otherwise(count).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    names = {c: f"_in{i}" for i, c in enumerate(kept) if c not in ("doc_id", "text")}
+    gone = staged(dropped(docs.select("doc_id", "text"), k, percent)).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("drop").alias("_drop"))
+    places = gone.agg(F.coalesce(F.sum(F.size("_drop")), F.lit(0))).first()[0]
+    side = F.broadcast(gone) if places <= 2_000_000 and gone.count() <= 500_000 else gone
+    d = docs.select(*kept).withColumnsRenamed(names).join(side, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
+    # places that stay by a hashed difference, so that documents of very many lines take linear time
+    d = d.withColumn("_parts", F.split("text", "\n", -1)).withColumn("_stay", F.when(F.col("_drop").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), "_drop")))
+    left = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_stay", lambda i: F.get("_parts", i)), "\n"))
+    count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.filter("_parts", lambda x: F.btrim(x, F.lit(ENDS)) != ""))).cast("long")
+    back = [left.alias("text") if c == "text" else F.col(names.get(c, c)).alias(c) for c in kept]
+    return d.select(*back, count.alias("n_lines"), F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop")).cast("long").alias("n_dropped"))

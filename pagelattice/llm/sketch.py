@@ -101,24 +101,35 @@ def sketch(values: np.ndarray, offsets: np.ndarray, t: int) -> np.ndarray:
     as if they were independent.
     """
     n = np.diff(offsets)
-    low = np.uint64((1 << 54) - 1)
     void = np.uint64(2**64 - 1)
     out = np.full((len(n), t), void, np.uint64)
+    flat = out.reshape(-1)
     live = np.flatnonzero(n)
     out[n == 0] = 0
-    x, at = values, np.repeat(np.arange(len(n)), n)
+    x, at = values, np.repeat(np.arange(len(n)) * t, n)
+    odd = mix(np.arange(1, 2 * t + 1, dtype=np.uint64) * STEP) | np.uint64(1)
     for i in range(2 * t):
         if not len(live):
             break
-        h = mix(x + np.uint64((i + 1) * int(STEP) % 2**64))
-        place = ((h >> np.uint64(32)) * np.uint64(t) >> np.uint64(32)).astype(np.int64) if i < t else np.int64(i - t)
-        np.minimum.at(out.reshape(-1), at * t + place, (h * MIX2 & low) | (np.uint64(i) << np.uint64(54)))
+        h = x * odd[i]
+        if i < t:
+            place = h >> np.uint64(32)
+            place *= np.uint64(t)
+            place >>= np.uint64(32)
+            place = place.view(np.int64)
+            place += at
+        else:
+            place = at + (i - t)
+        h *= MIX2
+        h >>= np.uint64(10)
+        h |= np.uint64(i) << np.uint64(54)
+        np.minimum.at(flat, place, h)
         unfilled = (out[live] == void).any(axis=1)
         if not unfilled.all():
             live = live[unfilled]
             stay = np.zeros(len(n), bool)
             stay[live] = True
-            keep = stay[at]
+            keep = stay[at // t]
             x, at = x[keep], at[keep]
     return out
 
