@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelattice.llm import bpe, embedding_dedup, mixing, quality_rules, queries, rule_classifier, token_histogram, toxicity, warc_index
+from pagelattice.llm import bpe, common, embedding_dedup, mixing, quality_rules, queries, rule_classifier, token_histogram, toxicity, warc_index
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EDGES = [
@@ -67,17 +67,106 @@ def test_outliers_of_each_statistic_are_rejected(spark):
     assert got[1003].n_repeat_words < 0.3 * got[1003].n_words
 
 
-def test_mahalanobis_matches_numpy(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(400, 5)) * [1, 0.5, 2, 1, 1]
-    x[:, 1] += 0.3 * x[:, 0]
-    d = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, z0 double, z1 double, z2 double, z3 double, z4 double")
-    got = np.array(sorted(r.d2 for r in quality_rules._distances(d, quality_rules._inverted(quality_rules._moments(d))).collect()))
-    cov = np.cov(x.T, bias=True) * quality_rules.CONSISTENCY
-    cov[np.diag_indices(5)] = np.maximum(cov[np.diag_indices(5)], np.array(quality_rules.FLOORS) ** 2) + 1e-9
-    y = x - x.mean(axis=0)
-    assert np.allclose(got, np.sort(np.einsum("ij,jk,ik->i", y, np.linalg.inv(cov), y)))
-    assert abs(quality_rules.chi2_cdf(quality_rules.chi2_quantile(0.99, 5), 5) - 0.99) < 1e-9 and abs(quality_rules.chi2_quantile(0.95, 5) - 11.0705) < 1e-3
+def brute_mcd(u):
+    """Least determinant over the starts, reweighted: (squared distances, determinant), with numpy and sorted distances."""
+    q = quality_rules
+
+    def cov(x, factor):
+        return np.cov(x.T, bias=True) * factor
+
+    def regular(v):
+        t = np.trace(v)
+        try:
+            least = (np.diag(np.linalg.cholesky(v + 1e-30)) ** 2).min()
+        except np.linalg.LinAlgError:
+            least = 0
+        rho = 1.0 if t <= 1e-12 else 0.0 if least * q.SINGULAR > t else t / (q.CONDITION - 1 + t)
+        return (1 - rho) * v + rho * np.eye(5)
+
+    def dist(m, k):
+        return np.einsum("ij,jk,ik->i", u - m, np.linalg.inv(k), u - m)
+
+    r = np.maximum(np.sqrt((u * u).sum(1)), 1e-12)[:, None]
+    best = None
+    for m, v in ((u.mean(0), cov(u, 1)), (np.zeros(5), np.eye(5)), (np.zeros(5), cov(np.tanh(u), 1)), (np.zeros(5), cov(u / r, 1))):
+        k, last = regular(v), np.inf
+        for _ in range(60):
+            bins = np.floor(np.log(np.maximum(dist(m, k), 1e-9)) * q.FINE)
+            near = u[bins <= np.sort(bins)[int(np.ceil(q.SHARE * len(u))) - 1]]
+            m2, k2 = near.mean(0), regular(cov(near, q.CONSISTENCY))
+            if np.linalg.det(k2) >= last * (1 - 1e-9):
+                break
+            m, k, last = m2, k2, np.linalg.det(k2)
+        if best is None or last < best[0] * (1 - 1e-9):
+            best = (last, m, k)
+    near = u[dist(best[1], best[2]) <= q.WITHIN]
+    return dist(near.mean(0), regular(cov(near, q.WITHIN_CONSISTENCY))), best[0]
+
+
+def vectors(seed):
+    """Correlated vectors with a far cluster; the last two statistics are zero in most."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(60, 500))
+    turn = np.triu(rng.normal(size=(5, 5))) / 2 + np.eye(5)
+    x = rng.normal(size=(n, 5)) @ turn
+    if seed % 2:
+        x[rng.random(n) < 0.9, 3:] = 0
+    way = rng.normal(size=5)
+    x[: n // 8] += 9 * way / np.linalg.norm(way) @ turn
+    return x
+
+
+def test_least_determinant_is_that_of_brute_force(spark):
+    groups = {f"g{i}": vectors(i) for i in range(6)}
+    u = spark.createDataFrame([(g, *map(float, r)) for g, x in groups.items() for r in x], "g string, u0 double, u1 double, u2 double, u3 double, u4 double")
+    u = common.staged(u)
+    found = quality_rules.least_determinants(u)
+    det = {r.g: r.det for r in found.collect()}
+    got = collections.defaultdict(list)
+    for r in quality_rules._distances(u, quality_rules._reweighted(u, found), "g").collect():
+        got[r.g].append(r.d2)
+    for g, x in groups.items():
+        want, least = brute_mcd(x)
+        assert abs(det[g] / least - 1) < 1e-6 and np.allclose(np.sort(got[g]), np.sort(want), rtol=1e-5, atol=1e-8)
+        assert (want[: len(x) // 8] > quality_rules.CUT).mean() > 0.9
+        plain = np.cov(x.T, bias=True)  # what an estimate from all rows would make of the cluster
+        y = x - x.mean(0)
+        assert g in ("g1", "g3", "g5") or np.einsum("ij,jk,ik->i", y, np.linalg.inv(plain), y)[: len(x) // 8].mean() < quality_rules.CUT
+
+
+def test_every_verdict_is_that_of_brute_force(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(700):
+        junk = rng.random() < 0.1
+        w = ["w" * rng.randrange(2, 9) + str(rng.randrange(999)) + ("##" if junk and rng.random() < 0.5 else "") for _ in range(rng.randrange(20, 300))]
+        end = "\n" if rng.random() < 0.1 else " "
+        rows.append((i, end.join(w), rng.choice(["en", "de", None]), rng.choice(["a", "b", None, "rare"] if i < 60 else ["a", "b", None]), 0))
+    got = {r.doc_id: r for r in quality_rules.scores(frame(spark, rows)).collect()}
+    by = collections.defaultdict(list)
+    for i, t, lang, source, _ in rows:
+        n, chars, symbols, dup, again = brute_statistics(t)
+        if not got[i].base_failed:
+            by[lang, source].append((i, n, chars, symbols, dup, len(t.split("\n")), again))
+    middle = lambda x: np.sort(x, axis=0)[(len(x) + 1) // 2 - 1]
+    for members in by.values():
+        a = np.array(members, float)
+        n = a[:, 1]
+        usual = middle((a[:, 2] + 1) / n)
+        z = np.stack([np.log1p(n), np.log((a[:, 2] + 100 * usual) / (n + 100)), np.log1p(100 * a[:, 3] / n), np.sqrt(a[:, 4] / a[:, 5]), np.sqrt(a[:, 6] / n)], axis=1)
+        mad = middle(np.abs(z - middle(z)))
+        d, _ = brute_mcd((z - middle(z)) / np.where(mad > 1e-6, mad * 1.4826, 1.0))
+        limit = quality_rules.cut(len(a))
+        for i, x in zip(a[:, 0].astype(int), d, strict=True):
+            assert abs(x / limit - 1) < 1e-6 or got[i].kept == (x <= limit)
+    assert len(by) == 12 and min(map(len, by.values())) < 20
+
+
+def test_quantiles():
+    q = quality_rules
+    assert abs(q.chi2_cdf(q.chi2_quantile(0.99, 5), 5) - 0.99) < 1e-9 and abs(q.chi2_quantile(0.95, 5) - 11.0705) < 1e-3
+    assert abs(q.f_cdf(3.3258, 5, 10) - 0.95) < 1e-4 and abs(q.f_cdf(4.2, 5, 200) - 0.9988) < 5e-4
+    assert q.cut(6) == float("inf") and q.cut(20) > q.cut(100) > q.cut(400) > q.CUT == q.cut(401)
 
 
 def test_quality_edges(spark):
