@@ -46,7 +46,7 @@ def staged(df: DataFrame, compression: str = "snappy") -> DataFrame:
 
 
 #: Most bytes of an Arrow batch of whole texts, as far as one row isn't larger.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -37,7 +37,7 @@ SKETCHES = 512
 #: Columns of a membership matrix that are multiplied at once.
 WIDE = 8192
 #: Items that a task remembers to have seen; pairs that it packs at once; most pairs of a packed row; pairs of a place.
-SEEN, PACK, PIECE, PLACE = 500_000, 2_000_000, 4096, 1_000_000
+SEEN, PACK, PIECE, PLACE = 300_000, 1_000_000, 4096, 500_000
 PACKED = "place int, home binary, extra binary"
 
 
