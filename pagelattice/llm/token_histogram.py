@@ -48,9 +48,37 @@ def histogram(counts: DataFrame) -> DataFrame:
     return h.withColumn("tokens_kept", kept).withColumn("tokens_lost", F.col("tokens_longer") - F.col("n_tokens") * F.col("docs_longer"))
 
 
+def _bounds(hist: DataFrame) -> DataFrame:
+    """Stretches [lo, hi) of context limits that one row of the histogram answers, with a row for limits below all lengths."""
+    zero = F.lit(0).cast("long")
+    # the row below the least length: every document is longer
+    first = hist.agg(F.min("n_tokens").alias("hi"), F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("tokens")).where("hi is not null")
+    below = first.select(zero.alias("lo"), "hi", F.col("docs").alias("docs_longer"), zero.alias("tokens_upto"))
+    ends = hist.select("n_tokens", F.col("docs_longer"), (F.col("tokens_kept") - F.col("n_tokens") * F.col("docs_longer")).alias("tokens_upto"), F.expr(f"n_tokens div {BLOCK}").alias("block"))
+    # the next length: within a block, or the least of the next block
+    least = ends.groupBy("block").agg(F.min("n_tokens").alias("least"))
+    following = least.select("block", F.lead("least").over(W.orderBy("block")).alias("after"))
+    inside = F.lead("n_tokens").over(W.partitionBy("block").orderBy("n_tokens"))
+    rows = ends.withColumn("next", inside).join(following, "block").select(F.col("n_tokens").alias("lo"), F.coalesce("next", "after").alias("hi"), "docs_longer", "tokens_upto")
+    return below.where("lo < hi").unionByName(rows)
+
+
 def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """(max_tokens, docs_cut, tokens_kept) for given limits, also such as no document has exactly."""
-    each = F.explode(F.array(*[F.lit(int(x)) for x in limits])).alias("max_tokens")
-    cut = F.when(F.col("n_tokens") > F.col("max_tokens"), F.col("n_docs")).otherwise(0)
-    rows = hist.select("n_tokens", "n_docs", each)
-    return rows.groupBy("max_tokens").agg(F.sum(cut).alias("docs_cut"), F.sum(F.least("n_tokens", F.col("max_tokens").cast("long")) * F.col("n_docs")).alias("tokens_kept"))
+    """(max_tokens, docs_cut, tokens_kept) for given limits of at least 0, also such as no document has exactly; one row of the sums answers each.
+
+    No documents: no rows.
+    """
+    holds = F.filter(F.array(*[F.lit(int(x)).cast("long") for x in sorted(set(limits))]), lambda x: (x >= F.col("lo")) & (F.col("hi").isNull() | (x < F.col("hi"))))
+    rows = _bounds(hist).withColumn("asked", holds).where(F.size("asked") > 0).select(F.explode("asked").alias("max_tokens"), "docs_longer", "tokens_upto")
+    return rows.select("max_tokens", F.col("docs_longer").alias("docs_cut"), (F.col("tokens_upto") + F.col("max_tokens") * F.col("docs_longer")).alias("tokens_kept"))
+
+
+def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, n_tokens): the least length with at least that share of the documents at or below it. No documents: no rows."""
+    before = F.col("docs_upto") - F.col("n_docs")
+    total = F.col("docs_upto") + F.col("docs_longer")
+    asked = F.array(*[F.lit(float(x)) for x in sorted(set(shares))])
+    # a share belongs to the row whose documents its rank falls on; rank 1 at least
+    rank = lambda x: F.greatest(F.lit(1.0), F.ceil(x * total - F.lit(1e-9)).cast("double"))
+    rows = hist.withColumn("asked", F.filter(asked, lambda x: (rank(x) > before) & (rank(x) <= F.col("docs_upto"))))
+    return rows.where(F.size("asked") > 0).select(F.explode("asked").alias("share"), "n_tokens")

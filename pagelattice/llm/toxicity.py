@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import held_out, small_batches, staged
 
 #: Labelled documents that the lexicon is learned from at most, and entries it has at most.
 SAMPLE, ENTRIES = 20_000, 5000
@@ -127,7 +127,7 @@ def _counts(rows: DataFrame) -> DataFrame:
             out = []
             for text, y in zip(b.column("text").to_pylist(), b.column("_y").to_pylist(), strict=True):
                 words = {w for t in _pieces(text or "") for w in t.split()}
-                out += [("word", w, y, "") for w in words if 2 < len(w) <= 40]
+                out += [("word", w, y, "") for w in words if len(w) > 2]
                 stems: dict[str, str] = {}
                 for w in sorted(words):
                     for k in STEMS:
@@ -150,8 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("long").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    sizes = known.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
+    # rows that share an id are one example; the training rows are staged, as several passes read them
+    rows = staged(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(F.struct("_y", "text")).alias("r")).select("r.*"), "zstd")
+    sizes = rows.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     toxic, clean = int(sizes[1]), int(sizes[0] - sizes[1])
     if not toxic:
         return Lexicon()
@@ -197,13 +198,12 @@ def _densities(rows: DataFrame, lex: Lexicon, keep: list[str]) -> DataFrame:
 
 def _scaled(rows: DataFrame, lex: Lexicon) -> Lexicon:
     """Puts the density that separates the training rows best at a score of one half; of equals the lowest clean margin wins."""
-    d = _densities(rows, lex, ["_y"]).limit(2 * SAMPLE).toPandas()
+    d = _densities(rows, lex, ["_y"]).toPandas()  # a row an example, SAMPLE at most
     y, x = d["_y"].to_numpy(), d["density"].to_numpy()
     v = np.unique(np.concatenate([[0.0], x]))
     cuts = (v[:-1] + v[1:]) / 2 if len(v) > 1 else np.array([1.0])
-    if len(cuts) > 2000:
-        cuts = np.quantile(cuts, np.linspace(0, 1, 2000))
-    right = np.array([((x >= c) == (y == 1)).sum() for c in cuts])
+    toxic, clean = np.sort(x[y == 1]), np.sort(x[y != 1])
+    right = len(toxic) - np.searchsorted(toxic, cuts) + np.searchsorted(clean, cuts)
     lex.scale = float(cuts[int(np.flatnonzero(right == right.max())[0])])
     return lex
 

@@ -24,6 +24,8 @@ from .common import checked_broadcast, scratch, small_batches, staged
 LEAST_BYTES = 1000
 #: Bytes of an archive after which a new one begins; gap up to which two ranges are read as one; most bytes of a read.
 ARCHIVE, GAP, READ = 256 << 20, 64 << 10, 8 << 20
+#: Bytes of records that a reading task gets.
+TASK = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -127,7 +129,9 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 
     A revisit has no payload of its own; its digest and size are those of the payload it refers to.
     """
-    wanted = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    # as many tasks as the records' bytes ask for: the index itself is small, and would be read by a task or two
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    wanted = index.select("archive", "offset", "length").repartitionByRange(max(1, -(-size // TASK)), "archive", "offset").sortWithinPartitions("archive", "offset")
     names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
     number = lambda uri: int(uri[len("<urn:page:") : -1]) if len(uri) > len("<urn:page:>") else None
 

@@ -261,7 +261,11 @@ def test_histogram(spark, model):
         k = r.n_tokens
         assert (r.n_docs, r.docs_longer, r.tokens_longer) == (n.count(k), sum(x > k for x in n), sum(x for x in n if x > k))
         assert (r.docs_upto, r.tokens_kept, r.tokens_lost) == (sum(x <= k for x in n), sum(min(x, k) for x in n), sum(max(0, x - k) for x in n))
-    assert {(r.max_tokens, r.tokens_kept) for r in token_histogram.at_limits(h, [1, 7, 10**6]).collect()} == {(k, sum(min(x, k) for x in n)) for k in (1, 7, 10**6)}
+    asked = (0, 1, 2, 7, 1024, 30_000, 10**6)
+    assert {tuple(r) for r in token_histogram.at_limits(h, [*asked, 7]).collect()} == {(k, sum(x > k for x in n), sum(min(x, k) for x in n)) for k in asked}
+    shares = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
+    assert {tuple(r) for r in token_histogram.quantiles(h, list(shares)).collect()} == {(q, sorted(n)[max(1, int(np.ceil(q * len(n) - 1e-9))) - 1]) for q in shares}
+    assert token_histogram.at_limits(h.limit(0), [5]).count() == token_histogram.quantiles(h.limit(0), [0.5]).count() == 0
     assert token_histogram.histogram(token_histogram.lengths(frame(spark, []), model)).count() == 0
 
 
@@ -356,6 +360,23 @@ def test_warc(spark):
     assert warc_index.ranges([(0, 10), (10, 5), (100_000, 5)]) == [(0, 2, 0, 15), (2, 3, 100_000, 5)]
 
 
+def test_warc_ranges_of_several_archives(spark, monkeypatch):
+    monkeypatch.setattr(warc_index, "ARCHIVE", 40_000)
+    monkeypatch.setattr(warc_index, "READ", 8_000)
+    monkeypatch.setattr(warc_index, "TASK", 30_000)
+    rng = random.Random(14)
+    rows = [(i, f"http://a/{i}", "".join(rng.choice("abcdefgh<>/ ") for _ in range(rng.choice([10, 900, 5000, 30_000])))) for i in range(120)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = common.scratch(spark)
+    index = warc_index.write(warc_index.plan(d), folder)
+    assert index.select("archive").distinct().count() > 10
+    got = {r.page_id: bytes(r.payload).decode() for r in warc_index.read(index, folder).collect()}
+    assert got == {i: h for i, _, h in rows}
+    some = warc_index.read(index.where("page_id % 7 = 0"), folder)
+    assert {r.page_id: bytes(r.payload).decode() for r in some.collect()} == {i: h for i, _, h in rows if i % 7 == 0}
+    assert some.rdd.getNumPartitions() > 1
+
+
 # --- vectors ---------------------------------------------------------------------------------------------
 
 
