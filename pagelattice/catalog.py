@@ -14,7 +14,10 @@ from .operators import hosts as S
 from .operators import links as L
 from .operators import models as M
 from .operators import pages as P
-from .oracles import ORACLES  # noqa: F401
+from .operators import scoring as R
+from .oracles import ORACLES
+from .plans import dims
+from .scoring_oracles import SCORING
 from .sources.tables import literal, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +92,47 @@ QUERIES: dict[str, Query] = {
     "keyword_opportunity": _lit(M.keyword_opportunity, "keyword"), "ctr_band_join": _lit(M.ctr_gap, "keyword", "ctr_band"), "query_triage": _lit(M.query_triage, "keyword"), "traffic_drop_7d": _on("events", M.traffic_drops), "content_decay": _on("events", M.content_decay), "velocity_cv": _on("events", M.velocity_cv),
     "sessions": _on("events", M.sessions), "engaged_sessions": _on("events", M.engagement), "event_log_report": _on("events", M.event_log_report), "event_value_p75": _on("events", M.value_p75), "route_request": _on("conversations", M.routed),
 }
+
+QUERIES |= {
+    # sections and indexes
+    "section_scores": _lit(R.section_scores, "audit_metrics"),
+    "audit_overall": _lit(lambda m: N.overall(R.section_scores(m)), "audit_metrics"),
+    "sitemap_scores": _lit(R.sitemap_scores, "sitemap_summary"),
+    "eeat_index": _lit(lambda p: R.weighted_index(p, dims.EEAT_WEIGHTS), "index_part"),
+    "content_index": _lit(lambda p: R.weighted_index(p, dims.CONTENT_WEIGHTS), "index_part"),
+    "answer_index": _lit(lambda p: R.weighted_index(p, dims.ANSWER_WEIGHTS), "index_part"),
+    "site_health": _lit(R.site_health, "health_signal"),
+    "image_index": _lit(R.image_index, "site_count"),
+    # content
+    "word_floors": _lit(R.word_floors, "content_page"),
+    "freshness": _lit(R.freshness, "content_page"),
+    "content_actions": _lit(R.content_actions, "content_page"),
+    "traffic_diagnosis": _lit(R.traffic_diagnosis, "content_page"),
+    "answer_shapes": _lit(R.answer_shapes, "answer_block"),
+    "paragraphs": _on("documents", R.paragraphs),
+    # crawls, indexes and URLs
+    "header_alternates": _lit(R.header_alternates, "link_header"),
+    "indexation_bands": _lit(R.indexation, "site_count"),
+    "missing_url_fixes": _lit(R.missing_url_fixes, "missing_url"),
+    "crawl_waste": _lit(R.crawl_waste, "waste_url"),
+    "crawl_waste_of_pages": _on("pages", R.crawl_waste),
+    "redirect_tiers": _lit(R.redirect_tiers, "old_url"),
+    "sitemap_sample": _on("pages", R.sitemap_sample),
+    "ungrouped_pages": _on("pages", lambda p: R.ungrouped(p, P.template_groups(p))),
+    "canonical_summary": _lit(R.canonical_summary, "canonical_page"),
+    "soft_404_title_and_body": _lit(R.soft_404_by_title_and_body, "answer_page"),
+    "links_with_subdomains": _on("pages", L.links_with_subdomains),
+    "links_by_absolute_url": _on("pages", L.links_by_absolute_url),
+    "link_set": _on("pages", L.link_set),
+    # links, gates and plans
+    "gap_scores": _lit(R.gap_scores, "gap_domain"),
+    "modal_target": _lit(R.modal_target, "backlink"),
+    "image_weights": _lit(R.image_weights, "image_size"),
+    "programmatic_gates": _lit(R.programmatic_gates, "page_plan"),
+    "location_gates": _lit(R.location_gates, "site_count"),
+    "roadmap": _lit(R.roadmap, "task"),
+    "audit_confidence": _lit(R.audit_confidence, "site_count"),
+    "return_on_search": _lit(R.return_on_search, "channel"),
+}
+
+ORACLES = ORACLES | SCORING

@@ -152,8 +152,9 @@ def keywords(docs: DataFrame, k: int = 12) -> DataFrame:
     c = c.select("doc_id", "n", "term", (F.col("c") * F.when(F.col("n") == 1, 1).when(F.col("n") == 2, 3).otherwise(5)).cast("long").alias("score"))
     order = W.partitionBy("doc_id").orderBy(F.col("score").desc(), "term")
     top = c.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 3 * k)
-    inside = top.alias("a").join(top.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.term") != F.col("b.term")) & F.col("b.term").contains(F.col("a.term"))).select("a.doc_id", "a.term").distinct()
-    left = top.join(inside, ["doc_id", "term"], "left_anti")
+    # the best terms suppress, but any term may fill a place
+    inside = c.alias("a").join(top.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.term") != F.col("b.term")) & F.col("b.term").contains(F.col("a.term"))).select("a.doc_id", "a.term").distinct()
+    left = c.join(inside, ["doc_id", "term"], "left_anti")
     return left.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("doc_id", "term", "score", "rank")
 
 

@@ -31,6 +31,23 @@ def edges(pages: DataFrame) -> DataFrame:
     return e.withColumn("rn", first).where("rn = 1").select("page_id", "host", "target", "anchor", "nofollow")
 
 
+def links_with_subdomains(pages: DataFrame) -> DataFrame:
+    """Number of all links of a page, repeats counted, to its own host or a subdomain of it (internal) and to other hosts."""
+    r = raw_links(pages)
+    own = (U.host(F.col("target")) == F.col("host")) | F.endswith(U.host(F.col("target")), F.concat(F.lit("."), F.col("host")))
+    return r.groupBy("page_id").agg(F.count_if(own).alias("internal_links"), F.count_if(~own).alias("external_links"))
+
+
+def links_by_absolute_url(pages: DataFrame) -> DataFrame:
+    """Links of a page, each absolute URL once with query and fragment, at its first place: page_id, pos, target."""
+    return raw_links(pages).groupBy("page_id", "target").agg(F.min("pos").alias("pos"))
+
+
+def link_set(pages: DataFrame) -> DataFrame:
+    """Internal URLs of a host without fragments, whatever page links to them: host, target."""
+    return raw_links(pages).where("internal").select("host", F.regexp_replace("target", "#.*$", "").alias("target")).distinct()
+
+
 def anchor_top(pages: DataFrame, k: int = 20) -> DataFrame:
     g = edges(pages).where("anchor <> '[no text]'").groupBy("anchor").agg(F.count("*").alias("links"))
     return g.orderBy(F.col("links").desc(), "anchor").limit(k)

@@ -41,22 +41,29 @@ def daily(events: DataFrame) -> DataFrame:
     return events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"))
 
 
-def traffic_drops(events: DataFrame, days: int = 7, drop: float = 0.15) -> DataFrame:
-    """Days whose trailing week has over ``drop`` fewer events than the week before."""
+def _change(now, before):
+    """(now - before) / before to four digits, half away from minus infinity: from whole numbers, so that every engine rounds alike."""
+    return F.floor((F.lit(20_000) * (now - before) + before).cast("double") / (F.lit(2) * before)) / F.lit(10_000.0)
+
+
+def traffic_drops(events: DataFrame, days: int = 7, percent: int = 15) -> DataFrame:
+    """Days whose trailing week has over ``percent`` percent fewer events than the week before."""
     d = daily(events).withColumn("n", F.datediff("day", F.lit("2000-01-01")))
     # days are few: one row each, whatever the number of events
     now, then = W.orderBy("n").rangeBetween(-(days - 1), 0), W.orderBy("n").rangeBetween(-(2 * days - 1), -days)
     d = d.withColumn("week", F.sum("events").over(now)).withColumn("before", F.sum("events").over(then)).withColumn("full", F.count("*").over(then))
-    d = d.where(F.col("full") == days).withColumn("change", F.round((F.col("week") - F.col("before")) / F.col("before"), 4))
-    return d.select("day", "week", "before", "change", (F.col("change") < -drop).alias("alert"))
+    d = d.where(F.col("full") == days)
+    alert = F.lit(100) * (F.col("before") - F.col("week")) > F.lit(percent) * F.col("before")
+    return d.select("day", "week", "before", _change(F.col("week"), F.col("before")).alias("change"), alert.alias("alert"))
 
 
-def content_decay(events: DataFrame, drop: float = 0.2) -> DataFrame:
-    """Event types that lose over ``drop`` between the first and the second half of the time covered."""
+def content_decay(events: DataFrame, percent: int = 20) -> DataFrame:
+    """Event types that lose over ``percent`` percent between the first and the second half of the time covered."""
     span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     late = F.expr("timestampdiff(MICROSECOND, a, ts) >= timestampdiff(MICROSECOND, ts, b)")
     g = events.crossJoin(F.broadcast(span)).groupBy("event_type").agg(F.count_if(~late).alias("earlier"), F.count_if(late).alias("later"))
-    return g.withColumn("change", F.round((F.col("later") - F.col("earlier")) / F.greatest("earlier", F.lit(1)), 4)).withColumn("decayed", F.col("change") < -drop)
+    decayed = F.lit(100) * (F.col("earlier") - F.col("later")) > F.lit(percent) * F.col("earlier")
+    return g.withColumn("change", F.when(F.col("earlier") > 0, _change(F.col("later"), F.col("earlier"))).otherwise(F.col("later").cast("double"))).withColumn("decayed", decayed)
 
 
 def velocity_cv(events: DataFrame, windows: tuple = (10, 20, 30)) -> DataFrame:

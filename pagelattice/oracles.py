@@ -194,7 +194,7 @@ ORACLES: dict[str, str] = {
     "readability_b": f"SELECT *, CASE WHEN reading_ease >= 70 THEN 'easy' WHEN reading_ease >= 50 THEN 'medium' ELSE 'difficult' END AS label FROM (SELECT *, {_EASE} AS reading_ease, {_GRADE} AS grade FROM (SELECT doc_id, greatest(1, len(w))::BIGINT AS words, greatest(1, len(list_filter(string_split_regex(text, '[.!?]+'), lambda x: trim(x) <> '')))::BIGINT AS sentences, coalesce(list_sum(list_transform(w, lambda x: CASE WHEN length(x) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(lower(x), '[aeiouy]+')) - CASE WHEN lower(x) LIKE '%e' THEN 1 ELSE 0 END) END)), 0)::BIGINT AS syllables FROM (SELECT doc_id, text, regexp_extract_all(text, '[a-zA-Z''-]+') AS w FROM documents WHERE trim(text) <> '')))",
     "keyword_ngrams": f"""WITH d AS (SELECT doc_id, list_filter({_ASC}, lambda x: length(x) >= 3 AND NOT list_contains({_STOP}, x)) AS w FROM documents), g AS (SELECT doc_id, n, unnest(list_transform(range(1, greatest(1, len(w) - n + 2)), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS term FROM d, (VALUES (1), (2), (3)) v(n)),
       c AS (SELECT doc_id, n, term, count(*) AS c FROM g GROUP BY 1, 2, 3 HAVING count(*) > CASE WHEN n = 1 THEN 3 ELSE 1 END), t AS (SELECT doc_id, term, (c * CASE n WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 5 END)::BIGINT AS score FROM c), p AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) <= 36),
-      l AS (SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.doc_id = a.doc_id AND b.term <> a.term AND contains(b.term, a.term))) SELECT doc_id, term, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM l QUALIFY rank <= 12""",
+      l AS (SELECT * FROM t a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.doc_id = a.doc_id AND b.term <> a.term AND contains(b.term, a.term))) SELECT doc_id, term, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM l QUALIFY rank <= 12""",
     "long_sentences_topk": f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, i) AS rank, words, sentence FROM (SELECT doc_id, i, s[i] AS sentence, len({O.words('s[i]')})::BIGINT AS words FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_SENT} AS s FROM documents))) QUALIFY rank <= 5",
     "citable_passages": f"SELECT doc_id, (i - 1)::BIGINT AS pos, words, CASE WHEN (i - 1) * 3 < n THEN 'first' WHEN (i - 1) * 3 < n * 2 THEN 'middle' ELSE 'last' END AS third FROM (SELECT doc_id, i, len(p) AS n, len({O.words('p[i]')})::BIGINT AS words FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))) WHERE words BETWEEN 134 AND 167",
     "keyword_density": f"WITH d AS (SELECT doc_id, {_ASC} AS w FROM documents), c AS (SELECT doc_id, n, x, count(*) AS c FROM (SELECT doc_id, len(w) AS n, unnest(list_filter(w, lambda z: length(z) >= 3 AND NOT list_contains({_STOP}, z))) AS x FROM d) GROUP BY 1, 2, 3), t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, x DESC) = 1) SELECT doc_id, x AS word, c AS uses, round(c::DOUBLE / n, 4) AS share FROM t WHERE round(c::DOUBLE / n, 4) > 0.03",
@@ -233,8 +233,8 @@ ORACLES: dict[str, str] = {
     "keyword_opportunity": f"SELECT keyword, intent, CASE WHEN intent IN ('transactional', 'local') THEN 'bottom' WHEN intent = 'commercial' THEN 'middle' ELSE 'top' END AS funnel, score, CASE WHEN score >= 150 THEN 'P0' WHEN score >= 80 THEN 'P1' WHEN score >= 20 THEN 'P2' ELSE 'P3' END AS priority FROM (SELECT *, round(volume * CASE WHEN intent = 'transactional' THEN 1.5 WHEN intent IN ('commercial', 'local') THEN 1.2 WHEN intent = 'navigational' THEN 0.5 ELSE 1.0 END::DOUBLE / greatest(difficulty, 1), 2) AS score FROM (SELECT *, {_SEG} AS intent FROM (SELECT *, lower(keyword) AS c FROM {lit('keyword')})))",
     "ctr_band_join": f"SELECT keyword, ctr, expected_ctr, CASE WHEN expected_ctr IS NULL THEN 'no_band' WHEN ctr < expected_ctr * 0.5::DOUBLE THEN 'low' WHEN ctr > expected_ctr * 1.5::DOUBLE THEN 'high' ELSE 'normal' END AS verdict FROM (SELECT keyword, round(clicks::DOUBLE / impressions, 4) AS ctr, expected_ctr FROM {lit('keyword')} k LEFT JOIN {lit('ctr_band')} b ON k.position >= b.lo AND k.position < b.hi)",
     "query_triage": f"SELECT keyword, CASE WHEN position BETWEEN 4 AND 15 THEN 'quick_win' WHEN impressions > 3000 AND clicks::DOUBLE / impressions < 0.02 THEN 'rewrite_snippet' WHEN position <= 3 THEN 'defend' ELSE 'watch' END AS action, CASE WHEN position <= 3 THEN '1-3' WHEN position <= 10 THEN '4-10' WHEN position <= 20 THEN '11-20' ELSE '21+' END AS bucket FROM {lit('keyword')}",
-    "traffic_drop_7d": f"SELECT day, week, before, change, change < -0.15 AS alert FROM (SELECT day, week, before, round((week - before)::DOUBLE / before, 4) AS change FROM (SELECT day, (sum(events) OVER (ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW))::BIGINT AS week, (sum(events) OVER p)::BIGINT AS before, count(*) OVER p AS n FROM {_DAYS} WINDOW p AS (ORDER BY day RANGE BETWEEN INTERVAL 13 DAYS PRECEDING AND INTERVAL 7 DAYS PRECEDING)) WHERE n = 7)",
-    "content_decay": "SELECT event_type, earlier, later, round((later - earlier)::DOUBLE / greatest(earlier, 1), 4) AS change, round((later - earlier)::DOUBLE / greatest(earlier, 1), 4) < -0.2 AS decayed FROM (SELECT event_type, count(*) FILTER (WHERE epoch_us(ts) * 2 < s) AS earlier, count(*) FILTER (WHERE epoch_us(ts) * 2 >= s) AS later FROM events, (SELECT epoch_us(min(ts)) + epoch_us(max(ts)) AS s FROM events) GROUP BY 1)",
+    "traffic_drop_7d": f"SELECT day, week, before, floor((20000 * (week - before) + before)::DOUBLE / (2 * before)) / 10000 AS change, (before - week) * 20 > before * 3 AS alert FROM (SELECT day, (sum(events) OVER (ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW))::BIGINT AS week, (sum(events) OVER p)::BIGINT AS before, count(*) OVER p AS n FROM {_DAYS} WINDOW p AS (ORDER BY day RANGE BETWEEN INTERVAL 13 DAYS PRECEDING AND INTERVAL 7 DAYS PRECEDING)) WHERE n = 7",
+    "content_decay": "SELECT event_type, earlier, later, CASE WHEN earlier > 0 THEN floor((20000 * (later - earlier) + earlier)::DOUBLE / (2 * earlier)) / 10000 ELSE later END AS change, (earlier - later) * 5 > earlier AS decayed FROM (SELECT event_type, count(*) FILTER (WHERE epoch_us(ts) * 2 < s) AS earlier, count(*) FILTER (WHERE epoch_us(ts) * 2 >= s) AS later FROM events, (SELECT epoch_us(min(ts)) + epoch_us(max(ts)) AS s FROM events) GROUP BY 1)",
     "velocity_cv": f"SELECT n::INT AS days, round(avg(events), 4) AS mean, round(stddev_pop(events) / avg(events), 4) AS cv FROM {_DAYS}, (VALUES (10), (20), (30)) v(n), (SELECT max(day) AS last FROM {_DAYS}) WHERE date_diff('day', day, last) < n GROUP BY 1",
     "sessions": f"SELECT * FROM {_SESS}", "engaged_sessions": f"SELECT engaged, count(*) AS sessions, round(avg(events), 4) AS avg_events FROM {_SESS} GROUP BY 1",
     "event_log_report": "SELECT weekday, event_type, events, round(events::DOUBLE / sum(events) OVER (PARTITION BY weekday), 4) AS share FROM (SELECT (dayofweek(ts) + 1)::BIGINT AS weekday, event_type, count(*) AS events FROM events GROUP BY 1, 2)",

@@ -86,3 +86,30 @@ def values_sql(rows, names: str, kinds: tuple) -> str:
     cols = names.split(", ")
     body = ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
     return f"(SELECT {', '.join(f'{n}::{k} AS {n}' for n, k in zip(cols, kinds, strict=True))} FROM (VALUES {body}) v({names}))"
+
+
+#: Weights of the parts of indexes.
+EEAT_WEIGHTS = {"experience": 0.20, "expertise": 0.25, "authoritativeness": 0.25, "trustworthiness": 0.30}
+CONTENT_WEIGHTS = {"eeat": 0.35, "onpage": 0.25, "depth": 0.20, "ai_readiness": 0.10, "freshness": 0.10}
+ANSWER_WEIGHTS = {"citability": 0.25, "structure": 0.20, "authority": 0.20, "access": 0.20, "multimodal": 0.15}
+CATEGORY_WEIGHTS = {"content": 22.0, "technical": 18.0, "onpage": 15.0, "links": 12.0, "schema": 10.0, "vitals": 8.0, "ai_readiness": 8.0, "images": 4.0, "local": 3.0}
+GAP_WEIGHTS = {"rating": 0.30, "relevance": 0.25, "link_type": 0.20, "freshness": 0.15, "replicability": 0.10}
+#: Least words by type of page, days after which content is due and stale, kilobytes of images (target, warning, stop), points of image faults.
+WORD_FLOORS = {"blog": 1500, "service": 800, "home": 500, "product": 300, "about": 400, "location": 500}
+FRESHNESS_DAYS = {"news": (30, 90), "data": (180, 365), "howto": (365, 545), "comparison": (365, 365), "evergreen": (545, 730), "technical": (180, 365), "trends": (365, 365)}
+IMAGE_KILOBYTES = {"thumbnail": (30, 50, 100), "content": (100, 150, 200), "hero": (200, 300, 400), "background": (300, 500, 800)}
+IMAGE_POINTS = {"no_alt": 30, "old_format": 20, "oversized": 20, "no_srcset": 15, "no_dimensions": 10, "bad_lcp": 5}
+#: Classes of URLs that waste crawls, the first that fits, by a pattern of the URL in lower case.
+CRAWL_WASTE = (
+    ("session", r"[?&](utm_[a-z]+|sessionid|sid|phpsessid|gclid|fbclid)="),
+    ("sort", r"[?&](sort|order|orderby)="),
+    ("print", r"[?&]print="),
+    ("scroll", r"[?&](page|offset)="),
+    ("facet", r"[?&/](color|size|brand|price|filter)="),
+    ("archive_page", r"/page/[0-9]+"),
+    ("tag", r"/(tag|category)/"),
+    ("api", r"/api/"),
+    ("staging", r"^https?://(staging|dev|test)\."),
+)
+#: What pages say that answer 200 for nothing.
+SOFT_404 = ("page not found", "404", "not found", "page doesn't exist", "no longer available")

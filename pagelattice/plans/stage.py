@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder of ``spark.checkpoint.dir`` (a local one where that is unset) and read it again."""
+    """Write ``df`` once as Parquet in the shared folder of ``spark.checkpoint.dir`` and read it again.
+
+    Where that is unset a temporary folder is taken in local mode; on a cluster, where machines share no such folder, it is an error.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='pagelattice-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/pagelattice-{spark.sparkContext.applicationId}"
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -168,6 +168,58 @@ LITERALS: dict[str, tuple[str, list[tuple]]] = {
     "psi": ("url string, body string", [("https://a.test/", '{"lighthouseResult":{"categories":{"performance":{"score":0.87}},"audits":{"lcp":{"numericValue":2300.5},"unused":{"details":{"overallSavingsMs":450}},"tiny":{"details":{"overallSavingsMs":50}}}}}'), ("https://b.test/", "{"), ("https://c.test/", '{"lighthouseResult":{"categories":{"performance":{"score":0.3}},"audits":{"lcp":{"numericValue":6100}}}}')]),
     "entity": ("page_id bigint, name string, same_as string, wikidata string, wikipedia string", [(1, "Acme", "https://www.wikidata.org/wiki/Q1|https://www.linkedin.com/company/acme|https://x.com/acme", "Acme", None), (2, "Beta", "", "Bet", "Beta"), (3, None, "https://en.wikipedia.org/wiki/Gamma|https://twitter.com/g|https://www.crunchbase.com/g", None, None)]),
     "indexnow": ("host string, key_ok boolean, meta_key boolean, robots_ok boolean, endpoint_ok boolean", [("a.test", True, False, True, True), ("b.test", False, True, True, False), ("c.test", None, None, False, None)]),
+    "audit_metrics": (
+        "site string, link_issues int, broken_pages int, soft_404_pages int, redirected_pages int, redirect_issues int, llms_score int, speed_score int, reading_ease double, links_per_page double, orphans int, dead_ends int, hreflang_tags int, hreflang_critical int, hreflang_high int, hreflang_medium int, near_pairs int, thin_pages int, template_groups int, template_critical int, template_warnings int, canonical_score double, local_business boolean, local_score double",
+        [
+            ("a.test", 2, 1, 0, 3, 1, 80, 92, 64.2, 6.5, 1, 2, 4, 1, 1, 2, 1, 3, 2, 1, 2, 88.6, True, 75.0),
+            ("b.test", 9, 4, 2, 0, 5, None, None, 41.3, 3.4, 12, 9, 0, None, None, None, 0, 0, 0, None, None, None, False, None),
+            ("c.test", None, None, None, None, None, 10, 40, 12.9, 1.0, None, None, None, None, None, None, 9, 9, 1, 4, 9, 40.0, None, None),
+            ("d.test", 0, 0, 0, 0, 0, 100, 100, None, None, None, None, 2, 0, 0, 0, None, None, None, None, None, 100.0, True, None),
+        ],
+    ),
+    "sitemap_summary": (
+        "host string, robots_status int, sitemaps int, sitemap_status int, urls int, checked int, healthy int, pattern_urls int",
+        [("a.test", 200, 1, 200, 50, 20, 20, 0), ("b.test", 200, 0, 404, 0, 0, 0, 0), ("c.test", 404, 2, 200, 9, 10, 8, 1), ("d.test", 200, 1, 200, 9, 10, 6, 5), ("e.test", 500, 0, 500, 3, 10, 1, None)],
+    ),
+    "link_header": (
+        "url string, link string",
+        [("https://a.test/f.pdf", '<https://a.test/f.pdf>; rel="alternate"; hreflang="EN", <https://a.test/de.pdf>; rel="alternate nofollow"; hreflang="de-AT", <https://a.test/c>; rel="canonical"'), ("https://b.test/", None), ("https://c.test/", '<https://c.test/x>; rel="alternate"')],
+    ),
+    "index_part": (
+        "subject string, part string, score double",
+        [("p1", "experience", 80.0), ("p1", "expertise", 25.0), ("p1", "authoritativeness", 50.0), ("p1", "trustworthiness", 70.0), ("p2", "experience", None), ("p2", "expertise", 60.0), ("p2", "other", 99.0), ("p3", "trustworthiness", None), ("p4", "eeat", 56.0), ("p4", "onpage", 80.0), ("p4", "depth", 70.0), ("p4", "ai_readiness", 20.0), ("p4", "freshness", 90.0), ("p5", "citability", 40.0), ("p5", "structure", 90.0), ("p5", "authority", 10.0), ("p5", "access", 100.0), ("p5", "multimodal", 30.0)],
+    ),
+    "health_signal": (
+        "site string, category string, positive int, deficit int, critical int, warnings int",
+        [("a.test", "content", 8, 2, 0, 1), ("a.test", "technical", 9, 1, 1, 0), ("a.test", "local", 0, 0, 0, 0), ("b.test", "onpage", 1, 9, 2, 3), ("b.test", "links", 5, 5, 0, 0)],
+    ),
+    "content_page": (
+        "page string, kind string, words int, age_days int, topic string, impressions_year int, impressions int, impressions_before int, clicks int, clicks_before int, backlinks int, outdated boolean",
+        [
+            ("p1", "blog", 900, 40, "shoes", 900, 100, 200, 10, 20, 3, False), ("p2", "product", 300, 400, "shoes", 50, 80, 80, 9, 9, 0, False), ("p3", "news", 200, 95, "fair", 4, 1, 2, 0, 1, 0, True),
+            ("p4", "howto", 2000, 500, "lacing", 4000, 1000, 1000, 40, 90, 8, False), ("p5", "evergreen", 1600, 731, "care", 700, 70, 60, 20, 10, 1, False), ("p6", "about", 399, 10, "us", 9, 3, 3, 1, 1, 2, True), ("p7", "other", 1, 1, None, 1, 0, 0, 0, 0, 0, True), ("p8", "comparison", 1, 365, "best", 90, 90, 100, 9, 9, 0, False),
+        ],
+    ),
+    "channel": ("channel string, sessions int, rate double, order_value double, conversions int, lead_value double, investment double", [("shop", 10000, 0.02, 50.0, None, None, 4000.0), ("leads", None, None, None, 40, 120.0, 6000.0), ("none", 10, 0.1, 1.0, 1, 1.0, 0.0)]),
+    "site_count": (
+        "site string, submitted int, indexed int, location_pages int, pages_fetched int, analytics boolean, images int, no_alt int, old_format int, oversized int, no_srcset int, no_dimensions int, bad_lcp int",
+        [("a.test", 100, 95, 30, 9, True, 40, 4, 10, 2, 20, 1, 0), ("b.test", 100, 90, 31, 9, False, 10, 10, 10, 10, 10, 10, 10), ("c.test", 10, 6, 50, 3, True, 0, 0, 0, 0, 0, 0, 0), ("d.test", 10, 4, 0, 0, False, 3, 1, 1, 1, 1, 1, 1), ("e.test", 0, 0, 49, 4, True, 7, 0, 0, 0, 0, 0, 0)],
+    ),
+    "missing_url": (
+        "url string, moved boolean, wanted boolean, external_only boolean",
+        [("https://a.test/search?q={search_term_string}", False, False, False), ("https://a.test/p?color=red", False, False, False), ("https://a.test/old", True, False, False), ("https://a.test/live", False, True, False), ("https://a.test/tpyo", False, False, True), ("https://a.test/gone", False, False, False)],
+    ),
+    "waste_url": (
+        "url string",
+        [("https://a.test/p?utm_source=x",), ("https://a.test/p?sort=up&page=2",), ("https://a.test/p?print=1",), ("https://a.test/p?page=2",), ("https://a.test/color=red&size=M",), ("https://a.test/blog/page/47",), ("https://a.test/tag/red/",), ("https://a.test/api/v2/p.json",), ("https://staging.a.test/",), ("https://a.test/",), (None,)],
+    ),
+    "gap_domain": ("domain string, rating double, relevance double, link_type double, freshness double, replicability double", [("x.org", 90.0, 80.0, 70.0, 60.0, 50.0), ("y.org", 40.0, 50.0, 40.0, 30.0, 20.0), ("z.org", 10.0, 0.0, 5.0, 90.0, 100.0)]),
+    "old_url": ("old_url string, visits int, backlinks int", [("/a", 101, 0), ("/b", 3, 6), ("/c", 100, 5), ("/d", 0, 1), ("/e", 0, 0)]),
+    "image_size": ("src string, kind string, kilobytes int", [("a", "thumbnail", 29), ("b", "thumbnail", 51), ("c", "content", 150), ("d", "hero", 401), ("e", "background", 800), ("f", "icon", 1)]),
+    "page_plan": ("plan string, pages int, unique_share double, reviewed boolean", [("a", 501, 0.9, True), ("b", 10, 0.29, True), ("c", 10, 0.39, True), ("d", 101, 0.8, True), ("e", 5, 0.8, False), ("f", 5, 0.8, True)]),
+    "task": ("task string, impact int, ranking int, effort int, week int", [("t1", 9, 8, 3, 1), ("t2", 5, 5, 0, 12), ("t3", 2, 9, 7, 20), ("t4", 1, 1, 1, 40)]),
+    "answer_block": ("block string, shape string, words int, items int, longest_item int, columns int", [("b1", "paragraph", 40, None, None, None), ("b2", "paragraph", 61, None, None, None), ("b3", "list", None, 5, 14, None), ("b4", "list", None, 9, 15, None), ("b5", "table", None, None, None, 4), ("b6", "video", None, None, None, None), ("b7", "table", None, None, None, None)]),
+    "answer_page": ("url string, status int, title string, body string", [("/a", 200, "Page Not Found", "Sorry: 404."), ("/b", 200, "Shop", "not found"), ("/c", 404, "404", "404"), ("/d", 200, "404", None)]),
     "page_html_hint": ("page_id bigint, html string", [(1, '<link href="/wp-content/a.css"><meta name="generator" content="WordPress 6">'), (2, '<div id="__next"></div><script src="/_next/static/x.js"></script>'), (3, '<script src="https://cdn.shopify.com/x.js"></script>'), (4, "<p>plain</p>"), (5, '<meta content="blogger" name="generator"><a href="https://x.blogspot.com">x</a>'), (6, '<script src="https://static.wixstatic.com/a.js"></script><div data-reactroot></div>')]),
 }
 

@@ -23,7 +23,8 @@ def rows(frame):
     cols = sorted(frame.columns)
     f = frame[cols].astype(object)
     f = f.where(f.notna(), None)
-    plain = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    # one engine gives dates as dates, the other as time stamps at midnight
+    plain = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v).removesuffix(" 00:00:00") if hasattr(v, "isoformat") else v
     return cols, sorted(map(repr, f.map(plain).itertuples(index=False, name=None)))
 
 
