@@ -14,12 +14,18 @@ SKIP = r"(?i)^(#|javascript:|mailto:|tel:|data:)"
 
 
 def raw_links(pages: DataFrame) -> DataFrame:
-    """Every a element with an href that navigates: page_id, host, pos, url (resolved), anchor (at most 80 characters), nofollow, internal."""
-    p = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?is)<a\s([^>]*)>"), F.lit(1))).alias("pos", "t"), F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?is)<a\s[^>]*>(.*?)</a>"), F.lit(1)).alias("inner"))
+    """Every a element with an href that navigates: page_id, host, pos, url (resolved), anchor (at most 80 characters), nofollow, internal.
+
+    The page is cut where an a element begins, so that tag and text of a link are of one piece: an element that
+    isn't closed ends where the next one begins and shifts no other link's text.
+    """
+    pieces = F.slice(F.split(F.coalesce("html", F.lit("")), r"(?i)<a\s", -1), 2, 1 << 30)
+    p = pages.select("page_id", "url", F.posexplode(pieces).alias("pos", "piece")).where(F.col("piece").contains(">"))
+    p = p.withColumns({"t": F.regexp_extract("piece", "^([^>]*)>", 1), "inner": F.regexp_extract("piece", r"(?is)^[^>]*>(.*?)(?:</a|\z)", 1)})
     href = F.trim(H.attr(F.col("t"), "href"))
     p = p.withColumn("href", href).where(F.col("href").isNotNull() & (F.col("href") != "") & ~F.col("href").rlike(SKIP))
     target = U.resolve(F.col("url"), F.col("href"))
-    anchor = F.substring(H.squeeze(H.decode(F.regexp_replace(F.coalesce(F.get("inner", F.col("pos")), F.lit("")), "<[^>]*>", " "))), 1, 80)
+    anchor = F.substring(H.squeeze(H.decode(F.regexp_replace("inner", "<[^>]*>", " "))), 1, 80)
     p = p.select("page_id", "pos", U.host(F.col("url")).alias("host"), target.alias("target"), F.when(anchor == "", "[no text]").otherwise(anchor).alias("anchor"), F.array_contains(F.split(F.lower(F.coalesce(H.attr(F.col("t"), "rel"), F.lit(""))), r"\s+"), "nofollow").alias("nofollow"))
     return p.where(U.scheme(F.col("target")).isin("http", "https")).withColumn("internal", U.host(F.col("target")) == F.col("host"))
 

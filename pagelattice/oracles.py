@@ -35,7 +35,8 @@ _EDGE_RAW = f"""(SELECT page_id, host, pos, target, CASE WHEN a = '' THEN '[no t
   SELECT page_id, {O.host('url')} AS host, i AS pos, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN {O.scheme('url')} || ':' || href WHEN starts_with(href, '/') THEN {O.scheme('url')} || '://' || {O.host('url')} || href
       WHEN starts_with(href, '?') THEN {O.scheme('url')} || '://' || {O.host('url')} || {O.part('url', 3)} || href ELSE {O.scheme('url')} || '://' || {O.host('url')} || regexp_replace({O.part('url', 3)}, '[^/]*$', '') || href END AS target,
     left({O.squeeze(O.decode("regexp_replace(coalesce(txt, ''), '<[^>]*>', ' ', 'g')"))}, 80) AS a, list_contains(string_split_regex(lower(coalesce({O.attr('tag', 'rel')}, '')), '\\s+'), 'nofollow') AS nofollow
-  FROM (SELECT page_id, url, i - 1 AS i, tags[i] AS tag, inn[i] AS txt, trim({O.attr('tags[i]', 'href')}) AS href FROM (SELECT page_id, url, tags, inn, unnest(range(1, len(tags) + 1)) AS i FROM (SELECT page_id, url, regexp_extract_all({_H}, '(?is)<a\\s([^>]*)>', 1) AS tags, regexp_extract_all({_H}, '(?is)<a\\s[^>]*>(.*?)</a>', 1) AS inn FROM pages)))
+  FROM (SELECT page_id, url, i, tag, txt, trim({O.attr('tag', 'href')}) AS href FROM (SELECT page_id, url, i - 2 AS i, regexp_extract(parts[i], '^([^>]*)>', 1) AS tag, regexp_extract(parts[i], '(?is)^[^>]*>(.*?)(?:</a|\\z)', 1) AS txt
+    FROM (SELECT page_id, url, parts, unnest(range(2, len(parts) + 1)) AS i FROM (SELECT page_id, url, string_split_regex({_H}, '(?i)<a\\s') AS parts FROM pages)) WHERE contains(parts[i], '>')))
   WHERE href IS NOT NULL AND href <> '' AND NOT regexp_matches(href, '(?i)^(#|javascript:|mailto:|tel:|data:)')) WHERE {O.scheme('target')} IN ('http', 'https'))"""
 _EDGES = f"(SELECT page_id, host, {O.normal_b('target')} AS target, arg_min(anchor, pos) AS anchor, arg_min(nofollow, pos) AS nofollow FROM {_EDGE_RAW} WHERE internal GROUP BY page_id, host, {O.normal_b('target')})"
 _DEG = f"""(SELECT p.page_id, coalesce(i.n, 0)::BIGINT AS in_degree, coalesce(o.n, 0)::BIGINT AS out_degree FROM pages p LEFT JOIN (SELECT target, count(DISTINCT page_id) AS n FROM {_EDGES} GROUP BY 1) i ON i.target = {O.normal_b('p.url')}

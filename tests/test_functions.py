@@ -46,3 +46,23 @@ def test_syllables(spark, word, a, b):
 def test_shingles(spark):
     assert one(spark, T.shingles(F.split("t", " "), 2), t="a b a b c") == ["a b", "b a", "b c"]
     assert one(spark, T.shingles(F.split("t", " "), 5), t="a b") == ["a b"]
+
+
+def test_links_of_malformed_pages(spark):
+    """By hand: unclosed, nested, quoted and broken links keep their own text."""
+    from pagelattice.operators import links
+
+    html = (
+        '<p><A HREF="/one">First <b>one</b></a> text <a href="/open">left open <a href=\'two?x=1#f\' rel="noFollow me">Second</a>'
+        '<a name="here">no href</a><a href="#top">skip</a><a href="mailto:a@b">skip</a><a\nhref=/bare>Bare</A><a href="http://Other.test/">x</a><a href="/img"><img src="i"></a><abbr>no link</abbr><a href="/cut"'
+    )
+    page = spark.createDataFrame([(1, "https://s.test/d/p", html), (2, "https://s.test/", None)], "page_id long, url string, html string")
+    got = [(r.target, r.anchor, r.nofollow, r.internal) for r in links.raw_links(page).orderBy("pos").collect()]
+    assert got == [
+        ("https://s.test/one", "First one", False, True),
+        ("https://s.test/open", "left open", False, True),
+        ("https://s.test/d/two?x=1#f", "Second", True, True),
+        ("https://s.test/bare", "Bare", False, True),
+        ("http://Other.test/", "x", False, False),
+        ("https://s.test/img", "[no text]", False, True),
+    ]
