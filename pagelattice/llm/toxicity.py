@@ -28,6 +28,8 @@ LEAST_WORD, LEAST_STEM, PRECISION = 4, 4, 0.9
 STEMS = (4, 5, 6)
 #: Power of the length in words by which the weights' sum is divided.
 LENGTH_POWER = 0.125
+#: Terms that a task of the training holds before it sends them on.
+TERMS = 20_000
 #: Code points of a text that are folded and matched at once.
 PIECE = 1_000_000
 
@@ -122,9 +124,14 @@ class Lexicon:
 def _counts(rows: DataFrame) -> DataFrame:
     """(kind, term, toxic, clean, words): documents of either label that have a word or stem, and words of a stem."""
 
+    def batch(out: list) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        types = (pa.string(), pa.string(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["kind", "term", "y", "word"])
+
     def run(batches):
+        out: list = []
         for b in batches:
-            out = []
             for text, y in zip(b.column("text").to_pylist(), b.column("_y").to_pylist(), strict=True):
                 words = {w for t in _pieces(text or "") for w in t.split()}
                 out += [("word", w, y, "") for w in words if len(w) > 2]
@@ -134,9 +141,10 @@ def _counts(rows: DataFrame) -> DataFrame:
                         if len(w) > k:
                             stems.setdefault(w[:k], w)
                 out += [("stem", s, y, w) for s, w in stems.items()]
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            types = (pa.string(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["kind", "term", "y", "word"])
+                if len(out) >= TERMS:
+                    yield batch(out)
+                    out = []
+        yield batch(out)
 
     c = rows.select("text", "_y").mapInArrow(run, "kind string, term string, y long, word string")
     return c.groupBy("kind", "term").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"), F.approx_count_distinct(F.when(F.col("y") == 1, F.col("word"))).alias("words"))
