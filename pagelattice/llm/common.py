@@ -78,6 +78,12 @@ def checked_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= min(most, rows or most) else df
 
 
+def private(df: DataFrame, *plain: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with all columns but ``plain`` renamed, so that they clash with no working column, and the new name of each."""
+    names = {c: c if c in plain else f"_in{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, small_batches, staged
+from .common import checked_broadcast, private, small_batches, staged
 from .neardup import PACKED, fresh, link, packs, places_for
 from .sketch import bands, mix, short, sketch
 
@@ -67,11 +67,15 @@ def _spans(lines: list[str]):
         yield a, len(lines)
 
 
+def _first_hash():
+    return F.xxhash64("line")
+
+
 def _split(docs: DataFrame, *keep, bad: DataFrame | None = None) -> DataFrame:
     """(keep, pos, fp, fp2, line) of lines that are not blank, as they are compared; ids in ``bad`` are replaced by the second hash."""
     # the outer form: else the optimizer would split once more to filter on the number of lines
     d = docs.select(*keep, F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", F.lower(F.btrim("line", F.lit(ENDS))))
-    d = d.where("line <> ''").withColumns({"fp": F.xxhash64("line"), "fp2": F.xxhash64(F.lit(1), "line")})
+    d = d.where("line <> ''").withColumns({"fp": _first_hash(), "fp2": F.xxhash64(F.lit(1), "line")})
     if bad is not None:
         d = d.join(checked_broadcast(bad.withColumn("_bad", F.lit(True))), "fp", "left").withColumn("fp", F.when(F.col("_bad"), F.col("fp2")).otherwise(F.col("fp"))).drop("_bad")
     return d
@@ -173,14 +177,14 @@ def deduplicated(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFra
     table gives an empty one; other columns of any name are passed on, but n_lines and n_dropped are replaced.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    names = {c: f"_in{i}" for i, c in enumerate(kept) if c not in ("doc_id", "text")}
+    d, names = private(docs.select(*kept), "doc_id", "text")
     gone = staged(dropped(docs.select("doc_id", "text"), k, percent)).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("drop").alias("_drop"))
     places = gone.agg(F.coalesce(F.sum(F.size("_drop")), F.lit(0))).first()[0]
     side = F.broadcast(gone) if places <= 2_000_000 and gone.count() <= 500_000 else gone
-    d = docs.select(*kept).withColumnsRenamed(names).join(side, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
+    d = d.join(side, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
     # places that stay by a hashed difference, so that documents of very many lines take linear time
     d = d.withColumn("_parts", F.split("text", "\n", -1)).withColumn("_stay", F.when(F.col("_drop").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), "_drop")))
     left = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_stay", lambda i: F.get("_parts", i)), "\n"))
     count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.filter("_parts", lambda x: F.btrim(x, F.lit(ENDS)) != ""))).cast("long")
-    back = [left.alias("text") if c == "text" else F.col(names.get(c, c)).alias(c) for c in kept]
+    back = [left.alias("text") if c == "text" else F.col(names[c]).alias(c) for c in kept]
     return d.select(*back, count.alias("n_lines"), F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop")).cast("long").alias("n_dropped"))

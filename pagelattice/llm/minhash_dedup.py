@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, small_batches, staged
+from .common import checked_broadcast, private, small_batches, staged
 from .neardup import PACKED, fresh, link, packs, places_for
 from .sketch import bands, distinct, mix, shingles, short, sketch, words
 
@@ -188,13 +188,13 @@ def deduplicated(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFra
     j = staged(d.join(checked_broadcast(staged(least)), "root").withColumn("is_first", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h").eqNullSafe(F.col("first"))))
     gone = staged(j.where("not is_first").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct())
     many = staged(j.where("is_first").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).count().where("count > 1").select("_d", "_h"))
-    names = {c: f"_in{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    left, names = private(docs, "doc_id", "text")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
-    left = docs.withColumnsRenamed(names).join(checked_broadcast(gone), same, "left_anti")
+    left = left.join(checked_broadcast(gone), same, "left_anti")
     if not many.isEmpty():
         few = checked_broadcast(many)
         left = left.join(few, same, "left_anti").unionByName(left.join(few, same, "left_semi").dropDuplicates(["doc_id", "text"]))
-    return left.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
+    return left.select(*(F.col(names[c]).alias(c) for c in docs.columns))
 
 
 #: All pairs by shared shingles in SQL, and components by recursion.

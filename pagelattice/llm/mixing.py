@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, staged, word_count
+from .common import checked_broadcast, private, staged, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -119,20 +119,22 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MAX_COPIES) -> Da
     units = staged(sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("n")))
     p = staged(plan(units, weights, most))
     p = p.select(F.col("source").alias("_s"), F.col("source_size").alias("_ss"), F.col("target").alias("_t"), "lam", "at", "end_q", "end_id", "fit_id", "fit_size")
-    clash = {c: f"_in_{i}" for i, c in enumerate(kept) if c not in ("doc_id", "source", "text") and c in ("lam", "at", "end_q", "end_id", "fit_id", "fit_size", "m", "whole", "pi", "q", "slice", "draw", "_s", "_ss", "_t")}
-    d = sized.withColumnsRenamed(clash).join(checked_broadcast(p, 20_000), F.col("source").eqNullSafe(F.col("_s")))
+    d, names = private(docs.select(*kept), "doc_id", "source", "text")
+    d = d.withColumn("size", word_count(F.col("text"))).join(checked_broadcast(p, 20_000), F.col("source").eqNullSafe(F.col("_s")))
     d = _wanted(d, most).withColumn("slice", F.floor(F.lit(float(SLICES)) * (F.col("q") / (F.lit(1.0) + F.col("q")))))
     fits = F.col("fit_size").isNotNull() & (F.col("size") == F.col("fit_size")) & F.col("doc_id").eqNullSafe(F.col("fit_id"))
     more = F.coalesce(F.col("q").isNotNull() & (_before_end() | fits), F.lit(False))
     copies = F.col("whole") + F.when(more, 1).otherwise(0)
-    back = [F.col(clash.get(c, c)).alias(c) for c in kept]
+    back = [F.col(names[c]).alias(c) for c in kept]
     return d.select(*back, "size", F.col("_ss").alias("source_size"), F.col("_t").alias("target"), copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with the columns of ``docs``."""
     m = mix(docs, weights, most)
-    return m.where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    # the outer form, filtered above: a filter on copies would be pushed down and count the words once more
+    rows = m.select(*docs.columns, F.explode_outer(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy_"))
+    return rows.where(F.col("_copy_").isNotNull()).select(*docs.columns)
 
 
 #: The same plan in plain SQL, with whole windows where the operator uses a histogram.

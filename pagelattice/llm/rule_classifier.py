@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, held_out
+from .common import SPACE, held_out, private
 
 #: Labelled rows that a model is fitted on at most: those whose ids come first by hash.
 SAMPLE = 20_000
@@ -220,9 +220,10 @@ def accepted(docs: DataFrame, model: Ensemble, threshold: float = THRESHOLD) ->
     Null and empty texts, null ids and repeated rows are kept or rejected by their score, as in ``scores``;
     columns of any name are passed on; an empty table gives an empty one.
     """
-    names = {c: f"_in{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    s = statistics(docs.withColumnsRenamed(names), ("text", *names.values()))
+    d, names = private(docs, "doc_id", "text")
+    keep = [x for x in names.values() if x != "doc_id"]
+    s = statistics(d, tuple(keep))
     # the score is a generator's output: a filter on a plain column would be pushed below the statistics, whose
     # expressions would then be evaluated again in every comparison of every rule
-    s = s.select("doc_id", "text", *names.values(), F.explode_outer(F.array(model.score())).alias("_score")).where(F.col("_score") >= threshold)
-    return s.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
+    s = s.select("doc_id", *keep, F.explode_outer(F.array(model.score())).alias("_score")).where(F.col("_score") >= threshold)
+    return s.select(*(F.col(names[c]).alias(c) for c in docs.columns))

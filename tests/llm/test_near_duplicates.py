@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from pagelattice.llm import line_dedup, minhash_dedup, neardup, sketch
+from pagelattice.llm import common, line_dedup, minhash_dedup, neardup, sketch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -81,8 +82,11 @@ def test_sketch_estimates():
     assert (s[2] == sketch.sketch(a[:3], np.array([0, 3]), 250)[0]).all()
 
 
+ENDS = " \t\n\x0b\x0c\r"
+
+
 def brute_lines(rows, k, percent):
-    items = [(i, p, line.strip(" ").lower()) for i, t, *_ in rows if t is not None for p, line in enumerate(t.split("\n")) if line.strip(" ")]
+    items = [(i, p, line.strip(ENDS).lower()) for i, t, *_ in rows if t is not None for p, line in enumerate(t.split("\n")) if line.strip(ENDS)]
     texts = sorted({x for *_, x in items})
     sets = {t: {t[j : j + k] for j in range(max(1, len(t) - k + 1))} for t in texts}
     root = {t: t for t in texts}
@@ -100,7 +104,7 @@ def brute_lines(rows, k, percent):
     for i, p, t in items:
         first.setdefault(find(t), (i, p))
     keep = set(first.values())
-    return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if not x.strip(" ") or (i, p) in keep) for i, t, *_ in rows if t is not None}
+    return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if not x.strip(ENDS) or (i, p) in keep) for i, t, *_ in rows if t is not None}
 
 
 def test_lines(spark):
@@ -132,3 +136,62 @@ def test_one_edited_character(spark):
     rows = [(0, "\n".join(lines), "en", "s", 0), (1, "\n".join(edits), "en", "s", 0)]
     got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {0: (len(lines), 0), 1: (len(lines), len(lines))}
+
+
+def test_sets_with_one_fingerprint_stay_apart(spark, monkeypatch):
+    """Different sets and lines whose first hash is the same are not taken for copies, and are still linked where they are near."""
+    plain = minhash_dedup._fingerprint
+    monkeypatch.setattr(minhash_dedup, "_fingerprint", lambda v, o, salt=0: plain(v, o, salt) if salt else plain(v, o) % 3)
+    rng = random.Random(31)
+    base = words(rng, 120)
+    texts = [" ".join(base), " ".join(base), " ".join(edited(rng, base, 0.02))] + [" ".join(words(rng, 60)) for _ in range(12)] + ["", None]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows)
+    monkeypatch.setattr(line_dedup, "_first_hash", lambda: F.pmod(F.xxhash64("line"), F.lit(3)))
+    lines = [(i, "\n".join(t.split(" w1")) if t else t, "en", "s", 0) for i, t in enumerate(texts)]
+    out = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(lines, SCHEMA)).collect() if r.text is not None}
+    assert out == brute_lines(lines, line_dedup.K, line_dedup.PERCENT)
+
+
+def test_line_ends_and_case(spark):
+    rows = [(0, "A line of some words here\r\nanother line of words\r\n \t\r", "en", "s", 0), (1, "\ta LINE of some words here\nnew words altogether in this", "en", "s", 0)]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: (rows[0][1], 2, 0), 1: ("new words altogether in this", 2, 1)}
+
+
+def test_any_column_names_and_repeated_rows(spark):
+    names = "doc_id long, text string, _d int, _h int, _drop int, root int, fp int, n_lines int, _in2 int, first int, count int"
+    text = "one two three four five six seven\neight nine ten eleven twelve"
+    rows = [(i, t, *range(9)) for i, t in [(1, text), (1, text), (None, text), (None, text), (None, "alone here with no copy at all"), (2, text), (3, None), (4, "")]]
+    d = spark.createDataFrame(rows, names)
+    near = minhash_dedup.deduplicated(d)
+    assert near.columns == d.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in near.collect()) == sorted([("1", text), ("None", "alone here with no copy at all"), ("3", ""), ("4", "")])
+    lines = line_dedup.deduplicated(d)
+    assert set(d.columns) - {"n_lines"} < set(lines.columns) and lines.count() == len(rows)
+    kept = [(r.doc_id, r.text) for r in lines.collect()]
+    assert kept.count((None, text)) == 2 and kept.count((1, "")) == 2 and (2, "") in kept and (3, None) in kept  # rows equal in id and text are one document
+
+
+def test_crowded_buckets_are_split_by_pack():
+    """Items of a bucket that meet in a pack send one pair there; what comes out links them all."""
+    rng = np.random.default_rng(2)
+    fp = rng.integers(-(2**62), 2**62, 500)
+    keys = rng.integers(0, 2**63, (500, 4), dtype=np.int64).astype(np.uint64)
+    keys[:, 0] = 7 << 40  # all share a bucket
+    b = neardup.pack(fp, keys, 16)
+    home = [neardup._unpacked(x, 1) for x in b.column("home").to_pylist() if x is not None]
+    extra = [neardup._unpacked(x, 2) for x in b.column("extra").to_pylist() if x is not None]
+    assert sum((k == 7 << 40).sum() for k, _ in home) == 1 and sum(len(k) for k, _ in home) == 1501
+    assert {int(x) for _, low, item in extra for x in item} == set(fp.tolist()) and {int(x) for _, low, _ in extra for x in low} == {int(fp.min())}
+    assert len({int(p) for p, y in zip(b.column("place").to_pylist(), b.column("extra").to_pylist(), strict=True) if y is not None}) > 8
+
+
+def test_components_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "EDGES", 50)
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(0, 200)] + [(1000, x) for x in range(1001, 1300)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)]
+    got = dict(map(tuple, common.components(spark.createDataFrame(edges, "u long, v long").repartition(9)).collect()))
+    label = common.forest(2300, *np.array(edges).T)
+    assert got == {x: int(label[x]) for e in edges if e[0] != e[1] for x in e}

@@ -195,6 +195,16 @@ def test_mixing_meets_targets(spark):
     assert sorted(map(str, d)) == sorted(map(str, again))
 
 
+def test_mixed_holds_each_document_as_often_as_it_is_taken(spark):
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randrange(0, 90), "en", rng.choice(["a", "a", "b", "c"]), i) for i in range(300)]
+    d = frame(spark, rows)
+    want = {r.doc_id: r.copies for r in mixing.mix(d).collect() if r.copies}
+    out = mixing.mixed(d)
+    assert out.columns == d.columns and collections.Counter(r.doc_id for r in out.collect()) == want and max(want.values()) > 1
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1  # what regexp_count is rewritten to
+
+
 def test_mixing_edges(spark):
     assert mixing.mix(frame(spark, [])).count() == 0 and mixing.mixed(frame(spark, [])).columns == ["doc_id", "text", "lang", "source", "n_chars"]
     d = spark.createDataFrame([(1, "a b", "s", 9, 9), (2, None, None, 9, 9)], "doc_id long, text string, source string, size int, lam int")
