@@ -9,9 +9,13 @@ WORD = r"[\p{L}\p{N}_]+"
 
 #: Words that are no keywords.
 STOP_WORDS = (
-    "the a an and or but in on at to for with by of from as is are was were be been this that these those it he she they we you i your my their our its which who whom whose what where when why how all any "
-    "both each few more most other some such no nor not only own same so than too very can will just should have has had do does did get got make use used also about into then there would could here"
-).split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "with", "by", "of", "from", "as", "is", "are", "was",
+    "were", "be", "been", "this", "that", "these", "those", "it", "he", "she", "they", "we", "you", "i", "your", "my", "their",
+    "our", "its", "which", "who", "whom", "whose", "what", "where", "when", "why", "how", "all", "any", "both", "each", "few",
+    "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "can",
+    "will", "just", "should", "have", "has", "had", "do", "does", "did", "get", "got", "make", "use", "used", "also", "about",
+    "into", "then", "there", "would", "could", "here",
+)
 
 
 def words(text: Column) -> Column:

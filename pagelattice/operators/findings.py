@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans import dims
 
+#: Prefix of a finding's key and the pattern whose first group follows it.
 KEYS = (
     ("missing-required:", r"missing required (?:repository )?(?:file|artifact):\s*([^.\n]+)"), ("missing-recommended:", r"missing recommended (?:trust|community) artifact:\s*([^.\n]+)"),
     ("community-profile-missing:", r"missing community profile component:\s*([^.\n]+)"), ("community-profile-missing:", "remote community profile marks [`']?([^`'.\\n]+)[`']? as missing"),
 )
-#: Text of a finding and the metric that refutes it.
+#: Text of a finding and the metric that refutes it.
 REFUTED = (("no code examples detected", "code_block_count > 0"), ("readme should contain exactly one h1 heading", "h1_count = 1"), ("installation/quickstart section is missing", "has_install_section"), ("readme sectioning is shallow", "heading_count >= 4"))
 
 
