@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audit_oracles import AUDITS
+from .operators import articles as A
+from .operators import audits as U
 from .operators import backlinks as B
 from .operators import documents as D
 from .operators import findings as N
@@ -135,4 +138,41 @@ QUERIES |= {
     "return_on_search": _lit(R.return_on_search, "channel"),
 }
 
-ORACLES = ORACLES | SCORING
+QUERIES |= {
+    # articles
+    "article_facts": _on("pages", A.article_facts),
+    "article_findings": _lit(A.article_findings, "article_fact"),
+    "page_paragraphs": _on("pages", A.page_paragraphs),
+    "visible_lines": _on("pages", A.visible_lines),
+    "navigation_noise": _on("documents", A.navigation_noise),
+    "navigation_noise_cases": _lit(A.navigation_noise, "noise_text"),
+    "page_entities": _lit(A.page_entities, "entity_html"),
+    "entity_names": _lit(A.entity_names, "entity_html"),
+    "contact_signals": _lit(A.contact_signals, "entity_html"),
+    # audits
+    "audit_findings": _on("pages", U.audit_findings),
+    "site_risk": _lit(U.site_risk, "template_count"),
+    "thin_pages_first": _on("pages", U.thin_pages_first),
+    "largest_groups": _on("pages", lambda p: U.largest_groups(P.template_groups(p))),
+    "self_canonical_pairs": _lit(U.self_canonical_pairs, "near_pair", "canonical_page"),
+    "canonical_filled": _lit(lambda p: U.with_canonical(p, p), "canonical_page"),
+    "environment_fixes": _lit(U.environment_fixes, "site_metrics"),
+    "raw_html_notice": _lit(U.raw_html_notice, "site_runtime"),
+    "masked_keys": _lit(U.masked_keys, "site_key"),
+    "sitemap_candidates": _lit(U.sitemap_candidates, "robots_txt"),
+    "sitemap_languages": _lit(U.sitemap_languages, "sitemap_alternates"),
+    "soft_404_of_links": _lit(U.soft_404_by_wide_title, "answer_page"),
+    # rule tables
+    "domain_index": _lit(U.domain_index, "domain_rating"),
+    "item_priorities": _lit(lambda g: U.item_priorities(g, dims.ITEM_WEIGHTS), "grade"),
+    "recognition": _lit(U.recognition, "recognition_answer"),
+    "review_bands": _lit(U.review_bands, "review_stat"),
+    "business_kinds": _lit(U.business_kinds, "business_page"),
+    "business_kinds_of_pages": _on("pages", U.business_kinds),
+    "content_pages": _lit(U.content_pages, "task_page"),
+    "passage_blocks": _on("documents", U.passage_blocks),
+    "passage_cases": _lit(U.passage_blocks, "passage"),
+    "link_health": _lit(U.link_health, "link_stat"),
+}
+
+ORACLES = ORACLES | SCORING | AUDITS

@@ -124,3 +124,45 @@ CRAWL_WASTE = (
 )
 #: What pages say that answer 200 for nothing.
 SOFT_404 = ("page not found", "404", "not found", "page doesn't exist", "no longer available")
+
+#: Phrases of menus, types of entities, patterns of phone numbers and streets.
+MENU_PHRASES = (
+    "read more", "recent posts", "older posts", "subscribe to", "comments (atom)", "labels", "search for a post", "widget",
+    "your browser does not support javascript",
+)
+ENTITY_TYPES = (
+    "Organization", "Person", "Corporation", "LocalBusiness", "Brand", "MedicalOrganization", "EducationalOrganization", "GovernmentOrganization",
+)
+PHONE = r"[+]?[0-9\-() ]{7,15}"
+STREET = r"(?i)[0-9]{1,5} +[a-z0-9_]+ +(street|st|avenue|ave|road|rd|blvd|drive|dr|lane|ln)"
+#: Paths where sitemaps are tried, and what titles of missing pages say to link checks.
+SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/wp-sitemap.xml", "/sitemap1.xml")
+SOFT_404_OF_LINKS = (
+    "page not found", "404", "not found", "no longer available", "does not exist", "doesn't exist", "has been removed", "page has moved", "no results found",
+)
+#: Where a fix is made, by platform and area.
+FIX_PLACES = {
+    "Blogger": {"metadata": "theme HTML, head", "heading": "post template", "headers": "proxy in front", "llms": "proxy route", "links": "posts and gadgets", "performance": "theme gadgets"},
+    "WordPress": {"metadata": "SEO plugin", "heading": "theme template", "headers": "web server or CDN", "llms": "web root", "links": "menus and posts", "performance": "cache plugin"},
+    "Next.js": {"metadata": "metadata export", "heading": "route component", "headers": "next.config headers", "llms": "public folder", "links": "route components", "performance": "image and script components"},
+    "Nuxt": {"metadata": "useHead", "heading": "route component", "headers": "server routes", "llms": "public folder", "links": "route components", "performance": "image and script components"},
+    "other": {"metadata": "page template", "heading": "page template", "headers": "web server or CDN", "llms": "web root", "links": "pages and menus", "performance": "assets and scripts"},
+}
+#: Weights of citation, identity, trust, eminence by kind of domain; weights and quartiles of referring domains for link health.
+DOMAIN_WEIGHTS = {
+    "default": (0.35, 0.20, 0.25, 0.20), "publisher": (0.40, 0.15, 0.20, 0.25), "service": (0.25, 0.30, 0.25, 0.20), "shop": (0.20, 0.20, 0.35, 0.25),
+    "community": (0.35, 0.10, 0.25, 0.30), "tool": (0.25, 0.30, 0.25, 0.20), "institution": (0.45, 0.20, 0.20, 0.15),
+}
+LINK_HEALTH_WEIGHTS = {"domains": 0.20, "quality": 0.20, "toxic": 0.20, "anchors": 0.15, "places": 0.10, "velocity": 0.10, "follow": 0.05}
+DOMAIN_QUARTILES = {"local": (20, 80, 250), "saas": (100, 500, 2000), "shop": (200, 1000, 5000), "publisher": (500, 3000, 15000), "enterprise": (1000, 8000, 50000)}
+#: Signs of kinds of business in URL and HTML in lower case, in the order that settles ties; paths of pages that only serve a task.
+BUSINESS_SIGNS = (
+    ("saas", "/pricing|/features|free trial"),
+    ("shop", '/products|"product"|add to cart'),
+    ("local", "tel:|service area|google[.]com/maps"),
+    ("publisher", "byline|/category/|<article"),
+    ("agency", "/case-studies|client logos|/portfolio"),
+)
+TASK_PATHS = r"/(sign-?up|sign-?in|log-?in|register|create-account|forgot-password|reset-password|join|enroll|checkout|cart|account|profile|settings)([/?#.]|$)"
+#: Weights of the dimensions of a blog post's items.
+ITEM_WEIGHTS = {"C": 0.15, "O": 0.10, "R": 0.10, "E": 0.10, "T": 0.15}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fixtures import FIXTURES
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -223,6 +225,8 @@ LITERALS: dict[str, tuple[str, list[tuple]]] = {
     "page_html_hint": ("page_id bigint, html string", [(1, '<link href="/wp-content/a.css"><meta name="generator" content="WordPress 6">'), (2, '<div id="__next"></div><script src="/_next/static/x.js"></script>'), (3, '<script src="https://cdn.shopify.com/x.js"></script>'), (4, "<p>plain</p>"), (5, '<meta content="blogger" name="generator"><a href="https://x.blogspot.com">x</a>'), (6, '<script src="https://static.wixstatic.com/a.js"></script><div data-reactroot></div>')]),
 }
 
+LITERALS |= FIXTURES
+
 
 def literal(spark: SparkSession, name: str) -> DataFrame:
     """A literal table as a DataFrame of one partition."""
