@@ -187,7 +187,7 @@ ORACLES: dict[str, str] = {
     "exact_dups": f"SELECT {_DIGEST} AS digest, count(*) AS docs, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "thin_texts": f"SELECT doc_id, words, CASE WHEN words < 100 THEN 'critical' ELSE 'warning' END AS severity FROM (SELECT doc_id, len({O.words('text')})::BIGINT AS words FROM documents) WHERE words < 300",
     "near_dups_minhash": f"""WITH s AS (SELECT doc_id, {_DIGEST} AS exact, {_SH(5)} AS sh FROM (SELECT doc_id, text, {_ASC} AS w FROM documents)), g AS (SELECT doc_id, exact, list_transform({_COEF}, lambda c: list_min(list_transform(h, lambda x: (x * c[1] + c[2]) % 2147483647))) AS sig FROM (SELECT doc_id, exact, list_transform(sh, lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT % 2147483647) AS h FROM s WHERE len(sh) > 0)),
-      f AS (SELECT doc_id, unnest(range(1, 101)) AS i, unnest(sig) AS v FROM g), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM f a JOIN f b ON a.i = b.i AND a.v = b.v AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 85) SELECT p.a, p.b, n / 100.0::DOUBLE AS similarity FROM p JOIN g x ON x.doc_id = p.a JOIN g y ON y.doc_id = p.b WHERE x.exact <> y.exact""",
+      r AS (SELECT doc_id, exact, min(doc_id) OVER (PARTITION BY sig) AS rep FROM g), f AS (SELECT doc_id, unnest(range(1, 101)) AS i, unnest(sig) AS v FROM g), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM f a JOIN f b ON a.i = b.i AND a.v = b.v AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 85) SELECT p.a, p.b, n / 100.0::DOUBLE AS similarity FROM p JOIN r x ON x.doc_id = p.a JOIN r y ON y.doc_id = p.b WHERE x.exact <> y.exact AND (p.b = y.rep OR x.rep = y.rep) AND p.a = x.rep""",
     "boilerplate_ratio": f"""WITH s AS (SELECT source, doc_id, unnest({_SH(5)}) AS sh FROM (SELECT source, doc_id, {_ASC} AS w FROM documents)), n AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1), c AS (SELECT s.source, sh FROM s JOIN n USING (source) GROUP BY 1, 2, docs HAVING count(*) >= greatest(2.0, 0.8 * docs)),
       d AS (SELECT s.source, s.doc_id, count(c.sh)::DOUBLE / count(*) AS x FROM s LEFT JOIN c ON c.source = s.source AND c.sh = s.sh GROUP BY 1, 2) SELECT n.source, n.docs, (SELECT count(*) FROM c WHERE c.source = n.source) AS common_shingles, coalesce(round((SELECT avg(x) FROM d WHERE d.source = n.source), 4), 0.0::DOUBLE) AS mean_share FROM n""",
     "benchmark_overlap": f"SELECT doc_id, item_id, count(*) AS shared FROM (SELECT doc_id, unnest({_SH(8)}) AS sh FROM (SELECT doc_id, {_ASC} AS w FROM documents)) JOIN (SELECT item_id, unnest({_SH(8)}) AS sh FROM (SELECT item_id, {_ASC} AS w FROM benchmark)) USING (sh) GROUP BY 1, 2",

@@ -1,9 +1,10 @@
 """Articles parsed from nested HTML by hand-made expectations, audits over all detectors, and the command line."""
 
+import numpy as np
 import pytest
 
 from pagelattice import __main__ as cli
-from pagelattice.operators import articles, audits
+from pagelattice.operators import articles, audits, documents
 
 LONG = "one two three four five six seven eight nine"
 PAGES = [
@@ -63,3 +64,26 @@ def test_every_command_names_known_tables():
     for sheets in cli.COMMANDS.values():
         for operator, tables in sheets.values():
             assert callable(operator) and tables
+
+
+def test_near_pairs_stand_on_classes(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    text = " ".join(words)
+    near = " ".join([*words[:-1], "other"])  # one shingle of 196 differs
+    rows = [(5, text), (2, text.upper()), (9, text + "!"), (7, near), (1, "a text of its own with nothing in common"), (3, None), (4, "12 34")]
+    got = {(r.a, r.b): r.similarity for r in documents.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # 5 has the text of 2 but for case, so it is an exact copy; 9 has other characters but the same words
+    assert set(got) == {(2, 7), (2, 9)} and got[(2, 9)] == 1.0 and 0.85 <= got[(2, 7)] <= 1.0
+    assert documents.near_pairs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_residues():
+    x = np.array([0, 1, documents.PRIME - 1, documents.PRIME, documents.PRIME + 1, 2 * documents.PRIME, documents.PRIME**2, (1 << 62) - 1], dtype=np.int64)
+    assert (documents._residues(x) == x % documents.PRIME).all()
+
+
+def test_boilerplate_by_hand(spark):
+    rows = [(i, "s", "a b c d e f " + "xyz"[i]) for i in range(3)] + [(9, "t", None), (8, "s", "")]
+    got = {r.source: tuple(r)[1:] for r in documents.boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string"), share=0.75).collect()}
+    # of the three shingles of a text of seven words two are common to 3 of 4 texts
+    assert got == {"s": (4, 2, 0.6667), "t": (1, 0, 0.0)}
