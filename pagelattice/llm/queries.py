@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, line_dedup, minhash_dedup, mixing, quality_rules, rule_classifier, token_histogram, toxicity, warc_index
+from . import bpe, embedding_dedup, id_files, line_dedup, merkle, minhash_dedup, mixing, quality_rules, rule_classifier, token_histogram, toxicity, vector_codes, warc_index
 from .common import read
 
 #: File of the vocabulary; a parameter of the operators.
 VOCABULARY = "byte_bpe_50k.json"
+#: Id after each document in files of ids.
+END_ID = 2
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -65,6 +67,22 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op11_id_file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(vocabulary(), encoding="utf-8") as f:
+        spec = f.read()
+    docs = read(spark, sf_dir, "documents")
+    return id_files.read(id_files.stored(docs, spec, END_ID), docs.select("doc_id")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_filtering_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compressed(read(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_errors(codes).select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proved(read(spark, sf_dir, "documents"), merkle.tampered(F.col("doc_id")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_robust_outlier_rules": op1_robust_outlier_rules,
     "op2_source_mixing": op2_source_mixing,
@@ -76,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lexicon_toxicity": op8_lexicon_toxicity,
     "op9_token_histogram": op9_token_histogram,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_id_file_index": op11_id_file_index,
+    "op12_filtering_lloyd_codes": op12_filtering_lloyd_codes,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -83,4 +104,6 @@ ORACLES: dict[str, str] = {
     "op3_minhash_near_dedup": minhash_dedup.ORACLE,
     "op7_warc_index_first": warc_index.ORACLE,
     "op10_embedding_near_dedup": embedding_dedup.ORACLE,
+    "op12_filtering_lloyd_codes": vector_codes.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
