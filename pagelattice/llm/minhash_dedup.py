@@ -1,8 +1,9 @@
 """Near-duplicate documents by fast similarity sketches, banding and exact verification.
 
-A document's set holds its distinct five-word shingles, as 64-bit hashes (within a set of n shingles two
-collide with a probability under n * n / 2**65); fewer words are one shingle; no words, no set. Equal sets are
-one item, told apart by two 64-bit fingerprints: where two different sets have the first in common, the second
+A document's set holds its distinct five-word shingles, each as two independent 64-bit hashes: the first orders and
+sketches the sets (within a set of n shingles two have it in common with a probability under n * n / 2**65), and
+shingles are the same only where both agree. Fewer words are one shingle; no words, no set. Equal sets are
+one item, told apart by two 64-bit fingerprints, one of each hash: where two different sets have the first in common, the second
 is their id. Sets are
 linked if 100 * intersection >= 75 * union, always decided on the full sets. A pair at the threshold is no
 candidate with a probability of (1 - 0.75**5)**50, about one in a million.
@@ -41,7 +42,11 @@ def _chunks(column: pa.Array):
 
 
 def _sets(data, offsets, k):
-    return distinct(*shingles(*words(data, offsets), k))
+    """Two hashes of every distinct shingle, in ascending order of the first, and the offsets of texts."""
+    one, at = shingles(*words(data, offsets), k)
+    two, _ = shingles(*words(data, offsets, lane=7), k)
+    places, new = distinct(one, at)
+    return one[places], two[places], new
 
 
 def _fingerprint(values, offsets, salt: int = 0):
@@ -49,7 +54,7 @@ def _fingerprint(values, offsets, salt: int = 0):
     return mix((total[offsets[1:]] - total[offsets[:-1]]) ^ np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
-#: Added to the shingles for the second fingerprint.
+#: Added to the second hashes for the second fingerprint.
 SALT = 0x5851F42D4C957F2D
 
 
@@ -66,7 +71,7 @@ def items(docs: DataFrame, k: int = K, n_bands: int = BANDS, rows: int = ROWS) -
     def run(batches):
         for b in batches:
             for lo, hi, data, offsets in _chunks(b.column(2)):
-                values, at = _sets(data, offsets, k)
+                values, second, at = _sets(data, offsets, k)
                 n = np.diff(at)
                 sk = sketch(values, at, n_bands * rows)
                 void = pa.array(n == 0)
@@ -74,7 +79,7 @@ def items(docs: DataFrame, k: int = K, n_bands: int = BANDS, rows: int = ROWS) -
                 sk8 = short(sk)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(b.column(c).slice(lo, hi - lo) for c in (0, 1)), pa.array(n, pa.int64()), none(pa.array(_fingerprint(values, at))), none(pa.array(_fingerprint(values, at, SALT))),
+                        *(b.column(c).slice(lo, hi - lo) for c in (0, 1)), pa.array(n, pa.int64()), none(pa.array(_fingerprint(values, at))), none(pa.array(_fingerprint(second, at, SALT))),
                         _vectors(b.column(0), bands(sk, rows)), pa.array([r.tobytes() for r in sk8], pa.binary()),
                     ],
                     names=["doc_id", "h", "n_shingles", "fp", "fp2", "bands", "sk"],
@@ -99,7 +104,7 @@ def _buckets(some: DataFrame, places: int) -> DataFrame:
 
 
 def _payload(docs: DataFrame, by: DataFrame, k: int):
-    """Full sets of given items, as sorted 64-bit numbers, each made from one document that has it, which ``by`` names."""
+    """Full sets of given items, as the first hashes in ascending order and then the second ones, each made from one document that has it, which ``by`` names."""
 
     def sets(ids: DataFrame) -> DataFrame:
         wanted = by.join(checked_broadcast(staged(ids)), "fp").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("fp").alias("id"), "fp1", "fp2")
@@ -109,9 +114,9 @@ def _payload(docs: DataFrame, by: DataFrame, k: int):
         def run(batches):
             for b in batches:
                 for lo, hi, data, offsets in _chunks(b.column(3)):
-                    values, at = _sets(data, offsets, k)
-                    right = (_fingerprint(values, at) == b.column(1).slice(lo, hi - lo).to_numpy()) & (_fingerprint(values, at, SALT) == b.column(2).slice(lo, hi - lo).to_numpy())
-                    part = pa.array([values[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                    values, second, at = _sets(data, offsets, k)
+                    right = (_fingerprint(values, at) == b.column(1).slice(lo, hi - lo).to_numpy()) & (_fingerprint(second, at, SALT) == b.column(2).slice(lo, hi - lo).to_numpy())
+                    part = pa.array([values[x:y].tobytes() + second[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), part], names=["fp", "payload"]).filter(pa.array(right))
 
         return chosen.mapInArrow(run, "fp long, payload binary").dropDuplicates(["fp"])
@@ -120,18 +125,22 @@ def _payload(docs: DataFrame, by: DataFrame, k: int):
 
 
 def _numbers(payloads: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in payloads]
+    """The first hashes of sets."""
+    return [np.frombuffer(x, np.uint64)[: len(x) // 16] for x in payloads]
 
 
 def alike(percent: int):
-    """Tells for sorted sets whether 100 * intersection >= percent * union."""
+    """Tells for sets, as ``_payload`` gives them, whether 100 * intersection >= percent * union; shingles are the same if both hashes are."""
 
     def run(left: list[bytes], right: list[bytes]) -> list[bool]:
         out = []
         for x, y in zip(left, right, strict=True):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) else 0
-            out.append(100 * both >= percent * (len(a) + len(b) - both))
+            a, b = np.frombuffer(x, np.uint64).reshape(2, -1), np.frombuffer(y, np.uint64).reshape(2, -1)
+            n, m, both = a.shape[1], b.shape[1], 0
+            if 100 * min(n, m) >= percent * max(n, m):
+                _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+                both = int((a[1][i] == b[1][j]).sum())
+            out.append(100 * both >= percent * (n + m - both))
         return out
 
     return run

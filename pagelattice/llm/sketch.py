@@ -8,6 +8,8 @@ from __future__ import annotations
 import numpy as np
 
 MIX1, MIX2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+#: Odd steps between the hashes of a family.
+LANE = 0xD1B54A32D192ED03
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,21 +22,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: An odd base, its inverse, and the powers of both, for rolling hashes of any stretch of a flat array.
-BASE = 0x9E3779B97F4A7C15 | 5
-INVERSE = pow(BASE, -1, 2**64)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        p = np.full(max(n, 1 << 16), base, np.uint64)
-        p[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(p)
-    return have[:n]
-
-
 #: A random number for each byte, and the same with A-Z taken as a-z.
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * STEP)
 FOLDED = BYTE.copy()
@@ -43,28 +30,28 @@ BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values times powers; ``stretch`` reads the hash of any stretch from them."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(BASE, len(values)), out=out[1:])
-    return out
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = FOLDED, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, in order, and the first word of each text (one more entry at the end).
 
-
-def stretch(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((pre[ends] - pre[starts]) * powers(INVERSE, len(pre))[starts])
-
-
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, in order, and the first word of each text (one more entry at the end)."""
+    A hash is a sum over a word's bytes of a scrambled number for byte and place: as for sums of independent random numbers, two
+    words have it in common with a probability of 2**-64, whatever repeats in them. ``lane`` chooses one of many such hashes.
+    """
     solid = ~BLANK[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     begin = solid.copy()
     begin[1:] &= ~solid[:-1] | edge[1:-1]
-    end = solid.copy()
-    end[:-1] &= ~solid[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    return stretch(prefix(table[data]), starts, ends) if len(data) else np.zeros(0, np.uint64), np.searchsorted(starts, offsets)
+    starts = np.flatnonzero(begin)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    at = np.flatnonzero(solid)
+    first = np.searchsorted(at, starts)
+    place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    value = place.astype(np.uint64)
+    value *= STEP
+    value ^= table[data[at]]
+    value += np.uint64(lane * LANE % 2**64)
+    return mix(np.add.reduceat(mix(value), first)), np.searchsorted(starts, offsets)
 
 
 def shingles(word: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -77,18 +64,16 @@ def shingles(word: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarra
     at = np.repeat(first[:-1] - offsets[:-1], made) + np.arange(offsets[-1])
     size = np.repeat(np.minimum(n, k), made)
     out = size.astype(np.uint64) * STEP
-    padded = np.append(word, np.zeros(k, np.uint64))
-    factor = 1
     for j in range(k):
-        factor = factor * BASE % 2**64
-        out += np.where(j < size, padded[at + j], np.uint64(0)) * np.uint64(factor)
+        scrambled = np.append(mix(word + np.uint64((j + 1) * LANE % 2**64)), np.zeros(k, np.uint64))
+        out += np.where(j < size, scrambled[at + j], np.uint64(0))
     return mix(out), offsets
 
 
 def distinct(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each stretch sorted, without repeats."""
-    parts = [np.unique(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    return (np.concatenate(parts) if parts else values[:0]), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)
+    """Places of the distinct values of each stretch in ascending order of values, and the stretches' new offsets."""
+    parts = [a + np.unique(values[a:b], return_index=True)[1] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)
 
 
 def sketch(values: np.ndarray, offsets: np.ndarray, t: int) -> np.ndarray:

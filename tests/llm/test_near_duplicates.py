@@ -138,6 +138,28 @@ def test_one_edited_character(spark):
     assert got == {0: (len(lines), 0), 1: (len(lines), len(lines))}
 
 
+def thue_morse(n, a, b):
+    word = a
+    other = b
+    for _ in range(n):
+        word, other = word + other, other + word
+    return word
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo a power of two, whatever the base."""
+    x, y = thue_morse(10, "a", "b"), thue_morse(10, "b", "a")
+    rng = random.Random(5)
+    rest = words(rng, 40)
+    rows = [(1, x, "en", "s", 0), (2, y, "en", "s", 0), (3, " ".join([*rest[:20], x, *rest[20:24]]), "en", "s", 0), (4, " ".join([*rest[:20], y, *rest[20:24]]), "en", "s", 0)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: (*v, v[1] == i) for i, v in brute(rows).items()} and got[2][2]
+    for lane in (0, 7):
+        data = np.frombuffer((x + " " + y + " " + x).encode(), np.uint8)
+        w, first = sketch.words(data, np.array([0, len(data)]), lane=lane)
+        assert w[0] != w[1] and w[0] == w[2] and first.tolist() == [0, 3]
+
+
 def test_sets_with_one_fingerprint_stay_apart(spark, monkeypatch):
     """Different sets and lines whose first hash is the same are not taken for copies, and are still linked where they are near."""
     plain = minhash_dedup._fingerprint
