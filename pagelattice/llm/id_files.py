@@ -17,7 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,8 @@ MAGIC = b"PLIDS001"
 #: Keys of a bucket on average; bits of a level for each key that is left; bytes of ids after which a shard ends, that one read fetches, and that a reading task gets.
 KEYS, GAMMA, SHARD, READ, TASK = 1 << 10, 2, 1 << 30, 8 << 20, 16 << 20
 #: Bytes of text that are encoded together: stretches between blanks are encoded once for all their places in it.
-TOGETHER = 24 << 20
+#: A worker keeps so many stretches that occurred more than once, and forgets all when more come.
+TOGETHER, KNOWN = 8 << 20, 300_000
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -56,6 +57,17 @@ class Encoder:
         self.bytes = np.zeros(max(sizes) + 1, np.int64)
         self.bytes[list(sizes)] = list(sizes.values())
         self.width = 2 if len(self.bytes) <= 1 << 16 else 4
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _keep(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        if len(self.known) + len(parts) > KNOWN:
+            self._forget()
+        self.known.update(zip(parts, range(len(self.size), len(self.size) + len(parts)), strict=True))
+        self.pool, self.size = np.concatenate([self.pool, ids.astype(np.int32)]), np.concatenate([self.size, sizes])
 
     @staticmethod
     def of(spec: str) -> Encoder:
@@ -92,24 +104,34 @@ class Encoder:
         whole = np.add.reduceat(odd[at], off[:-1]) > 0 if n else np.zeros(0, bool)
         first = pc.list_element(split, 0) if n else texts
         alone = pc.if_else(pa.array(whole), texts, first)
-        # units: distinct stretches, then each text's beginning (or the whole of it), then the end
-        used = np.zeros(len(names), bool)
+        # units: stretches known before, new ones, each text's beginning (or the whole of it), and the end
         rest = np.ones(len(at), bool)
         rest[off[:-1]] = False
         rest &= ~np.repeat(whole, np.diff(off))
-        used[at[rest]] = True
-        ids, sizes = self.stretches(names.filter(pa.array(used)).to_pylist())
+        inner = at[rest]
+        times = np.bincount(inner, minlength=len(names))
+        used = np.flatnonzero(times)
+        parts = names.take(pa.array(used)).to_pylist()
+        old = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
+        fresh = np.flatnonzero(old < 0)
+        new = [parts[i] for i in fresh.tolist()]
+        ids, sizes = self.stretches(new)
         own, lengths = self.each(alone.to_pylist())
-        number = np.cumsum(used) - 1
-        pool, size = np.concatenate([ids, own, [end]]), np.concatenate([sizes, lengths, [1]])
+        m = len(self.size)
+        old[fresh] = m + np.arange(len(fresh))
+        number = np.zeros(len(names), np.int64)
+        number[used] = old
+        pool, size = np.concatenate([self.pool, ids, own, [end]]).astype(np.int32), np.concatenate([self.size, sizes, lengths, [1]])
         begin = np.cumsum(size) - size
-        k = len(sizes)
+        k = m + len(sizes)
+        again = times[used][fresh] > 1
+        self._keep([x for x, keep in zip(new, again.tolist(), strict=True) if keep], ids[np.repeat(again, sizes)], sizes[again])
         per = np.where(whole, 0, np.diff(off) - 1)
         stop = np.cumsum(per + 2)
         unit = np.full(int(stop[-1]) if n else 0, k + n, np.int64)
         unit[stop - per - 2] = k + np.arange(n)
         gap = np.repeat(stop - per - 1 - (np.cumsum(per) - per), per) + np.arange(per.sum())
-        unit[gap] = number[at[rest]]
+        unit[gap] = number[inner]
         long = size[unit]
         total = np.cumsum(long)
         out = pool[np.repeat(begin[unit] - (total - long), long) + np.arange(total[-1] if n else 0)]
