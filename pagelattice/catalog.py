@@ -19,6 +19,7 @@ from .operators import models as M
 from .operators import pages as P
 from .operators import scoring as R
 from .oracles import ORACLES
+from .page_audit_oracle import PAGE_AUDIT
 from .plans import dims
 from .scoring_oracles import SCORING
 from .sources.tables import literal, load
@@ -175,4 +176,4 @@ QUERIES |= {
     "link_health": _lit(U.link_health, "link_stat"),
 }
 
-ORACLES = ORACLES | SCORING | AUDITS
+ORACLES = ORACLES | SCORING | AUDITS | PAGE_AUDIT

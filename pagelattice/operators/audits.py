@@ -1,11 +1,10 @@
 """Audits: all detectors over one set of pages, fixes by platform, and the rule tables that rate sites, passages and reviews.
 
-Detectors are joined by union; their rows are counted by site and code before anything else sees them.
+The audit itself is one pass over pages, in page_audit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,24 +15,9 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..plans import dims
 from . import pages as P
+from .page_audit import audit_findings  # noqa: F401  the audit of whole pages
 from .scoring import _clamp
 
-#: section -> detector of (page_id, code, severity) over pages.
-DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "onpage": P.length_findings,
-    "content": lambda p: P.thin_content(p).withColumn("code", F.lit("thin_content")),
-    "schema_validation": P.schema_findings,
-}
-
-
-def audit_findings(pages: DataFrame, sections: tuple[str, ...] | None = None) -> DataFrame:
-    """site, section, code, severity and pages concerned, of all detectors or the named ones. One shuffle by site, after partial counts."""
-    found = [DETECTORS[s](pages).select("page_id", F.lit(s).alias("section"), "code", "severity") for s in sections or DETECTORS]
-    site = pages.select("page_id", U.host(F.col("url")).alias("site"))
-    all_ = reduce(DataFrame.unionByName, found).join(site, "page_id")
-    return all_.groupBy("site", "section", "code", "severity").agg(F.count_distinct("page_id").alias("pages"))
-
-
 def site_risk(groups: DataFrame) -> DataFrame:
     """site, critical and warnings over its template groups, and risk: high with a critical one, medium above 3 warnings."""
     g = groups.groupBy("site").agg(F.sum("critical").alias("critical"), F.sum("warnings").alias("warnings"))
