@@ -12,6 +12,7 @@ from .operators import articles as A
 from .operators import audits as U
 from .operators import backlinks as B
 from .operators import documents as D
+from .operators import duplicates as C
 from .operators import findings as N
 from .operators import hosts as S
 from .operators import links as L
@@ -19,6 +20,7 @@ from .operators import models as M
 from .operators import pages as P
 from .operators import scoring as R
 from .oracles import ORACLES
+from .graph_oracles import PAGE_GROUPS
 from .page_audit_oracle import PAGE_AUDIT
 from .plans import dims
 from .scoring_oracles import SCORING
@@ -140,6 +142,8 @@ QUERIES |= {
 }
 
 QUERIES |= {
+    # duplicates of pages
+    "duplicate_pages": _on("pages", C.duplicate_report),
     # articles
     "article_facts": _on("pages", A.article_facts),
     "article_findings": _lit(A.article_findings, "article_fact"),
@@ -176,4 +180,4 @@ QUERIES |= {
     "link_health": _lit(U.link_health, "link_stat"),
 }
 
-ORACLES = ORACLES | SCORING | AUDITS | PAGE_AUDIT
+ORACLES = ORACLES | SCORING | AUDITS | PAGE_AUDIT | PAGE_GROUPS

@@ -53,12 +53,38 @@ def signatures(docs: DataFrame, k: int = 5, n: int = 100, seeded_md5: bool = Fal
     if seeded_md5:
         s = _shingled(docs, k, "doc_id")
         return s.select("doc_id", F.array(*(F.array_min(F.transform("s", _seeded(i))) for i in range(n))).alias("sig"))
-    return _worded(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_minima(k, coefficients(n)), "doc_id long, sig array<long>")
+    return signed(docs, F.col("doc_id"), k=k, n=n)
 
 
-def _worded(docs: DataFrame, *keep: Column) -> DataFrame:
+def signed(docs: DataFrame, *keep: Column, k: int = 5, n: int = 100, all_rows: bool = False) -> DataFrame:
+    """Columns ``keep`` and sig, the minima, of every row that has words (null for others with ``all_rows``); rows that share an id stay rows of their own."""
+    d = _worded(docs, *keep, all_rows=all_rows)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
+    return d.mapInArrow(_minima(k, coefficients(n)), f"{kept}, sig array<long>")
+
+
+def band_keys(sig: Column, threshold: float, n: int = 100, bands: int = 20) -> Column:
+    """Keys of a signature, one of which any two signatures have in common that agree in ``threshold`` of n places.
+
+    So many places in common leave ``bands`` less the disagreeing places' number of whole bands in common. Bands are dealt to one group
+    fewer than that, so that two of them are in one group: keys are the pairs of bands of a group, which hardly any two signatures
+    share by chance. Where only one band is sure to be shared, keys are bands.
+    """
+    r = n // bands
+    shared = bands - int((1 - threshold) * n + 1e-9)
+    if shared < 1:
+        raise ValueError("more bands are needed for this threshold")
+    places = lambda b: [F.get(sig, b * r + i) for i in range(r)]
+    if shared == 1:
+        return F.array(*(F.xxhash64(F.lit(b), *places(b)) for b in range(bands)))
+    groups = [list(range(g, bands, shared - 1)) for g in range(shared - 1)]
+    return F.array(*(F.xxhash64(F.lit(x * bands + y), *places(x), *places(y)) for g in groups for i, x in enumerate(g) for y in g[i + 1 :]))
+
+
+def _worded(docs: DataFrame, *keep: Column, all_rows: bool = False) -> DataFrame:
     """Columns ``keep`` and t, the words parted by blanks, of rows that have words."""
-    return docs.select(*keep, F.array_join(T.ascii_words(F.col("text")), " ").alias("t")).where("t <> ''")
+    d = docs.select(*keep, F.coalesce(F.array_join(T.ascii_words(F.col("text")), " "), F.lit("")).alias("t"))
+    return d if all_rows else d.where("t <> ''")
 
 
 def _digests(words: str, k: int) -> np.ndarray:
@@ -76,7 +102,7 @@ def _residues(x: np.ndarray) -> np.ndarray:
 
 
 def _minima(k: int, pairs: list[tuple[int, int]]):
-    """Of each row of (doc_id, t) the minimum of every hash over its shingles."""
+    """Of each row, whose last column is t, the minimum of every hash over its shingles."""
     a, b = (np.array(c, dtype=np.int64) for c in zip(*pairs, strict=True))
 
     def least(h: np.ndarray) -> np.ndarray:
@@ -85,9 +111,12 @@ def _minima(k: int, pairs: list[tuple[int, int]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.stack([least(((_digests(t, k)[:, 0] >> np.uint64(4)) % np.uint64(PRIME)).astype(np.int64)) for t in batch.column(1).to_pylist()]) if batch.num_rows else np.empty((0, len(pairs)), np.int64)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, len(pairs), dtype=np.int32)), pa.array(sig.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["doc_id", "sig"])
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            sig = np.stack([least(((_digests(t, k)[:, 0] >> np.uint64(4)) % np.uint64(PRIME)).astype(np.int64)) for t in texts if t] or [np.empty(0, np.int64)])
+            ends = np.cumsum([len(pairs) if t else 0 for t in texts], dtype=np.int32)
+            offsets = pa.array(np.concatenate([np.zeros(1, np.int32), ends]), mask=np.array([*(not t for t in texts), False]))
+            flat = pa.ListArray.from_arrays(offsets, pa.array(sig.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], flat], names=[*batch.schema.names[:-1], "sig"])
 
     return run
 
@@ -130,16 +159,14 @@ def near_pairs(docs: DataFrame, threshold: float = 0.85, k: int = 5, n: int = 10
     a member with another text than its class's id is paired with that id alone. So a class of m copies gives m - 1 rows at most,
     and copies of one text (see ``exact_groups``) none.
 
-    Lossless: with fewer than ``bands`` disagreeing places two signatures share a whole band, which holds for
-    every threshold above 1 - bands / n. Candidates come from an equi join on band and digest, of one row a class.
+    Lossless: candidates come from an equi join on ``band_keys``, of one row a class. Rows that share an id are documents of their own.
     """
-    sig = signatures(docs, k, n).withColumn("digest", F.md5(F.array_join(F.col("sig").cast("array<string>"), ",").cast("binary")))
-    sig = staged(sig.join(docs.select(F.col("doc_id").cast("long"), F.sha2(T.normalised(F.col("text")), 256).alias("exact")), "doc_id"))
+    sig = signed(docs, F.col("doc_id"), F.sha2(T.normalised(F.col("text")), 256).alias("exact"), k=k, n=n)
+    sig = staged(sig.withColumn("digest", F.md5(F.array_join(F.col("sig").cast("array<string>"), ",").cast("binary"))))
     one = staged(sig.groupBy("digest").agg(F.min(F.struct("doc_id", "exact", "sig")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), F.col("r.exact").alias("rep_exact"), "r.sig"))
-    r = n // bands
-    keys = one.select("rep", F.posexplode(F.array(*(F.xxhash64(*(F.get("sig", b * r + i) for i in range(r))) for b in range(bands)))).alias("band", "key"))
-    x, y = keys.select(F.col("rep").alias("a"), "band", "key"), keys.select(F.col("rep").alias("b"), "band", "key")
-    cand = x.join(y, ["band", "key"]).where("a < b").select("a", "b").distinct()
+    keys = one.select("rep", F.explode(band_keys(F.col("sig"), threshold, n, bands)).alias("key"))
+    x, y = keys.select(F.col("rep").alias("a"), "key"), keys.select(F.col("rep").alias("b"), "key")
+    cand = x.join(y, "key").where("a < b").select("a", "b").distinct()
     agree = F.size(F.filter(F.zip_with("sx", "sy", lambda p, q: p == q), lambda z: z)) / F.lit(float(n))
     sides = cand.join(one.select(F.col("rep").alias("a"), F.col("sig").alias("sx")), "a").join(one.select(F.col("rep").alias("b"), F.col("sig").alias("sy")), "b")
     near = sides.select("a", "b", agree.alias("similarity")).where(F.col("similarity") >= threshold)
