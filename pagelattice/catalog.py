@@ -25,6 +25,7 @@ from .page_audit_oracle import PAGE_AUDIT
 from .plans import dims
 from .scoring_oracles import SCORING
 from .sources.tables import literal, load
+from .streaming import finite
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +55,13 @@ def reach_depth(spark: SparkSession, d: str) -> DataFrame:
     return L.reach(_edges(spark, d), seeds, None).groupBy("depth").agg(F.count("*").alias("nodes"))
 
 
+def crawl_budget(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl from the lowest URL of each host over 3 links and 5 URLs a host, with the URLs it visits."""
+    pages = load(spark, d, "pages")
+    seeds = pages.groupBy(L.U.host(F.col("url"))).agg(F.min(L.U.normal_b(F.col("url"))).alias("node"))
+    return L.crawl(_edges(spark, d), seeds, 3, 5)
+
+
 def onpage_overall(spark: SparkSession, d: str) -> DataFrame:
     """Section scores of each host from its pages, and their weighted mean."""
     pages = load(spark, d, "pages")
@@ -144,6 +152,12 @@ QUERIES |= {
 QUERIES |= {
     # duplicates of pages
     "duplicate_pages": _on("pages", C.duplicate_report),
+    # streams run to their end
+    "stream_drop_alerts": lambda spark, d: finite.drops_of(spark, f"{d}/events.parquet"),
+    "polite_frontier": lambda spark, d: finite.frontier_of(spark, f"{d}/pages.parquet"),
+    # links by class, and a crawl with budgets
+    "linked_pages": _on("pages", L.linked_pages),
+    "crawl_budget": crawl_budget,
     # articles
     "article_facts": _on("pages", A.article_facts),
     "article_findings": _lit(A.article_findings, "article_fact"),

@@ -3,10 +3,26 @@
 from __future__ import annotations
 
 from . import oracle as O
-from .oracles import _COEF, _SH
+from .oracles import _COEF, _EDGES, _SH, ORACLES
+from .plans import dims
 
 _TEXT = O.visible("coalesce(html, '')")
 
+_TITLE = O.elements("coalesce(html, '')", "title")
+_SOFT = " OR ".join(f"contains(lower(coalesce(({_TITLE})[1], '')), {O.q(x)})" for x in dims.SOFT_404_OF_LINKS)
+
+
+def _crawl(depth: int, most: int) -> str:
+    """Levels one after the other: each takes, of a host's new targets, those of least rank that its quota leaves room for."""
+    rank = "('0x' || substr(md5(node), 1, 15))::BIGINT"
+    out = f"""WITH e AS MATERIALIZED (SELECT DISTINCT {O.normal_b('p.url')} AS src, g.target AS dst FROM {_EDGES} g JOIN pages p USING (page_id)),
+      v0 AS MATERIALIZED (SELECT node, {O.host('node')} AS host, 0::BIGINT AS depth FROM (SELECT DISTINCT min({O.normal_b('url')}) AS node FROM pages GROUP BY {O.host('url')}) QUALIFY row_number() OVER (PARTITION BY {O.host('node')} ORDER BY {rank}, node) <= {most})"""
+    for d in range(1, depth + 1):
+        out += f""", v{d} AS MATERIALIZED (SELECT * FROM v{d - 1} UNION ALL SELECT node, c.host, {d}::BIGINT FROM (SELECT node, {O.host('node')} AS host FROM (SELECT DISTINCT dst AS node FROM v{d - 1} JOIN e ON src = node WHERE depth = {d - 1}) WHERE node NOT IN (SELECT node FROM v{d - 1})) c
+          LEFT JOIN (SELECT host, count(*) AS used FROM v{d - 1} GROUP BY 1) u ON u.host = c.host QUALIFY row_number() OVER (PARTITION BY c.host ORDER BY {rank}, node) <= {most} - coalesce(used, 0))"""
+    return out + f" SELECT * FROM v{depth}"
+
+
 PAGE_GROUPS = {
     "duplicate_pages": f"""WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, page_id, {_TEXT} AS text FROM pages), p AS (SELECT r, page_id, len({O.words('text')})::BIGINT AS words, CASE WHEN text <> '' THEN sha256({O.normalised('text')}) END AS exact, {O.ascii_words('text')} AS w FROM t),
       s AS (SELECT r, exact, page_id, {_SH(5)} AS sh FROM p), g AS (SELECT r, exact, list_transform({_COEF}, lambda c: list_min(list_transform(h, lambda x: (x * c[1] + c[2]) % 2147483647))) AS sig FROM (SELECT r, exact, list_transform(sh, lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT % 2147483647) AS h FROM s WHERE len(sh) > 0)),
@@ -14,4 +30,10 @@ PAGE_GROUPS = {
       e AS (SELECT a, b FROM near UNION SELECT b, a FROM near UNION SELECT x.r, y.r FROM p x JOIN p y ON x.exact = y.exact AND x.r <> y.r), reached(a, z) AS (SELECT r, r FROM p WHERE exact IS NOT NULL UNION SELECT reached.a, e.b FROM reached JOIN e ON e.a = reached.z),
       m AS (SELECT a, min(q.page_id) AS group_id, count(*) AS group_pages FROM reached JOIN p q ON q.r = z GROUP BY a), x AS (SELECT exact, min(page_id) AS exact_id, count(*) AS exact_pages FROM p WHERE exact IS NOT NULL GROUP BY 1)
       SELECT p.page_id, words, CASE WHEN words < 100 THEN 'critical' WHEN words < 300 THEN 'warning' END AS thin, exact_id, exact_pages, group_id, group_pages FROM p LEFT JOIN x USING (exact) LEFT JOIN m ON m.a = p.r""",
+    "linked_pages": f"""WITH own AS (SELECT {O.normal_b('url')} AS target, max(CASE WHEN {_SOFT} THEN 'soft_404' END) AS c FROM pages GROUP BY 1)
+      SELECT CASE WHEN own.target IS NULL THEN 'missing' ELSE coalesce(c, 'crawled') END AS class, e.target, count(DISTINCT page_id) AS linking_pages, array_to_string((list(DISTINCT page_id ORDER BY page_id))[1:5], ',') AS examples FROM {_EDGES} e LEFT JOIN own ON own.target = e.target GROUP BY 1, 2""",
+    "crawl_budget": _crawl(3, 5),
+    "stream_drop_alerts": ORACLES["traffic_drop_7d"],
+    "polite_frontier": f"""WITH a AS (SELECT host, url, min(page_id) AS arrival FROM (SELECT {O.host('url')} AS host, {O.normal_b('url')} AS url, page_id FROM pages WHERE url IS NOT NULL AND page_id IS NOT NULL) GROUP BY 1, 2), i AS (SELECT *, row_number() OVER w - 1 AS i FROM a WINDOW w AS (PARTITION BY host ORDER BY arrival, url))
+      SELECT host, url, arrival, greatest(arrival, max(arrival - i * 600) OVER (PARTITION BY host ORDER BY arrival, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + i * 600 - 600)::BIGINT AS release FROM i""",
 }

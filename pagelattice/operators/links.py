@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
+from ..plans import dims
+from ..plans.least import least_k
 from ..plans.stage import staged
 
 SKIP = r"(?i)^(#|javascript:|mailto:|tel:|data:)"
@@ -94,9 +98,8 @@ def top_linked(pages: DataFrame, k: int = 20) -> DataFrame:
 def broken_targets(pages: DataFrame) -> DataFrame:
     """Internal targets that no crawled page has, with the number of links and up to five linking pages."""
     known = pages.select(U.normal_b(F.col("url")).alias("target")).distinct()
-    e = edges(pages).join(known, "target", "left_anti").select("host", "target", "page_id").distinct()
-    ranked = e.withColumn("rn", F.row_number().over(W.partitionBy("target").orderBy("page_id")))
-    return ranked.groupBy("target").agg(F.count("*").alias("linking_pages"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("rn") <= 5, F.col("page_id")))), ",").alias("examples"))
+    e = edges(pages).join(known, "target", "left_anti").select("target", "page_id").distinct()
+    return least_k(e, ["target"], "page_id", 5).select("target", F.col("n").alias("linking_pages"), F.array_join("least", ",").alias("examples"))
 
 
 def external_domains(pages: DataFrame, k: int = 15) -> DataFrame:
@@ -185,3 +188,85 @@ def chains(hops: DataFrame, most: int = 10) -> DataFrame:
             (F.col("temporary") | (go & F.col("t"))).alias("temporary"), F.when(go, F.concat("path", F.array("d"))).otherwise(F.col("path")).alias("path"),
         )
     return state.drop("path")
+
+
+def target_examples(links: DataFrame, classes: DataFrame, k: int = 5) -> DataFrame:
+    """class, target, linking_pages and the ``k`` least linking pages of every target of a class.
+
+    ``links``: target, page_id; ``classes``: target, class; targets without a class are left out. Pages count once a target.
+    """
+    one = links.select("target", "page_id").distinct().join(classes, "target")
+    return least_k(one, ["class", "target"], "page_id", k).select("class", "target", F.col("n").alias("linking_pages"), F.array_join("least", ",").alias("examples"))
+
+
+def status_class(status: Column, title: Column, final: Column, url: Column) -> Column:
+    """Class of an answer by precedence: broken (4xx), server_error (5xx), soft_404 (a title that says so), redirected; null for others."""
+    t = F.lower(F.coalesce(title, F.lit("")))
+    return (
+        F.when(status.between(400, 499), "broken").when(status >= 500, "server_error").when((status == 200) & reduce(lambda a, b: a | b, (t.contains(s) for s in dims.SOFT_404_OF_LINKS)), "soft_404").when(final != url, "redirected")
+    )
+
+
+def linked_statuses(pages: DataFrame, responses: DataFrame, k: int = 5) -> DataFrame:
+    """Internal targets by class of their answers (url, status, title, final_url), with the number of linking pages and examples."""
+    r = responses.select(U.normal_b(F.col("url")).alias("target"), status_class(F.col("status"), F.col("title"), U.normal_b(F.col("final_url")), U.normal_b(F.col("url"))).alias("class")).where("class is not null").distinct()
+    return target_examples(edges(pages), r, k)
+
+
+def linked_pages(pages: DataFrame, k: int = 5) -> DataFrame:
+    """Internal targets by what the crawl has of them: missing, soft_404 or crawled; linking pages and examples."""
+    title = F.get(H.elements(F.coalesce("html", F.lit("")), "title"), 0)
+    own = pages.select(U.normal_b(F.col("url")).alias("target"), status_class(F.lit(200), title, F.lit(""), F.lit("")).alias("c"))
+    own = own.groupBy("target").agg(F.max("c").alias("c"), F.lit(True).alias("known"))
+    e = edges(pages).select("target", "page_id").distinct().join(own, "target", "left")
+    kind = F.when(F.col("known").isNull(), "missing").otherwise(F.coalesce("c", F.lit("crawled")))
+    return least_k(e.withColumn("class", kind), ["class", "target"], "page_id", k).select("class", "target", F.col("n").alias("linking_pages"), F.array_join("least", ",").alias("examples"))
+
+
+#: Buckets of ranks in which a host's quota is cut.
+RANKS = 1024
+
+
+def rank_of(node: Column) -> Column:
+    """A number of 60 bits by which nodes are ranked, from the digest of the URL."""
+    return F.conv(F.substring(F.md5(node.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def _within(found: DataFrame, room: DataFrame) -> DataFrame:
+    """Of the nodes of each host (node, host) the ``room`` ones of least rank, ties by node.
+
+    Ranks are counted in RANKS buckets; only the bucket in which the room ends is put in order.
+    """
+    f = found.withColumn("rank", rank_of(F.col("node"))).withColumn("bucket", F.shiftright("rank", 60 - (RANKS - 1).bit_length()))
+    counts = f.groupBy("host", "bucket").agg(F.count("*").alias("m"))
+    counts = counts.withColumn("before", F.coalesce(F.sum("m").over(W.partitionBy("host").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    open_ = counts.join(room, "host").where("before < room").select("host", "bucket", (F.col("before") + F.col("m") <= F.col("room")).alias("whole"), (F.col("room") - F.col("before")).alias("rest"))
+    f = f.join(open_, ["host", "bucket"])
+    cut = f.where("not whole").withColumn("place", F.row_number().over(W.partitionBy("host").orderBy("rank", "node"))).where("place <= rest")
+    return f.where("whole").select("node", "host").unionByName(cut.select("node", "host"))
+
+
+def crawl(edge: DataFrame, seeds: DataFrame, depth: int | None = 3, most: int | None = 30) -> DataFrame:
+    """(node, host, depth): what a crawl from the seeds visits, level by level, at most ``most`` nodes a host and ``depth`` links away.
+
+    ``edge``: src, dst (links within a host); ``seeds``: node. Where a level has more new nodes than a host has room, those of least rank
+    are visited (``rank_of``). None: no bound, which gives what ``reach`` gives. Each level is a staged table; a host that is full has no frontier.
+    """
+    edge = staged(edge.select("src", "dst").where("src is not null and dst is not null").distinct())
+    host = U.host(F.col("node"))
+    new = seeds.select("node").where("node is not null").distinct().withColumn("host", host)
+    seen, d = None, 0
+    while True:
+        if most is not None:
+            used = seen.groupBy("host").agg(F.count("*").alias("used")) if seen is not None else None
+            hosts = new.select("host").distinct()
+            room = hosts.join(used, "host", "left").select("host", (F.lit(most) - F.coalesce("used", F.lit(0))).alias("room")) if used is not None else hosts.select("host", F.lit(most).alias("room"))
+            new = _within(new, room.where("room > 0"))
+        new = staged(new.withColumn("depth", F.lit(d).cast("long")))
+        if d and new.isEmpty():
+            return seen
+        seen = new if seen is None else seen.unionByName(new)
+        if d == depth:
+            return seen
+        d += 1
+        new = new.join(edge, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("host", host).join(seen.select("node"), "node", "left_anti")
