@@ -18,6 +18,7 @@ from .operators import hosts as S
 from .operators import links as L
 from .operators import models as M
 from .operators import pages as P
+from .operators import rollups as G
 from .operators import scoring as R
 from .oracles import ORACLES
 from .graph_oracles import PAGE_GROUPS
@@ -152,6 +153,11 @@ QUERIES |= {
 QUERIES |= {
     # duplicates of pages
     "duplicate_pages": _on("pages", C.duplicate_report),
+    # rolled-up signatures and vocabularies
+    "source_similarity": _on("documents", lambda d: G.group_similarity(d, F.col("source"))),
+    "seeded_signatures": _on("benchmark", lambda b: D.signatures(b.withColumnRenamed("item_id", "doc_id"), seeded_md5=True).select("doc_id", F.array_join("sig", ",").alias("sig"))),
+    "template_uniqueness": _on("pages", G.template_uniqueness),
+    "vocabulary_rollup": _on("pages", G.vocabulary_rollup),
     # streams run to their end
     "stream_drop_alerts": lambda spark, d: finite.drops_of(spark, f"{d}/events.parquet"),
     "polite_frontier": lambda spark, d: finite.frontier_of(spark, f"{d}/pages.parquet"),

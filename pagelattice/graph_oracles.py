@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import oracle as O
+from .operators.documents import coefficients
 from .oracles import _COEF, _EDGES, _SH, ORACLES
 from .plans import dims
 
@@ -23,6 +24,8 @@ def _crawl(depth: int, most: int) -> str:
     return out + f" SELECT * FROM v{depth}"
 
 
+_PAIRS = ", ".join(f"({i}, {a}::BIGINT, {b}::BIGINT)" for i, (a, b) in enumerate(coefficients(256)))
+
 PAGE_GROUPS = {
     "duplicate_pages": f"""WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, page_id, {_TEXT} AS text FROM pages), p AS (SELECT r, page_id, len({O.words('text')})::BIGINT AS words, CASE WHEN text <> '' THEN sha256({O.normalised('text')}) END AS exact, {O.ascii_words('text')} AS w FROM t),
       s AS (SELECT r, exact, page_id, {_SH(5)} AS sh FROM p), g AS (SELECT r, exact, list_transform({_COEF}, lambda c: list_min(list_transform(h, lambda x: (x * c[1] + c[2]) % 2147483647))) AS sig FROM (SELECT r, exact, list_transform(sh, lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT % 2147483647) AS h FROM s WHERE len(sh) > 0)),
@@ -33,6 +36,14 @@ PAGE_GROUPS = {
     "linked_pages": f"""WITH own AS (SELECT {O.normal_b('url')} AS target, max(CASE WHEN {_SOFT} THEN 'soft_404' END) AS c FROM pages GROUP BY 1)
       SELECT CASE WHEN own.target IS NULL THEN 'missing' ELSE coalesce(c, 'crawled') END AS class, e.target, count(DISTINCT page_id) AS linking_pages, array_to_string((list(DISTINCT page_id ORDER BY page_id))[1:5], ',') AS examples FROM {_EDGES} e LEFT JOIN own ON own.target = e.target GROUP BY 1, 2""",
     "crawl_budget": _crawl(3, 5),
+    "source_similarity": f"""WITH s AS (SELECT source, {_SH(5)} AS sh FROM (SELECT source, {O.ascii_words('text')} AS w FROM documents)), h AS (SELECT DISTINCT source, ('0x' || substr(md5(x), 1, 15))::BIGINT % 2147483647 AS h FROM (SELECT source, unnest(sh) AS x FROM s WHERE source IS NOT NULL)),
+      m AS (SELECT source, c.i, min((h * c.a + c.b) % 2147483647) AS v FROM h, (VALUES {_PAIRS}) c(i, a, b) GROUP BY 1, 2) SELECT x.source AS a, y.source AS b, count(*) / 256.0::DOUBLE AS similarity FROM m x JOIN m y ON x.i = y.i AND x.v = y.v AND x.source < y.source GROUP BY 1, 2""",
+    "seeded_signatures": f"""SELECT item_id AS doc_id, string_agg(v, ',' ORDER BY i) AS sig FROM (SELECT item_id, i, min(md5(concat(i, ':', x))) AS v FROM (SELECT item_id, unnest({_SH(5)}) AS x FROM (SELECT item_id, {O.ascii_words('text')} AS w FROM benchmark)), range(100) r(i) GROUP BY 1, 2) GROUP BY 1""",
+    "template_uniqueness": f"""WITH t AS (SELECT row_number() OVER () AS r, {O.host('url')} || {O.template('url')} AS pattern, {_TEXT} AS text FROM pages), p AS (SELECT r, pattern, len({O.words('text')}) AS words, {O.ascii_words('text')} AS w FROM t),
+      s AS (SELECT r, pattern, x, len(sh) AS n FROM (SELECT r, pattern, sh, unnest(sh) AS x FROM (SELECT r, pattern, {_SH(5)} AS sh FROM p))), d AS (SELECT pattern, x, count(*) AS df, min(n) AS n FROM s GROUP BY 1, 2),
+      u AS (SELECT pattern, count(*) AS shingles, count(*) FILTER (df = 1) AS unique_shingles, sum(1.0::DOUBLE / n) FILTER (df = 1) AS parts FROM d GROUP BY 1), g AS (SELECT pattern, count(*) AS pages, round(avg(words), 1) AS avg_words, count(*) FILTER (len(w) > 0) AS worded FROM p GROUP BY 1 HAVING count(*) >= 3),
+      j AS (SELECT pattern, pages, avg_words, coalesce(shingles, 0) AS shingles, coalesce(unique_shingles, 0) AS unique_shingles, round(coalesce(parts, 0.0::DOUBLE) / greatest(worded, 1), 4) AS uniqueness FROM g LEFT JOIN u USING (pattern))
+      SELECT *, CASE WHEN uniqueness < 0.3 OR (pages >= 500 AND uniqueness < 0.4) THEN 'stop' WHEN uniqueness < 0.4 OR avg_words < 300 OR pages >= 100 THEN 'warn' ELSE 'pass' END AS gate FROM j""",
     "stream_drop_alerts": ORACLES["traffic_drop_7d"],
     "polite_frontier": f"""WITH a AS (SELECT host, url, min(page_id) AS arrival FROM (SELECT {O.host('url')} AS host, {O.normal_b('url')} AS url, page_id FROM pages WHERE url IS NOT NULL AND page_id IS NOT NULL) GROUP BY 1, 2), i AS (SELECT *, row_number() OVER w - 1 AS i FROM a WINDOW w AS (PARTITION BY host ORDER BY arrival, url))
       SELECT host, url, arrival, greatest(arrival, max(arrival - i * 600) OVER (PARTITION BY host ORDER BY arrival, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + i * 600 - 600)::BIGINT AS release FROM i""",
