@@ -83,13 +83,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     Rows with a null label and vectors that are null, empty, zero or hold null or non-finite components have
     no links and are their own component; so have vectors whose copies all have a null vec_id. Vectors of
-    different length are never linked. Copies count as links of each other. Rows that share a vec_id are
-    taken for copies. An empty table gives no rows; other columns are not read.
+    different length are never linked. Copies count as links of each other. Rows that share a vec_id are vectors of their
+    own: items are told apart by label and vector alone, so an id under two labels links nothing. An empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     v = vectors.select("vec_id", "label", "embedding", F.coalesce(_usable(), F.lit(False)).alias("_ok"))
     classes = v.where("_ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).where("id is not null").withColumn("dim", F.size("embedding"))
-    classes = staged(classes)
+    classes = staged(classes.withColumn("key", F.monotonically_increasing_id()))  # written with the keys, which so stay what they are
     sizes = classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "dim").limit(1).collect()
     main = sizes[0]["dim"] if sizes else 0
     sample = classes.where(F.col("dim") == main).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").collect()
@@ -100,12 +100,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     def place(batches):
         for b in batches:
+            size, axis = b.column("dim").to_numpy(), np.zeros(b.num_rows)
+            for d in np.unique(size).tolist():
+                at = np.flatnonzero(size == d)
+                x = b.column("embedding").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+                axis[at] = (x @ rotation(d)[:, 0]) / np.linalg.norm(x, axis=1)
             if b.num_rows:
-                first = [float(np.dot(x / np.linalg.norm(x), rotation(len(x))[:, 0])) for x in (np.asarray(e, np.float64) for e in b.column("embedding").to_pylist())]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("label", "dim", "id", "n", "embedding")), pa.array(first)], names=["label", "dim", "id", "n", "embedding", "axis"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("label", "dim", "key", "n", "embedding")), pa.array(axis)], names=["label", "dim", "key", "n", "embedding", "axis"])
 
     kinds = dict(classes.dtypes)
-    e = classes.select("label", "dim", "id", "n", "embedding").mapInArrow(place, f"label {kinds['label']}, dim int, id {kinds['id']}, n long, embedding {kinds['embedding']}, axis double")
+    e = classes.select("label", "dim", "key", "n", "embedding").mapInArrow(place, f"label {kinds['label']}, dim int, key long, n long, embedding {kinds['embedding']}, axis double")
     e = staged(e.withColumn("bin", F.floor(F.col("axis") / BIN)))
     bins = e.groupBy("label", "dim", "bin").agg(F.count("*").alias("c"), F.min("axis").alias("lo"), F.max("axis").alias("hi"))
     before = F.sum("c").over(W.partitionBy("label", "dim").orderBy("bin")) - F.col("c")
@@ -121,12 +125,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     pairs = staged(pairs.withColumn("pair", F.xxhash64("label", "dim", "tile_a", "sub_a", "tile_b", "sub_b")))
     sides = pairs.select("label", "dim", F.col("tile_a").alias("tile"), F.col("sub_a").alias("sub"), "pair", F.lit(0).alias("side"))
     sides = sides.union(pairs.where("tile_a <> tile_b or sub_a <> sub_b").select("label", "dim", "tile_b", "sub_b", "pair", F.lit(1)))
-    rows = e.join(checked_broadcast(bins.select("label", "dim", "bin", "tile", "subs")), ["label", "dim", "bin"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))
-    rows = rows.join(checked_broadcast(sides), ["label", "dim", "tile", "sub"]).select("pair", "side", "dim", "id", "n", "embedding")
+    rows = e.join(checked_broadcast(bins.select("label", "dim", "bin", "tile", "subs")), ["label", "dim", "bin"]).withColumn("sub", F.pmod(F.xxhash64("key"), F.col("subs")).cast("int"))
+    rows = rows.join(checked_broadcast(sides), ["label", "dim", "tile", "sub"]).select("pair", "side", "dim", "key", "n", "embedding")
 
     def compare(t: pa.Table) -> pa.Table:
         side, d = t.column("side").to_numpy(), t.column("dim")[0].as_py()
-        ids, n = t.column("id").to_numpy(), t.column("n").to_numpy()
+        ids, n = t.column("key").to_numpy(), t.column("n").to_numpy()
         x = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
         at_a, at_b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = not len(at_b)
@@ -142,8 +146,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     found = staged(rows.groupBy("pair").applyInArrow(compare, "u long, v long, links long"))
     links = found.groupBy("u").agg(F.sum("links").alias("links"))
     comp = components(found.where("v is not null").select("u", "v"))
-    c = classes.select("label", "embedding", "id", "n").join(links.withColumnRenamed("u", "id"), "id", "left").join(comp, "id", "left")
-    c = c.select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    c = classes.select("label", "embedding", "key", "id", "n").join(links.withColumnRenamed("u", "key"), "key", "left").join(comp.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("component", "key"))
+    least = c.where("component is not null").groupBy("root").agg(F.min("id").alias("least"))
+    c = c.join(least, "root", "left")
+    c = c.select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "id").alias("component_id"))
     done = v.where("_ok").join(c, (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e")), "left")
     done = done.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     done = done.unionByName(v.where("not _ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))

@@ -416,3 +416,14 @@ def test_vectors(spark, tile, monkeypatch):
                 root[max(p, q)] = min(p, q)
     assert got == {i: (links[i], find(i)) for i, *_ in rows}
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_vectors_that_share_an_id_or_have_names(spark):
+    """An id under two labels doesn't join their neighbours; ids may be strings; columns that clash with working names are passed over."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [("1", a, 0), ("1", b, 1), ("2", a, 0), ("3", b, 1), ("4", [0.99, 0.01, 0.0], 0), ("5", a, 2)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id string, embedding array<float>, label int, key int, id int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [("1", 1, "1"), ("1", 2, "1"), ("2", 2, "1"), ("3", 1, "1"), ("4", 2, "1"), ("5", 0, "5")]
+    apart = spark.createDataFrame([(1, a, 0), (1, b, 1), (2, a, 0), (0, b, 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted(tuple(r) for r in embedding_dedup.near_duplicates(apart).collect()) == [(0, 1, 0, True), (1, 1, 0, False), (1, 1, 1, True), (2, 1, 1, False)]
