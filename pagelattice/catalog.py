@@ -158,6 +158,8 @@ QUERIES |= {
     "seeded_signatures": _on("benchmark", lambda b: D.signatures(b.withColumnRenamed("item_id", "doc_id"), seeded_md5=True).select("doc_id", F.array_join("sig", ",").alias("sig"))),
     "template_uniqueness": _on("pages", G.template_uniqueness),
     "vocabulary_rollup": _on("pages", G.vocabulary_rollup),
+    "template_audit": _on("pages", G.template_audit),
+    "site_audit": _on("pages", G.site_audit),
     # streams run to their end
     "stream_drop_alerts": lambda spark, d: finite.drops_of(spark, f"{d}/events.parquet"),
     "polite_frontier": lambda spark, d: finite.frontier_of(spark, f"{d}/pages.parquet"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import oracle as O
 from .operators.documents import coefficients
-from .oracles import _COEF, _EDGES, _SH, ORACLES
+from .oracles import _COEF, _EDGES, _SH, ORACLES, _facts
 from .plans import dims
 
 _TEXT = O.visible("coalesce(html, '')")
@@ -26,6 +26,18 @@ def _crawl(depth: int, most: int) -> str:
 
 _PAIRS = ", ".join(f"({i}, {a}::BIGINT, {b}::BIGINT)" for i, (a, b) in enumerate(coefficients(256)))
 
+_AUDIT = f"""WITH f0 AS (SELECT row_number() OVER () AS r, {O.host('url')} AS site, {O.host('url')} || {O.template('url')} AS pattern, {O.normal_b('url')} AS norm, url, html, page_id, {_TEXT} AS text FROM pages),
+  pf AS (SELECT page_id AS r, title, meta_description, first_h1, n_canonicals FROM {_facts('(SELECT r AS page_id, html FROM f0)')}),
+  f AS (SELECT f0.r, site, pattern, norm, page_id, text, len({O.words('text')}) AS words, {O.ascii_words('text')} AS w, coalesce(title, '') AS title, meta_description AS d, first_h1 AS h1, n_canonicals = 0 AS bare FROM f0 JOIN pf USING (r)),
+  g AS (SELECT site, pattern, count(*) AS pages, count(*) FILTER (words < 300) AS thin, count(DISTINCT title) AS titles, count(DISTINCT d) AS descriptions, count(d) AS described, count(DISTINCT h1) AS h1s, count(h1) AS headed, count(*) FILTER (bare) AS without_canonical FROM f GROUP BY 1, 2 HAVING count(*) >= 3),
+  s AS (SELECT r, pattern, x, len(sh) AS n FROM (SELECT r, pattern, sh, unnest(sh) AS x FROM (SELECT r, pattern, {_SH(5)} AS sh FROM f))), c AS (SELECT s.pattern, x FROM s JOIN g USING (pattern) GROUP BY 1, 2, pages HAVING count(*) >= greatest(2.0, 0.8 * pages)),
+  u AS (SELECT s.pattern, s.r, round(100.0::DOUBLE - 100.0::DOUBLE * count(c.x) / min(n), 6) AS pct FROM s LEFT JOIN c ON c.pattern = s.pattern AND c.x = s.x GROUP BY 1, 2),
+  uu AS (SELECT pattern, count(*) AS worded, count(*) FILTER (pct < 30) AS stopped, count(*) FILTER (pct >= 30 AND pct < 40) AS warned FROM u GROUP BY 1),
+  x AS (SELECT a.pattern, count(DISTINCT a.r) AS cross_linked FROM f a JOIN {_EDGES} e ON e.page_id = a.page_id JOIN f b ON b.norm = e.target AND b.pattern = a.pattern WHERE e.target <> a.norm GROUP BY 1),
+  j AS (SELECT g.*, coalesce(stopped, 0) + pages - coalesce(worded, 0) AS hard_stop, coalesce(warned, 0) AS warned, coalesce(cross_linked, 0) AS cross_linked FROM g LEFT JOIN uu USING (pattern) LEFT JOIN x USING (pattern)),
+  k AS (SELECT site, pattern, pages, thin, titles, hard_stop, warned, described, headed, without_canonical, cross_linked, (thin * 2 > pages)::INT + (hard_stop > 0)::INT + (titles * 10 < pages * 8)::INT AS critical,
+    (thin > 0 AND thin * 2 <= pages)::INT + (warned > 0)::INT + (titles < pages AND titles * 10 >= pages * 8)::INT + (described < pages)::INT + (descriptions < described)::INT + (headed < pages)::INT + (h1s < headed)::INT + (without_canonical > 0)::INT + ((pages - cross_linked) * 2 > pages)::INT AS warnings FROM j)"""
+
 PAGE_GROUPS = {
     "duplicate_pages": f"""WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, page_id, {_TEXT} AS text FROM pages), p AS (SELECT r, page_id, len({O.words('text')})::BIGINT AS words, CASE WHEN text <> '' THEN sha256({O.normalised('text')}) END AS exact, {O.ascii_words('text')} AS w FROM t),
       s AS (SELECT r, exact, page_id, {_SH(5)} AS sh FROM p), g AS (SELECT r, exact, list_transform({_COEF}, lambda c: list_min(list_transform(h, lambda x: (x * c[1] + c[2]) % 2147483647))) AS sig FROM (SELECT r, exact, list_transform(sh, lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT % 2147483647) AS h FROM s WHERE len(sh) > 0)),
@@ -44,6 +56,8 @@ PAGE_GROUPS = {
       u AS (SELECT pattern, count(*) AS shingles, count(*) FILTER (df = 1) AS unique_shingles, sum(1.0::DOUBLE / n) FILTER (df = 1) AS parts FROM d GROUP BY 1), g AS (SELECT pattern, count(*) AS pages, round(avg(words), 1) AS avg_words, count(*) FILTER (len(w) > 0) AS worded FROM p GROUP BY 1 HAVING count(*) >= 3),
       j AS (SELECT pattern, pages, avg_words, coalesce(shingles, 0) AS shingles, coalesce(unique_shingles, 0) AS unique_shingles, round(coalesce(parts, 0.0::DOUBLE) / greatest(worded, 1), 4) AS uniqueness FROM g LEFT JOIN u USING (pattern))
       SELECT *, CASE WHEN uniqueness < 0.3 OR (pages >= 500 AND uniqueness < 0.4) THEN 'stop' WHEN uniqueness < 0.4 OR avg_words < 300 OR pages >= 100 THEN 'warn' ELSE 'pass' END AS gate FROM j""",
+    "template_audit": f"{_AUDIT} SELECT *, CASE WHEN critical > 0 THEN 'high' WHEN warnings > 2 THEN 'medium' ELSE 'low' END AS risk FROM k",
+    "site_audit": f"{_AUDIT} SELECT *, CASE WHEN critical > 0 THEN 'high' WHEN warnings > 3 THEN 'medium' ELSE 'low' END AS risk FROM (SELECT site, count(*) AS groups, sum(pages)::BIGINT AS pages, sum(critical)::BIGINT AS critical, sum(warnings)::BIGINT AS warnings FROM k GROUP BY 1)",
     "stream_drop_alerts": ORACLES["traffic_drop_7d"],
     "polite_frontier": f"""WITH a AS (SELECT host, url, min(page_id) AS arrival FROM (SELECT {O.host('url')} AS host, {O.normal_b('url')} AS url, page_id FROM pages WHERE url IS NOT NULL AND page_id IS NOT NULL) GROUP BY 1, 2), i AS (SELECT *, row_number() OVER w - 1 AS i FROM a WINDOW w AS (PARTITION BY host ORDER BY arrival, url))
       SELECT host, url, arrival, greatest(arrival, max(arrival - i * 600) OVER (PARTITION BY host ORDER BY arrival, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + i * 600 - 600)::BIGINT AS release FROM i""",

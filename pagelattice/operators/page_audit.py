@@ -72,7 +72,7 @@ def parsed(pages: DataFrame) -> DataFrame:
     prose = F.filter("sentences", lambda s: F.size(F.filter(T.words(s), lambda w: w.rlike("^[a-zA-Z]+$"))) >= 4)
     d = P.meta_first(F.col("m"), "description")
     return p.select(
-        "page_id", "url", "site", "m", "canonicals", "objects", "img", "alternates", "own", "map", "tel", "address", "local_business", F.get("titles", 0).alias("title"), F.size("titles").alias("n_titles"), F.size("h1").alias("n_h1"), F.size("blocks").alias("n_blocks"),
+        "page_id", "url", "site", "m", "canonicals", "objects", "img", "alternates", "own", "map", "tel", "address", "local_business", F.get("titles", 0).alias("title"), F.size("titles").alias("n_titles"), F.size("h1").alias("n_h1"), F.get("h1", 0).alias("first_h1"), F.size("blocks").alias("n_blocks"),
         F.coalesce(d, P.meta_first(F.col("m"), "og:description")).alias("meta_description"), F.size("w").alias("words"), F.transform(letters, T.syllables_a).alias("syllables"), F.greatest(F.lit(1), F.size(prose)).alias("n_sentences"),
         F.transform("own", lambda x: U.normal_b(x["target"])).alias("targets"), U.resolve(F.col("url"), F.get("canonicals", 0)).alias("canonical"), F.transform("alternates", lambda x: F.struct(F.lower(x["lang"]).alias("lang"), U.resolve(F.col("url"), x["href"]).alias("url"))).alias("tags"),
     )

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
+from ..plans.stage import staged
 from .documents import _halves, _worded, signed
+from .page_audit import parsed
 
 
 def merged_signatures(docs: DataFrame, by: Column, k: int = 5, n: int = 256) -> DataFrame:
@@ -40,12 +42,12 @@ def pattern(url: Column) -> Column:
 
 
 def _shingles(pages: DataFrame, k: int) -> DataFrame:
-    """site, pattern, n (distinct shingles of the page) and h (halves of a shingle's digest), a row a shingle."""
-    # templates are words of the URL, so the page's group travels as one column of text
-    t = pages.select(U.host(F.col("url")).alias("site"), pattern(F.col("url")).alias("pattern"), H.visible(F.coalesce("html", F.lit(""))).alias("text"))
-    s = _worded(t, F.to_json(F.struct("site", "pattern")).alias("source")).mapInArrow(_halves(k), "source string, x array<long>, y array<long>")
-    s = s.select(F.from_json("source", "site string, pattern string").alias("g"), F.size("x").alias("n"), F.explode(F.arrays_zip("x", "y")).alias("h"))
-    return s.select("g.site", "g.pattern", "n", "h.x", "h.y")
+    """site, pattern, row (a number of the page, good within this frame), n (distinct shingles of the page), x and y (halves of a shingle's digest), a row a shingle."""
+    t = pages.select(U.host(F.col("url")).alias("site"), pattern(F.col("url")).alias("pattern"), H.visible(F.coalesce("html", F.lit(""))).alias("text"), F.monotonically_increasing_id().alias("row"))
+    # what names a page travels as one column of text
+    s = _worded(t, F.to_json(F.struct("site", "pattern", "row")).alias("source")).mapInArrow(_halves(k), "source string, x array<long>, y array<long>")
+    s = s.select(F.from_json("source", "site string, pattern string, row long").alias("g"), F.size("x").alias("n"), F.arrays_zip("x", "y").alias("h"))
+    return s.select("g.site", "g.pattern", "g.row", "n", F.explode("h").alias("h")).select("site", "pattern", "row", "n", "h.x", "h.y")
 
 
 #: Gates of template groups: share of unique text below which a group is stopped or warned of, words, and pages of a large group.
@@ -77,3 +79,52 @@ def vocabulary_rollup(pages: DataFrame, k: int = 5, lg_k: int = 12) -> DataFrame
     s = _shingles(pages, k).select("site", "pattern", F.xxhash64("x", "y").alias("h"))
     g = s.groupingSets([["site", "pattern"], ["site"]], "site", "pattern").agg(F.count("*").alias("shingles"), F.theta_sketch_estimate(F.theta_sketch_agg("h", lg_k)).alias("distinct_shingles"))
     return g.select("site", "pattern", "shingles", "distinct_shingles")
+
+
+def _unique_pages(pages: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """pattern, hard_stop and warned: pages of a group (pattern, pages) by the percentage of their shingles that are no boilerplate of the group."""
+    s = _shingles(pages, k)
+    df = s.groupBy("pattern", "x", "y").agg(F.count("*").alias("df")).join(groups, "pattern")
+    common = df.where(F.col("df") >= F.greatest(F.lit(2.0), F.lit(0.8) * F.col("pages"))).select("pattern", "x", "y", F.lit(1).alias("common"))
+    per = s.join(groups.select("pattern"), "pattern", "left_semi").join(common, ["pattern", "x", "y"], "left").groupBy("pattern", "row").agg(F.count("common").alias("c"), F.first("n").alias("n"))
+    unique = F.round(F.lit(100.0) - F.lit(100.0) * F.col("c") / F.col("n"), 6)
+    return per.groupBy("pattern").agg(F.count("*").alias("worded"), F.count_if(unique < 100 * STOP).alias("stopped"), F.count_if((unique >= 100 * STOP) & (unique < 100 * WARN)).alias("warned"))
+
+
+def template_audit(pages: DataFrame, least: int = 3, k: int = 5) -> DataFrame:
+    """Counts, critical findings, warnings and risk of every URL template with ``least`` pages: the audit of generated pages.
+
+    Critical: most pages are thin, pages with under 30 % text that isn't boilerplate (a page without words has none), under 80 % distinct titles. Warnings: some thin
+    pages, pages with 30 to 40 %, repeated titles, missing or repeated descriptions and first headings, missing canonicals, most pages without a link to another page of the template.
+    risk: high with a critical finding, medium with more than two warnings, else low. Facts are one scan; shingles are shuffled by template and digest.
+    """
+    p = parsed(pages)
+    f = p.select(
+        "site", pattern(F.col("url")).alias("pattern"), U.normal_b(F.col("url")).alias("norm"), "words", F.coalesce("title", F.lit("")).alias("title"), "meta_description", F.col("first_h1").alias("h1"), (F.size("canonicals") == 0).alias("bare"), F.array_distinct("targets").alias("targets"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    f = staged(f)
+    g = f.groupBy("site", "pattern").agg(
+        F.count("*").alias("pages"), F.count_if(F.col("words") < WORDS).alias("thin"), F.count_distinct("title").alias("titles"), F.count_distinct("meta_description").alias("descriptions"), F.count("meta_description").alias("described"),
+        F.count_distinct("h1").alias("h1s"), F.count("h1").alias("headed"), F.count_if("bare").alias("without_canonical"),
+    ).where(F.col("pages") >= least)
+    g = staged(g)
+    own = f.select("pattern", F.col("norm").alias("target")).distinct()
+    linked = f.select("pattern", "row", "norm", F.explode("targets").alias("target")).where("target <> norm").join(own, ["pattern", "target"]).select("pattern", "row").distinct().groupBy("pattern").agg(F.count("*").alias("cross_linked"))
+    j = g.join(_unique_pages(pages, g.select("pattern", "pages"), k), "pattern", "left").join(linked, "pattern", "left").na.fill(0, ["worded", "stopped", "warned", "cross_linked"])
+    j = j.withColumn("hard_stop", F.col("stopped") + F.col("pages") - F.col("worded"))
+    one = lambda c: F.when(c, 1).otherwise(0)
+    n = F.col("pages")
+    critical = one(F.col("thin") * 2 > n) + one(F.col("hard_stop") > 0) + one(F.col("titles") * 10 < n * 8)
+    warnings = (
+        one((F.col("thin") > 0) & (F.col("thin") * 2 <= n)) + one(F.col("warned") > 0) + one((F.col("titles") < n) & (F.col("titles") * 10 >= n * 8)) + one(F.col("described") < n) + one(F.col("descriptions") < F.col("described")) + one(F.col("headed") < n)
+        + one(F.col("h1s") < F.col("headed")) + one(F.col("without_canonical") > 0) + one((n - F.col("cross_linked")) * 2 > n)
+    )
+    j = j.select("site", "pattern", "pages", "thin", "titles", "hard_stop", "warned", "described", "headed", "without_canonical", "cross_linked", critical.alias("critical"), warnings.alias("warnings"))
+    return j.withColumn("risk", F.when(F.col("critical") > 0, "high").when(F.col("warnings") > 2, "medium").otherwise("low"))
+
+
+def site_audit(pages: DataFrame, least: int = 3) -> DataFrame:
+    """site, its template groups, critical findings, warnings and risk: high with a critical one, medium above three warnings."""
+    g = template_audit(pages, least).groupBy("site").agg(F.count("*").alias("groups"), F.sum("pages").alias("pages"), F.sum("critical").alias("critical"), F.sum("warnings").alias("warnings"))
+    return g.withColumn("risk", F.when(F.col("critical") > 0, "high").when(F.col("warnings") > 3, "medium").otherwise("low"))
