@@ -22,6 +22,8 @@ from .hosts import SOFT_404
 from .links import SKIP
 
 Check = tuple[str, Column | str, Column]
+#: Words of ASCII letters alone, each found where it stands: counting them in a text needs no list of all words.
+LETTERS = r"(?<![\p{L}\p{N}_])[a-zA-Z]+(?![\p{L}\p{N}_])"
 
 
 def _objects(blocks: Column) -> Column:
@@ -49,10 +51,14 @@ def parsed(pages: DataFrame) -> DataFrame:
     h = F.col("h")
     p = pages.select("page_id", "url", U.host(F.col("url")).alias("site"), F.coalesce("html", F.lit("")).alias("h"))
     cut = lambda x: F.struct(F.regexp_extract(x, "^([^>]*)>", 1).alias("t"), F.regexp_extract(x, r"(?is)^[^>]*>(.*?)(?:</a|\z)", 1).alias("inner"))
+    # a plain search for a literal spares the pages without it the patterns
+    p = p.withColumn("low", F.lower(h))
+    has = lambda *literals: reduce(lambda x, y: x | y, (F.col("low").contains(x) for x in literals))
+    if_has = lambda literal, found: F.when(has(literal), found).otherwise(F.array().cast("array<string>"))
     p = p.select(
-        "page_id", "url", "site", P.metas(h).alias("m"), H.elements(h, "title").alias("titles"), H.elements(h, "h1").alias("h1"), P.canonicals(h).alias("canonicals"), H.tags(h, "img").alias("img"), H.tags(h, "link").alias("link"),
-        H.json_blocks(h).alias("blocks"), H.visible(h).alias("text"), F.transform(F.filter(F.slice(F.split(h, r"(?i)<a\s", -1), 2, 1 << 30), lambda x: x.contains(">")), cut).alias("a"), F.lower(h).contains("google.com/maps").alias("map"), h.rlike("(?i)href=[\"']tel:").alias("tel"),
-        h.rlike(r'(?i)(streetAddress|postalCode|addressLocality|Address")').alias("address"), h.rlike('(?i)"@type"\\s*:\\s*"LocalBusiness"').alias("local_business"),
+        "page_id", "url", "site", P.metas(h).alias("m"), H.elements(h, "title").alias("titles"), if_has("<h1", H.elements(h, "h1")).alias("h1"), if_has("<link", P.canonicals(h)).alias("canonicals"), if_has("<img", H.tags(h, "img")).alias("img"), if_has("<link", H.tags(h, "link")).alias("link"),
+        if_has("ld+json", H.json_blocks(h)).alias("blocks"), H.visible(h).alias("text"), F.transform(F.filter(F.slice(F.split(h, r"(?i)<a\s", -1), 2, 1 << 30), lambda x: x.contains(">")), cut).alias("a"), has("google.com/maps").alias("map"),
+        (has("tel:") & h.rlike("(?i)href=[\"']tel:")).alias("tel"), has("streetaddress", "postalcode", "addresslocality", 'address"').alias("address"), (has("localbusiness") & h.rlike('(?i)"@type"\\s*:\\s*"LocalBusiness"')).alias("local_business"),
     )
     rel = lambda t: F.split(F.lower(F.coalesce(H.attr(t, "rel"), F.lit(""))), r"\s+")
     filled = lambda t, n: F.coalesce(H.attr(t, n) != "", F.lit(False))
@@ -62,18 +68,21 @@ def parsed(pages: DataFrame) -> DataFrame:
         F.lower(F.regexp_extract(F.coalesce(H.attr(t, "src"), F.lit("")), r"^[^?#]*(\.[^.?#]*)(?:[?#].*)?$", 1)).isin(*RASTER).alias("raster"))
     link = lambda x: F.struct(F.trim(H.attr(x["t"], "href")).alias("href"), F.array_contains(rel(x["t"]), "nofollow").alias("nofollow"), (H.squeeze(H.decode(F.regexp_replace(x["inner"], "<[^>]*>", " "))) == "").alias("bare"))
     p = p.withColumns({
-        "img": F.transform("img", image), "a": F.transform("a", link), "objects": _objects(F.col("blocks")), "w": T.words(F.col("text")), "sentences": T.sentences(F.col("text")),
+        "img": F.transform("img", image), "a": F.transform("a", link), "objects": _objects(F.col("blocks")), "letters": F.regexp_extract_all("text", F.lit(LETTERS), F.lit(0)), "sentences": T.sentences(F.col("text")),
         "alternates": F.transform(F.filter("link", lambda t: F.array_contains(rel(t), "alternate") & filled(t, "hreflang") & filled(t, "href")), lambda t: F.struct(F.trim(H.attr(t, "hreflang")).alias("lang"), F.trim(H.attr(t, "href")).alias("href"))),
     })
     kept = F.filter("a", lambda x: x["href"].isNotNull() & (x["href"] != "") & ~x["href"].rlike(SKIP))
     p = p.withColumn("links", F.transform(kept, lambda x: F.struct(U.resolve(F.col("url"), x["href"]).alias("target"), x["nofollow"].alias("nofollow"), x["bare"].alias("bare"))))
     p = p.withColumn("own", F.filter("links", lambda x: U.scheme(x["target"]).isin("http", "https") & (U.host(x["target"]) == F.col("site"))))
-    letters = F.filter("w", lambda w: w.rlike("^[a-zA-Z]+$"))
-    prose = F.filter("sentences", lambda s: F.size(F.filter(T.words(s), lambda w: w.rlike("^[a-zA-Z]+$"))) >= 4)
+    prose = F.filter("sentences", lambda s: F.regexp_count(s, F.lit(LETTERS)) >= 4)
+    # words of three letters and more in one string, each without a final e and with a blank after it
+    p = p.withColumn("stems", F.regexp_replace(F.concat(F.array_join(F.filter(F.transform("letters", lambda w: F.lower(w)), lambda w: F.length(w) > 2), " "), F.lit(" ")), "e ", " "))
+    short = F.size(F.filter("letters", lambda w: F.length(w) <= 2))
     d = P.meta_first(F.col("m"), "description")
     return p.select(
         "page_id", "url", "site", "m", "canonicals", "objects", "img", "alternates", "own", "map", "tel", "address", "local_business", F.get("titles", 0).alias("title"), F.size("titles").alias("n_titles"), F.size("h1").alias("n_h1"), F.get("h1", 0).alias("first_h1"), F.size("blocks").alias("n_blocks"),
-        F.coalesce(d, P.meta_first(F.col("m"), "og:description")).alias("meta_description"), F.size("w").alias("words"), F.transform(letters, T.syllables_a).alias("syllables"), F.greatest(F.lit(1), F.size(prose)).alias("n_sentences"),
+        F.coalesce(d, P.meta_first(F.col("m"), "og:description")).alias("meta_description"), F.regexp_count("text", F.lit(T.WORD)).alias("words"), F.size("letters").alias("n_letters"),
+        (short + F.regexp_count("stems", F.lit("[aeiouy]+")) + F.regexp_count("stems", F.lit("(?<![^ ])[^aeiouy ]+(?= )"))).alias("syllables"), F.greatest(F.lit(1), F.size(prose)).alias("n_sentences"),
         F.transform("own", lambda x: U.normal_b(x["target"])).alias("targets"), U.resolve(F.col("url"), F.get("canonicals", 0)).alias("canonical"), F.transform("alternates", lambda x: F.struct(F.lower(x["lang"]).alias("lang"), U.resolve(F.col("url"), x["href"]).alias("url"))).alias("tags"),
     )
 
@@ -137,8 +146,8 @@ def internal_links(p: DataFrame) -> list[Check]:
 
 
 def readability(p: DataFrame) -> list[Check]:
-    n, s = F.size("syllables").cast("double"), F.col("n_sentences").cast("double")
-    return [("hard_to_read", "warning", (n > 0) & (T.reading_ease(n, s, T.total(F.col("syllables")).cast("double")) < 40)), ("long_sentences", "warning", n / s > 25)]
+    n, s = F.col("n_letters").cast("double"), F.col("n_sentences").cast("double")
+    return [("hard_to_read", "warning", (n > 0) & (T.reading_ease(n, s, F.col("syllables").cast("double")) < 40)), ("long_sentences", "warning", n / s > 25)]
 
 
 def schema_validation(p: DataFrame) -> list[Check]:

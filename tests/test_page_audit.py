@@ -78,3 +78,14 @@ def test_observed(pages):
 
 def test_no_pages(pages):
     assert page_audit.audit_findings(pages.limit(0)).count() == 0
+
+
+def test_syllables_in_one_string_equal_those_by_word(spark):
+    text = "The eagle rhythm e be bee xyz whale Able, naïve x1 a_b gee queue strengths hmm tree_ on e. Eeee nth the THE aye cwm-fjord 日本 able"
+    df = spark.createDataFrame([(1, "https://a.test/", f"<p>{text}</p>"), (2, "https://a.test/", "<p>e</p>"), (3, "https://a.test/", "")], "page_id long, url string, html string")
+    from pagelattice.functions import text as T
+
+    got = {r.page_id: (r.n_letters, r.syllables, r.words) for r in page_audit.parsed(df).select("page_id", "n_letters", "syllables", "words").collect()}
+    words = F.filter(T.words(F.lit(text)), lambda w: w.rlike("^[a-zA-Z]+$"))
+    want = spark.range(1).select(F.size(words), T.total(F.transform(words, T.syllables_a)), F.size(T.words(F.lit(text)))).first()
+    assert got == {1: tuple(want), 2: (1, 1, 1), 3: (0, 0, 0)}
