@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import md5
@@ -13,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans import dims
 from ..plans.stage import staged
 
 
@@ -261,18 +263,31 @@ def _squared(tokens: Column, at: Column) -> Column:
     rest = F.slice(tokens, at + 1, F.size(tokens))
     drop = F.lower(F.regexp_replace(F.coalesce(F.get(rest, 0), F.lit("")), "[,;:]+", "")).isin(*CONJUNCTIONS)
     second = F.regexp_replace(F.array_join(F.when(drop, F.slice(rest, 2, F.size(rest))).otherwise(rest), " "), r"^[,;: ]+", "")
-    up = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1_000_000))
+    up = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))
     return F.concat(up(first), F.lit(". "), up(second), F.lit("."))
 
 
-def sentence_rewrites(docs: DataFrame, longer: int = 22, k: int = 3) -> DataFrame:
-    """Long sentences split in two near the middle, at a comma or conjunction if one lies eight words from either end."""
-    s = long_sentences(docs, k).withColumn("tok", F.split(F.trim("sentence"), r"\s+")).where(F.size("tok") > longer)
+def _navigation(s: Column) -> Column:
+    """Whether a sentence is of a menu or a list rather than prose: a phrase of menus, two line breaks, no word, or 25 words and more of which over 85 % differ."""
+    w = F.filter(T.words(F.lower(s)), lambda x: x.rlike("^[a-z]+$"))
+    return F.lower(s).rlike("|".join(re.escape(p) for p in dims.MENU_PHRASES)) | (F.regexp_count(s, F.lit("\n")) >= 2) | (F.size(w) == 0) | ((F.size(w) >= 25) & (100 * F.size(F.array_distinct(w)) > 85 * F.size(w)))
+
+
+def sentence_rewrites(docs: DataFrame, longer: int = 25, best: int = 5, k: int = 3) -> DataFrame:
+    """doc_id, rank and rewrite: of the ``best`` longest sentences of over ``longer`` words of ASCII letters (ties by place) the first ``k`` that are prose, split in two
+    near the middle, at a comma or conjunction if one lies eight words from either end. Sentences of up to 22 tokens stay. All within a row.
+    """
+    count = lambda s: F.size(F.filter(T.words(s), lambda w: w.rlike("^[a-zA-Z]+$")))
+    d = docs.select("doc_id", T.sentences(F.col("text")).alias("s")).select("doc_id", F.transform("s", lambda s, i: F.struct((-count(s)).alias("n"), i.alias("i"), s.alias("s"))).alias("s"))
+    d = d.select("doc_id", F.slice(F.array_sort(F.filter("s", lambda x: x["n"] < -longer)), 1, best).alias("s"))
+    d = d.select("doc_id", F.slice(F.filter("s", lambda x: ~_navigation(x["s"])), 1, k).alias("s"))
+    s = d.select("doc_id", F.posexplode_outer("s").alias("pos", "s")).where("pos is not null").select("doc_id", (F.col("pos") + 1).cast("long").alias("rank"), F.trim("s.s").alias("sentence"))
+    s = s.withColumn("tok", F.split("sentence", r"\s+"))
     mid = F.floor(F.size("tok") / 2).cast("int")
     ends = F.transform("tok", lambda t, i: F.when(t.rlike("[,;:]$") | F.lower(F.regexp_replace(t, "[,;:]+", "")).isin(*CONJUNCTIONS), F.struct(F.abs(i - mid).alias("d"), i.alias("i"))))
-    best = F.array_min(F.filter(ends, lambda x: x.isNotNull()))["i"]
-    at = F.when(best.isNull() | (best < 8) | (best > F.size("tok") - 8), mid).otherwise(best)
-    return s.select("doc_id", "rank", _squared(F.col("tok"), at).alias("rewrite"))
+    point = F.array_min(F.filter(ends, lambda x: x.isNotNull()))["i"]
+    at = F.when(point.isNull() | (point < 8) | (point > F.size("tok") - 8), mid).otherwise(point)
+    return s.select("doc_id", "rank", F.when(F.size("tok") <= 22, F.col("sentence")).otherwise(_squared(F.col("tok"), at)).alias("rewrite"))
 
 
 def citable_passages(docs: DataFrame, low: int = 134, high: int = 167) -> DataFrame:

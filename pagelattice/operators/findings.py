@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans import dims
+from ..plans.stage import small
 
 #: Prefix of a finding's key and the pattern whose first group follows it.
 KEYS = (
@@ -26,10 +27,19 @@ def canonical_key(text):
     return F.coalesce(*(F.when(t.rlike(p), F.concat(F.lit(k), F.trim(F.regexp_extract(t, p, 1)))) for k, p in KEYS), base)
 
 
+def _in_context(findings: DataFrame, context: DataFrame) -> DataFrame:
+    """Findings with the metrics that they are checked against: those of their site where both have a site, else of all contexts; of several the greatest values."""
+    metrics = [c for c in context.columns if c != "site" and c not in findings.columns]
+    most = [F.max(c).alias(c) for c in metrics]
+    if "site" in context.columns and "site" in findings.columns:
+        return findings.join(context.groupBy("site").agg(*most), "site", "left")
+    return findings.crossJoin(F.broadcast(context.agg(*most)))  # one row
+
+
 def verified(findings: DataFrame, context: DataFrame) -> DataFrame:
     """One row a canonical key: the strongest severity, its earliest text, sources and count; refuted findings left out."""
     t = T.normalised(F.coalesce("finding", F.lit("")))
-    j = findings.crossJoin(F.broadcast(context.limit(1)))
+    j = _in_context(findings, context)
     refuted = reduce(lambda a, b: a | b, (t.contains(s) & F.coalesce(F.expr(c), F.lit(False)) for s, c in REFUTED))
     j = j.where(~refuted).withColumn("key", canonical_key(F.col("finding")))
     rank = F.coalesce(F.create_map(*(F.lit(x) for kv in dims.SEVERITY_FOUR.items() for x in kv))[F.coalesce("severity", F.lit("Info"))], F.lit(9))
@@ -41,7 +51,7 @@ def verified(findings: DataFrame, context: DataFrame) -> DataFrame:
 def assertion_results(turns: DataFrame, asserts: DataFrame) -> DataFrame:
     """Of each assertion: turns of its role it was checked on and passed on; contains kinds are case-sensitive, patterns aren't."""
     terms = F.split("terms", r"\|")
-    j = turns.select("role", "text").join(F.broadcast(asserts), "role")
+    j = turns.select("role", "text").join(small(asserts), "role")
     any_, all_ = F.exists(terms, lambda x: F.contains(F.col("text"), x)), F.forall(terms, lambda x: F.contains(F.col("text"), x))
     pat = F.regexp_like("text", F.concat(F.lit("(?is)"), F.regexp_replace("terms", r"^\(\?i\)", "")))
     ok = F.when(F.col("kind") == "contains_any", any_).when(F.col("kind") == "contains_all", all_).when(F.col("kind") == "not_contains_any", ~any_).when(F.col("kind") == "contains_pattern", pat).otherwise(~pat)

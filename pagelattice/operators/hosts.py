@@ -105,7 +105,7 @@ def soft_404(titles: DataFrame) -> DataFrame:
 def llms_items(llms: DataFrame) -> DataFrame:
     """Links of llms.txt bodies with their section, carried forward by a window: host, line_no, section, title, url, description."""
     l_ = llms.select("host", F.posexplode(F.split(F.trim("body"), "\r?\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
-    section = F.last(F.when(F.col("line").startswith("## "), F.trim(F.substring("line", 4, 10_000))), True).over(W.partitionBy("host").orderBy("line_no"))
+    section = F.last(F.when(F.col("line").startswith("## "), F.trim(F.substring("line", F.lit(4), F.length("line")))), True).over(W.partitionBy("host").orderBy("line_no"))
     l_ = l_.withColumn("section", section)
     pat = r"^-\s*\[([^\]]+)\]\(([^)]+)\)(?::\s*(.*))?"
     hit = l_.where(F.col("line").startswith("- [") & F.col("line").rlike(pat))
@@ -116,7 +116,7 @@ def llms_scores(llms: DataFrame) -> DataFrame:
     """host, sections, links, description_length and the score of an llms.txt."""
     lines = F.transform(F.split(F.trim("body"), "\r?\n"), lambda x: F.trim(x))
     later = F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))
-    desc = F.array_join(F.transform(F.filter(later, lambda x: x.startswith("> ")), lambda x: F.trim(F.substring(x, 3, 10_000))), " ")
+    desc = F.array_join(F.transform(F.filter(later, lambda x: x.startswith("> ")), lambda x: F.trim(F.substring(x, F.lit(3), F.length(x)))), " ")
     d = llms.select("host", F.get(lines, 0).startswith("# ").alias("title"), F.length(desc).alias("description_length"), F.size(F.filter(later, lambda x: x.startswith("## "))).alias("sections"), F.size(F.filter(later, lambda x: x.rlike(r"^- ?\[[^\]]+\]\([^)]+\)"))).alias("links"), F.length("body").alias("n"))
     add = lambda c, n: F.when(c, n).otherwise(0)
     score = (

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.stage import small
+
 
 def intent(col):
     c = F.lower(col)
@@ -25,7 +27,7 @@ def keyword_opportunity(k: DataFrame) -> DataFrame:
 
 def ctr_gap(k: DataFrame, bands: DataFrame) -> DataFrame:
     """Keywords against the expected click rate of their position: a range join with a small dimension."""
-    j = k.join(F.broadcast(bands), (F.col("position") >= F.col("lo")) & (F.col("position") < F.col("hi")), "left")
+    j = k.join(small(bands), (F.col("position") >= F.col("lo")) & (F.col("position") < F.col("hi")), "left")
     ctr = F.round(F.col("clicks") / F.col("impressions"), 4)
     return j.select("keyword", ctr.alias("ctr"), "expected_ctr", F.when(F.col("expected_ctr").isNull(), "no_band").when(ctr < F.col("expected_ctr") * 0.5, "low").when(ctr > F.col("expected_ctr") * 1.5, "high").otherwise("normal").alias("verdict"))
 
@@ -113,5 +115,5 @@ def routed(turns: DataFrame) -> DataFrame:
 
 def gap_by_region(supplier: DataFrame, nation: DataFrame, lineitem: DataFrame) -> DataFrame:
     """A volume stand-in for backlink rollups: suppliers as linking domains, parts as targets, by nation. It exercises the plans at size."""
-    j = lineitem.join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey")), "l_suppkey").join(F.broadcast(nation.select("n_nationkey", "n_name")), "n_nationkey")
+    j = lineitem.join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey")), "l_suppkey").join(small(nation.select("n_nationkey", "n_name")), "n_nationkey")
     return j.groupBy("n_name").agg(F.count("*").alias("links"), F.countDistinct("l_suppkey").alias("domains"), F.countDistinct("l_partkey").alias("targets"))
