@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.quantiles import quantiles
 from ..plans.stage import small
 
 
@@ -97,7 +98,10 @@ def event_log_report(events: DataFrame) -> DataFrame:
 
 
 def value_p75(events: DataFrame) -> DataFrame:
-    return events.groupBy("event_type").agg(F.round(F.expr("percentile(value, 0.75)"), 4).alias("p75"), F.count("value").alias("n"))
+    """event_type, the exact third quartile of its values, and their number."""
+    kinds = events.groupBy("event_type").agg(F.count("value").alias("n"))
+    q = quantiles(events, "event_type", "value", 0.75).select(F.col("event_type").alias("kind"), F.round("quantile", 4).alias("p75"))
+    return kinds.join(q, F.col("event_type").eqNullSafe(F.col("kind")), "left").select("event_type", "p75", "n")
 
 
 #: Requests by topic: pattern and route, the first that matches.
