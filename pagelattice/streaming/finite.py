@@ -36,11 +36,11 @@ def _settings(spark: SparkSession, **new: str) -> Iterator[None]:
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def run_to_end(spark: SparkSession, path: str, rows: Callable[[DataFrame], DataFrame], build: Callable[[DataFrame], DataFrame], files: int | None = None) -> DataFrame:
+def run_to_end(spark: SparkSession, path: str, rows: Callable[[DataFrame], DataFrame], build: Callable[[DataFrame], DataFrame], files: int | None = None, markers: int = 1) -> DataFrame:
     """What ``build`` makes of the stream of a Parquet table, after all of it was read and all state was released.
 
     rows: from the table's stream to what ``build`` takes, with a timestamp ``ts``; markers are rows with null in all other columns.
-    files: most files of a micro-batch. State, markers and results are under the shared folder, so a run that is
+    files: most files of a micro-batch. markers: one for each operator with state that follows on another, and one more. State, markers and results are under the shared folder, so a run that is
     restarted by another driver could go on from there.
     """
     base = f"{scratch(spark)}/{uuid.uuid4().hex}"
@@ -54,9 +54,11 @@ def run_to_end(spark: SparkSession, path: str, rows: Callable[[DataFrame], DataF
     def run() -> None:
         both.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).queryName(f"r{uuid.uuid4().hex}").start().awaitTermination()
 
-    with _settings(spark, **{"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}):
+    # changes alone are written after a batch, not all state, and no more batches are kept than a restart needs
+    store = {"stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "stateStore.rocksdb.changelogCheckpointing.enabled": "true", "minBatchesToRetain": "2"}
+    with _settings(spark, **{f"spark.sql.streaming.{k}": v for k, v in store.items()}):
         run()
-        for at in MARKERS:  # chained operators pass the watermark on one after the other
+        for at in MARKERS[:markers]:  # chained operators pass the watermark on one after the other
             one = spark.range(1).select(*(F.lit(at if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in table.schema))
             one.write.mode("append").parquet(f"{base}/markers")
             run()
@@ -83,7 +85,7 @@ def drop_alerts(events: DataFrame, days: int = 7, percent: int = 15, late: str =
 
 def drops_of(spark: SparkSession, path: str, late: str = "1 day", files: int | None = None) -> DataFrame:
     """Drop alerts of a table of events, as a stream."""
-    return run_to_end(spark, path, lambda e: e.select(F.col("ts").cast("timestamp").alias("ts"), F.lit("event").alias("kind")), lambda e: drop_alerts(e, late=late), files)
+    return run_to_end(spark, path, lambda e: e.select(F.col("ts").cast("timestamp").alias("ts"), F.lit("event").alias("kind")), lambda e: drop_alerts(e, late=late), files, markers=3)
 
 
 def log_mix(events: DataFrame, late: str = "1 day") -> DataFrame:
