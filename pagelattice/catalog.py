@@ -25,6 +25,7 @@ from .graph_oracles import PAGE_GROUPS
 from .page_audit_oracle import PAGE_AUDIT
 from .plans import dims
 from .scoring_oracles import SCORING
+from .sources import fetching
 from .sources.tables import literal, load
 from .streaming import finite
 
@@ -56,6 +57,13 @@ def reach_depth(spark: SparkSession, d: str) -> DataFrame:
     return L.reach(_edges(spark, d), seeds, None).groupBy("depth").agg(F.count("*").alias("nodes"))
 
 
+def fetch_offline(spark: SparkSession, d: str) -> DataFrame:
+    """Answers by host and outcome to all links and URLs of pages, from the pages themselves."""
+    pages = load(spark, d, "pages")
+    urls = L.edges(pages).select(F.col("target").alias("url")).unionByName(pages.select("url"))
+    return fetching.answer_mix(fetching.fetched(urls, "offline", pages=pages))
+
+
 def crawl_budget(spark: SparkSession, d: str) -> DataFrame:
     """A crawl from the lowest URL of each host over 3 links and 5 URLs a host, with the URLs it visits."""
     pages = load(spark, d, "pages")
@@ -163,6 +171,8 @@ QUERIES |= {
     # streams run to their end
     "stream_drop_alerts": lambda spark, d: finite.drops_of(spark, f"{d}/events.parquet"),
     "polite_frontier": lambda spark, d: finite.frontier_of(spark, f"{d}/pages.parquet"),
+    # fetching by a backend
+    "fetch_offline": fetch_offline,
     # links by class, and a crawl with budgets
     "linked_pages": _on("pages", L.linked_pages),
     "crawl_budget": crawl_budget,

@@ -48,6 +48,8 @@ PAGE_GROUPS = {
     "linked_pages": f"""WITH own AS (SELECT {O.normal_b('url')} AS target, max(CASE WHEN {_SOFT} THEN 'soft_404' END) AS c FROM pages GROUP BY 1)
       SELECT CASE WHEN own.target IS NULL THEN 'missing' ELSE coalesce(c, 'crawled') END AS class, e.target, count(DISTINCT page_id) AS linking_pages, array_to_string((list(DISTINCT page_id ORDER BY page_id))[1:5], ',') AS examples FROM {_EDGES} e LEFT JOIN own ON own.target = e.target GROUP BY 1, 2""",
     "crawl_budget": _crawl(3, 5),
+    "fetch_offline": f"""WITH u AS (SELECT DISTINCT target AS url FROM {_EDGES} UNION SELECT url FROM pages WHERE url IS NOT NULL), s AS (SELECT {O.normal_b('url')} AS key, min(coalesce(html, '')) AS html FROM pages WHERE url IS NOT NULL GROUP BY 1)
+      SELECT {O.host('url')} AS host, CASE WHEN s.key IS NULL THEN '404' ELSE '200' END AS outcome, count(*) AS urls, sum(coalesce(length(s.html), 0))::BIGINT AS chars FROM u LEFT JOIN s ON s.key = {O.normal_b('url')} GROUP BY 1, 2""",
     "source_similarity": f"""WITH s AS (SELECT source, {_SH(5)} AS sh FROM (SELECT source, {O.ascii_words('text')} AS w FROM documents)), h AS (SELECT DISTINCT source, ('0x' || substr(md5(x), 1, 15))::BIGINT % 2147483647 AS h FROM (SELECT source, unnest(sh) AS x FROM s WHERE source IS NOT NULL)),
       m AS (SELECT source, c.i, min((h * c.a + c.b) % 2147483647) AS v FROM h, (VALUES {_PAIRS}) c(i, a, b) GROUP BY 1, 2) SELECT x.source AS a, y.source AS b, count(*) / 256.0::DOUBLE AS similarity FROM m x JOIN m y ON x.i = y.i AND x.v = y.v AND x.source < y.source GROUP BY 1, 2""",
     "seeded_signatures": f"""SELECT item_id AS doc_id, string_agg(v, ',' ORDER BY i) AS sig FROM (SELECT item_id, i, min(md5(concat(i, ':', x))) AS v FROM (SELECT item_id, unnest({_SH(5)}) AS x FROM (SELECT item_id, {O.ascii_words('text')} AS w FROM benchmark)), range(100) r(i) GROUP BY 1, 2) GROUP BY 1""",
