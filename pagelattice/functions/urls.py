@@ -79,23 +79,31 @@ def tld(url: Column) -> Column:
     return F.regexp_extract(host(url), r"(\.[a-z0-9-]+)(?::[0-9]+)?$", 1)
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """An href against the URL of its page: absolute, //host, /path, ?query, #fragment, or relative to the page's folder; one or two ../ are folded."""
-    root = F.concat(scheme(base), F.lit("://"), host(base))
-    folder = F.regexp_replace(F.when(path(base) == "", "/").otherwise(path(base)), "[^/]*$", "")
-    joined = F.concat(root, folder, F.regexp_replace(href, r"^(?:\./)+", ""))
+def base_parts(url: Column) -> Column:
+    """What ``resolve_from`` needs of a page's URL: make it a column of the page before links are exploded or a lambda runs over them."""
+    return F.struct(url.alias("url"), scheme(url).alias("scheme"), F.concat(scheme(url), F.lit("://"), host(url)).alias("root"), F.when(path(url) == "", "/").otherwise(path(url)).alias("path"))
+
+
+def resolve_from(b: Column, href: Column) -> Column:
+    """An href against the URL of its page (``base_parts``): absolute, //host, /path, ?query, #fragment, or relative to the page's folder; one or two ../ are folded."""
+    joined = F.concat(b["root"], F.regexp_replace(b["path"], "[^/]*$", ""), F.regexp_replace(href, r"^(?:\./)+", ""))
     for _ in range(2):
         joined = F.regexp_replace(joined, r"/[^/.][^/]*/\.\./", "/")
     return (
         F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .when(href.startswith("?"), F.concat(root, F.when(path(base) == "", "/").otherwise(path(base)), href))
-        .when(href.startswith("#") | (href == ""), F.concat(F.regexp_replace(base, "#.*$", ""), href))
+        .when(href.startswith("//"), F.concat(b["scheme"], F.lit(":"), href))
+        .when(href.startswith("/"), F.concat(b["root"], href))
+        .when(href.startswith("?"), F.concat(b["root"], b["path"], href))
+        .when(href.startswith("#") | (href == ""), F.concat(F.regexp_replace(b["url"], "#.*$", ""), href))
         .otherwise(joined)
     )
 
 
+def resolve(base: Column, href: Column) -> Column:
+    """An href against the URL of its page."""
+    return resolve_from(base_parts(base), href)
+
+
 #: URL hygiene classes, first match wins.
 PLACEHOLDER = r"\{[^}]+\}"
 SEARCH = r"(?i)[?&](q|query|search|s|search_term_string|keyword|term)="

@@ -24,13 +24,15 @@ def raw_links(pages: DataFrame) -> DataFrame:
     isn't closed ends where the next one begins and shifts no other link's text.
     """
     pieces = F.slice(F.split(F.coalesce("html", F.lit("")), r"(?i)<a\s", -1), 2, 1 << 30)
-    p = pages.select("page_id", "url", F.posexplode(pieces).alias("pos", "piece")).where(F.col("piece").contains(">"))
+    # what links need of the page's URL is made once a page
+    own = pages.select("page_id", U.base_parts(F.col("url")).alias("b"), U.host(F.col("url")).alias("host"), pieces.alias("pieces"))
+    p = own.select("page_id", "b", "host", F.posexplode_outer("pieces").alias("pos", "piece")).where(F.col("piece").contains(">"))
     p = p.withColumns({"t": F.regexp_extract("piece", "^([^>]*)>", 1), "inner": F.regexp_extract("piece", r"(?is)^[^>]*>(.*?)(?:</a|\z)", 1)})
     href = F.trim(H.attr(F.col("t"), "href"))
     p = p.withColumn("href", href).where(F.col("href").isNotNull() & (F.col("href") != "") & ~F.col("href").rlike(SKIP))
-    target = U.resolve(F.col("url"), F.col("href"))
+    target = U.resolve_from(F.col("b"), F.col("href"))
     anchor = F.substring(H.squeeze(H.decode(F.regexp_replace("inner", "<[^>]*>", " "))), 1, 80)
-    p = p.select("page_id", "pos", U.host(F.col("url")).alias("host"), target.alias("target"), F.when(anchor == "", "[no text]").otherwise(anchor).alias("anchor"), F.array_contains(F.split(F.lower(F.coalesce(H.attr(F.col("t"), "rel"), F.lit(""))), r"\s+"), "nofollow").alias("nofollow"))
+    p = p.select("page_id", "pos", "host", target.alias("target"), F.when(anchor == "", "[no text]").otherwise(anchor).alias("anchor"), F.array_contains(F.split(F.lower(F.coalesce(H.attr(F.col("t"), "rel"), F.lit(""))), r"\s+"), "nofollow").alias("nofollow"))
     return p.where(U.scheme(F.col("target")).isin("http", "https")).withColumn("internal", U.host(F.col("target")) == F.col("host"))
 
 

@@ -49,14 +49,14 @@ def _last(m: Column, tag: str) -> Column:
 def parsed(pages: DataFrame) -> DataFrame:
     """page_id, url, site and the facts of a page that detectors read. Null html is an empty page; other columns aren't read."""
     h = F.col("h")
-    p = pages.select("page_id", "url", U.host(F.col("url")).alias("site"), F.coalesce("html", F.lit("")).alias("h"))
+    p = pages.select("page_id", "url", U.base_parts(F.col("url")).alias("base"), U.host(F.col("url")).alias("site"), F.coalesce("html", F.lit("")).alias("h"))
     cut = lambda x: F.struct(F.regexp_extract(x, "^([^>]*)>", 1).alias("t"), F.regexp_extract(x, r"(?is)^[^>]*>(.*?)(?:</a|\z)", 1).alias("inner"))
     # a plain search for a literal spares the pages without it the patterns
     p = p.withColumn("low", F.lower(h))
     has = lambda *literals: reduce(lambda x, y: x | y, (F.col("low").contains(x) for x in literals))
     if_has = lambda literal, found: F.when(has(literal), found).otherwise(F.array().cast("array<string>"))
     p = p.select(
-        "page_id", "url", "site", P.metas(h).alias("m"), H.elements(h, "title").alias("titles"), if_has("<h1", H.elements(h, "h1")).alias("h1"), if_has("<link", P.canonicals(h)).alias("canonicals"), if_has("<img", H.tags(h, "img")).alias("img"), if_has("<link", H.tags(h, "link")).alias("link"),
+        "page_id", "url", "base", "site", P.metas(h).alias("m"), H.elements(h, "title").alias("titles"), if_has("<h1", H.elements(h, "h1")).alias("h1"), if_has("<link", P.canonicals(h)).alias("canonicals"), if_has("<img", H.tags(h, "img")).alias("img"), if_has("<link", H.tags(h, "link")).alias("link"),
         if_has("ld+json", H.json_blocks(h)).alias("blocks"), H.visible(h).alias("text"), F.transform(F.filter(F.slice(F.split(h, r"(?i)<a\s", -1), 2, 1 << 30), lambda x: x.contains(">")), cut).alias("a"), has("google.com/maps").alias("map"),
         (has("tel:") & h.rlike("(?i)href=[\"']tel:")).alias("tel"), has("streetaddress", "postalcode", "addresslocality", 'address"').alias("address"), (has("localbusiness") & h.rlike('(?i)"@type"\\s*:\\s*"LocalBusiness"')).alias("local_business"),
     )
@@ -72,7 +72,7 @@ def parsed(pages: DataFrame) -> DataFrame:
         "alternates": F.transform(F.filter("link", lambda t: F.array_contains(rel(t), "alternate") & filled(t, "hreflang") & filled(t, "href")), lambda t: F.struct(F.trim(H.attr(t, "hreflang")).alias("lang"), F.trim(H.attr(t, "href")).alias("href"))),
     })
     kept = F.filter("a", lambda x: x["href"].isNotNull() & (x["href"] != "") & ~x["href"].rlike(SKIP))
-    p = p.withColumn("links", F.transform(kept, lambda x: F.struct(U.resolve(F.col("url"), x["href"]).alias("target"), x["nofollow"].alias("nofollow"), x["bare"].alias("bare"))))
+    p = p.withColumn("links", F.transform(kept, lambda x: F.struct(U.resolve_from(F.col("base"), x["href"]).alias("target"), x["nofollow"].alias("nofollow"), x["bare"].alias("bare"))))
     p = p.withColumn("own", F.filter("links", lambda x: U.scheme(x["target"]).isin("http", "https") & (U.host(x["target"]) == F.col("site"))))
     prose = F.filter("sentences", lambda s: F.regexp_count(s, F.lit(LETTERS)) >= 4)
     # words of three letters and more in one string, each without a final e and with a blank after it
@@ -83,7 +83,7 @@ def parsed(pages: DataFrame) -> DataFrame:
         "page_id", "url", "site", "m", "canonicals", "objects", "img", "alternates", "own", "map", "tel", "address", "local_business", F.get("titles", 0).alias("title"), F.size("titles").alias("n_titles"), F.size("h1").alias("n_h1"), F.get("h1", 0).alias("first_h1"), F.size("blocks").alias("n_blocks"),
         F.coalesce(d, P.meta_first(F.col("m"), "og:description")).alias("meta_description"), F.regexp_count("text", F.lit(T.WORD)).alias("words"), F.size("letters").alias("n_letters"),
         (short + F.regexp_count("stems", F.lit("[aeiouy]+")) + F.regexp_count("stems", F.lit("(?<![^ ])[^aeiouy ]+(?= )"))).alias("syllables"), F.greatest(F.lit(1), F.size(prose)).alias("n_sentences"),
-        F.transform("own", lambda x: U.normal_b(x["target"])).alias("targets"), U.resolve(F.col("url"), F.get("canonicals", 0)).alias("canonical"), F.transform("alternates", lambda x: F.struct(F.lower(x["lang"]).alias("lang"), U.resolve(F.col("url"), x["href"]).alias("url"))).alias("tags"),
+        F.transform("own", lambda x: U.normal_b(x["target"])).alias("targets"), U.resolve_from(F.col("base"), F.get("canonicals", 0)).alias("canonical"), F.transform("alternates", lambda x: F.struct(F.lower(x["lang"]).alias("lang"), U.resolve_from(F.col("base"), x["href"]).alias("url"))).alias("tags"),
     )
 
 
