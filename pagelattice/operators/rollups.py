@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
-from ..plans.stage import staged
+from ..plans.stage import small, staged
 from .documents import _halves, _worded, signed
 from .page_audit import parsed
 
@@ -83,10 +83,11 @@ def vocabulary_rollup(pages: DataFrame, k: int = 5, lg_k: int = 12) -> DataFrame
 
 def _unique_pages(pages: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     """pattern, hard_stop and warned: pages of a group (pattern, pages) by the percentage of their shingles that are no boilerplate of the group."""
-    s = _shingles(pages, k)
-    df = s.groupBy("pattern", "x", "y").agg(F.count("*").alias("df")).join(groups, "pattern")
-    common = df.where(F.col("df") >= F.greatest(F.lit(2.0), F.lit(0.8) * F.col("pages"))).select("pattern", "x", "y", F.lit(1).alias("common"))
-    per = s.join(groups.select("pattern"), "pattern", "left_semi").join(common, ["pattern", "x", "y"], "left").groupBy("pattern", "row").agg(F.count("common").alias("c"), F.first("n").alias("n"))
+    # a shingle of a template is two numbers, the template is in the first; the template's pages travel with it, and no text is shuffled
+    s = _shingles(pages, k).join(small(groups), "pattern").select("pattern", "row", "n", "pages", F.xxhash64("pattern", "x").alias("x"), "y")
+    df = s.groupBy("x", "y").agg(F.count("*").alias("df"), F.min("pages").alias("pages"))
+    common = staged(df.where(F.col("df") >= F.greatest(F.lit(2.0), F.lit(0.8) * F.col("pages"))).select("x", "y", F.lit(1).alias("common")))
+    per = s.join(small(common, 1_000_000), ["x", "y"], "left").groupBy("pattern", "row").agg(F.count("common").alias("c"), F.first("n").alias("n"))
     unique = F.round(F.lit(100.0) - F.lit(100.0) * F.col("c") / F.col("n"), 6)
     return per.groupBy("pattern").agg(F.count("*").alias("worded"), F.count_if(unique < 100 * STOP).alias("stopped"), F.count_if((unique >= 100 * STOP) & (unique < 100 * WARN)).alias("warned"))
 

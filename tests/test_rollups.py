@@ -64,3 +64,17 @@ def test_vocabulary_by_site_and_template(spark):
     assert got["a.test", "a.test/x/*"] == (402, 400) and got["a.test", None] == (403, 401) and got["b.test", None] == (6, 3)
     exact = len({s for _, _, t in many for s in shingles(t)})
     assert got["c.test", None][0] == 40 * 396 and abs(got["c.test", None][1] / exact - 1) < 0.05
+
+
+def test_template_audit_by_hand(spark):
+    chrome = " ".join(word(i) for i in range(100))
+    page = lambda i, t, own, links="": (i, f"https://a.test/x/{i}", f"<title>{t}</title><link rel=canonical href='https://a.test/x/{i}'><h1>{t}</h1><p>{chrome} {own}</p>{links}")
+    own = lambda i: " ".join(word(1000 * i + k) for k in range(400))
+    rows = [page(1, "one", own(1), "<a href='/x/2'>2</a>"), page(2, "two", own(2), "<a href='/x/1'>1</a>"), page(3, "two", "", "<a href='/x/3'>self</a>"), (4, "https://a.test/x/4", None), (5, "https://b.test/only", "<p>x</p>")]
+    got = {r.pattern: r for r in rollups.template_audit(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    r = got["a.test/x/*"]
+    # three of four pages share the chrome, which makes it no boilerplate; page 4 is empty and so stopped; titles are one, two and none
+    assert set(got) == {"a.test/x/*"} and (r.pages, r.thin, r.titles, r.hard_stop, r.warned, r.described, r.headed, r.without_canonical, r.cross_linked) == (4, 2, 3, 1, 0, 0, 3, 1, 2)
+    assert (r.critical, r.warnings, r.risk) == (2, 5, "high")
+    site = rollups.site_audit(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    assert (site.site, site.groups, site.critical, site.risk) == ("a.test", 1, 2, "high")
