@@ -67,13 +67,18 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double rounded half away from zero as SQL engines round: scaled in double precision first. F.round rounds the decimal text of x, which is below a tie where the scaled x is one."""
+    return F.round(x * F.lit(10.0**places), 0) / F.lit(10.0**places)
+
+
 def reading_ease(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
     raw = F.lit(206.835) - F.lit(1.015) * n_words / n_sentences - F.lit(84.6) * n_syllables / n_words
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), 1)
+    return rounded(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), 1)
 
 
 def reading_grade(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
-    return F.round(F.greatest(F.lit(0.0), F.lit(0.39) * n_words / n_sentences + F.lit(11.8) * n_syllables / n_words - F.lit(15.59)), 1)
+    return rounded(F.greatest(F.lit(0.0), F.lit(0.39) * n_words / n_sentences + F.lit(11.8) * n_syllables / n_words - F.lit(15.59)), 1)
 
 
 def reading_level(ease: Column) -> Column:

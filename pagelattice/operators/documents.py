@@ -188,7 +188,7 @@ def boilerplate(docs: DataFrame, share: float = 0.8, k: int = 5) -> DataFrame:
     df = s.groupBy("source", "h.x", "h.y").agg(F.count("*").alias("df"), F.sum(F.lit(1.0) / F.col("n")).alias("part"))
     common = df.join(n, "source").where(F.col("df") >= F.greatest(F.lit(2.0), share * F.col("docs")))
     g = common.groupBy("source").agg(F.count("*").alias("common_shingles"), F.sum("part").alias("parts"))
-    mean = F.round(F.col("parts") / F.col("with_words"), 4)
+    mean = T.rounded(F.col("parts") / F.col("with_words"), 4)
     return n.join(g, "source", "left").select("source", "docs", F.coalesce("common_shingles", F.lit(0)).alias("common_shingles"), F.coalesce(mean, F.lit(0.0)).alias("mean_share"))
 
 
@@ -206,7 +206,7 @@ def readability_a(docs: DataFrame) -> DataFrame:
     d = d.select("doc_id", F.size("w").cast("long").alias("words"), F.greatest(F.lit(1), F.size(sent)).cast("long").alias("sentences"), F.transform("w", T.syllables_a).alias("syl"))
     d = d.where("words > 0").select("doc_id", "words", "sentences", T.total(F.col("syl")).cast("long").alias("syllables"), F.size(F.filter("syl", lambda x: x >= 3)).cast("long").alias("complex_words"))
     n, s, y = (F.col(c).cast("double") for c in ("words", "sentences", "syllables"))
-    d = d.withColumns({"reading_ease": T.reading_ease(n, s, y), "grade": T.reading_grade(n, s, y), "minutes": F.round(n / 200, 1)})
+    d = d.withColumns({"reading_ease": T.reading_ease(n, s, y), "grade": T.reading_grade(n, s, y), "minutes": T.rounded(n / 200, 1)})
     return d.withColumn("level", T.reading_level(F.col("reading_ease")))
 
 
@@ -221,12 +221,12 @@ def readability_b(docs: DataFrame) -> DataFrame:
 
 
 def reading_levels(docs: DataFrame) -> DataFrame:
-    return readability_a(docs).groupBy("level").agg(F.count("*").alias("docs"), F.round(F.avg("reading_ease"), 2).alias("avg_ease"))
+    return readability_a(docs).groupBy("level").agg(F.count("*").alias("docs"), T.rounded(F.avg("reading_ease"), 2).alias("avg_ease"))
 
 
 def quality_by_readability(docs: DataFrame, labels: DataFrame) -> DataFrame:
     j = readability_a(docs).join(labels.select("doc_id", "quality"), "doc_id")
-    return j.groupBy("level").agg(F.count("*").alias("docs"), F.round(F.avg(F.col("quality").cast("double")), 4).alias("share_good"))
+    return j.groupBy("level").agg(F.count("*").alias("docs"), T.rounded(F.avg(F.col("quality").cast("double")), 4).alias("share_good"))
 
 
 def keywords(docs: DataFrame, k: int = 12) -> DataFrame:
@@ -302,5 +302,5 @@ def keyword_density(docs: DataFrame, warn: float = 0.03) -> DataFrame:
     d = docs.select("doc_id", T.ascii_words(F.col("text")).alias("all")).select("doc_id", F.size("all").alias("n"), F.explode(F.filter("all", lambda x: (F.length(x) >= 3) & ~x.isin(*T.STOP_WORDS))).alias("w"))
     c = d.groupBy("doc_id", "n", "w").agg(F.count("*").alias("c"))
     top = c.groupBy("doc_id", "n").agg(F.max(F.struct("c", "w")).alias("t"))
-    out = top.select("doc_id", F.col("t.w").alias("word"), F.col("t.c").alias("uses"), F.round(F.col("t.c") / F.col("n"), 4).alias("share"))
+    out = top.select("doc_id", F.col("t.w").alias("word"), F.col("t.c").alias("uses"), T.rounded(F.col("t.c") / F.col("n"), 4).alias("share"))
     return out.where(F.col("share") > warn)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions import text as T
 from ..functions import urls as U
 from ..plans import dims
 from ..plans.least import least_k
@@ -67,7 +68,7 @@ def anchor_top(pages: DataFrame, k: int = 20) -> DataFrame:
 
 def out_degree_stats(pages: DataFrame) -> DataFrame:
     d = pages.select("page_id").join(edges(pages).groupBy("page_id").agg(F.count("*").alias("n")), "page_id", "left").na.fill(0, ["n"])
-    return d.agg(F.min("n").alias("min_links"), F.max("n").alias("max_links"), F.round(F.avg("n"), 1).alias("avg_links"), F.count_if(F.col("n") < 3).alias("few_links"), F.count_if(F.col("n") > 100).alias("many_links"))
+    return d.agg(F.min("n").alias("min_links"), F.max("n").alias("max_links"), T.rounded(F.avg("n"), 1).alias("avg_links"), F.count_if(F.col("n") < 3).alias("few_links"), F.count_if(F.col("n") > 100).alias("many_links"))
 
 
 def degrees(pages: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def external_domains(pages: DataFrame, k: int = 15) -> DataFrame:
 
 def anchor_diversity(pages: DataFrame) -> DataFrame:
     g = edges(pages).groupBy("target").agg(F.count("*").alias("links"), F.countDistinct(F.lower("anchor")).alias("anchors"))
-    return g.where("links > 1").withColumn("diversity", F.round(F.col("anchors") / F.col("links"), 3))
+    return g.where("links > 1").withColumn("diversity", T.rounded(F.col("anchors") / F.col("links"), 3))
 
 
 def template_cross_links(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..plans.quantiles import quantiles
 from ..plans.stage import small
 
@@ -22,14 +23,14 @@ def keyword_opportunity(k: DataFrame) -> DataFrame:
     """volume * intent weight / difficulty, its funnel stage and priority."""
     i = k.withColumn("intent", intent(F.col("keyword")))
     w = F.when(F.col("intent") == "transactional", 1.5).when(F.col("intent").isin("commercial", "local"), 1.2).when(F.col("intent") == "navigational", 0.5).otherwise(1.0)
-    i = i.withColumn("score", F.round(F.col("volume") * w / F.greatest("difficulty", F.lit(1)), 2))
+    i = i.withColumn("score", T.rounded(F.col("volume") * w / F.greatest("difficulty", F.lit(1)), 2))
     return i.select("keyword", "intent", F.when(F.col("intent").isin("transactional", "local"), "bottom").when(F.col("intent") == "commercial", "middle").otherwise("top").alias("funnel"), "score", F.when(F.col("score") >= 150, "P0").when(F.col("score") >= 80, "P1").when(F.col("score") >= 20, "P2").otherwise("P3").alias("priority"))
 
 
 def ctr_gap(k: DataFrame, bands: DataFrame) -> DataFrame:
     """Keywords against the expected click rate of their position: a range join with a small dimension."""
     j = k.join(small(bands), (F.col("position") >= F.col("lo")) & (F.col("position") < F.col("hi")), "left")
-    ctr = F.round(F.col("clicks") / F.col("impressions"), 4)
+    ctr = T.rounded(F.col("clicks") / F.col("impressions"), 4)
     return j.select("keyword", ctr.alias("ctr"), "expected_ctr", F.when(F.col("expected_ctr").isNull(), "no_band").when(ctr < F.col("expected_ctr") * 0.5, "low").when(ctr > F.col("expected_ctr") * 1.5, "high").otherwise("normal").alias("verdict"))
 
 
@@ -74,7 +75,7 @@ def velocity_cv(events: DataFrame, windows: tuple = (10, 20, 30)) -> DataFrame:
     d = daily(events).select("day", "events")
     last = d.agg(F.max("day").alias("last"))
     x = d.crossJoin(F.broadcast(last)).withColumn("days", F.explode(F.array(*map(F.lit, windows)))).where(F.datediff("last", "day") < F.col("days"))
-    return x.groupBy("days").agg(F.round(F.avg("events"), 4).alias("mean"), F.round(F.stddev_pop("events") / F.avg("events"), 4).alias("cv"))
+    return x.groupBy("days").agg(T.rounded(F.avg("events"), 4).alias("mean"), T.rounded(F.stddev_pop("events") / F.avg("events"), 4).alias("cv"))
 
 
 def sessions(events: DataFrame, gap_minutes: int = 30, engaged_seconds: int = 10) -> DataFrame:
@@ -88,19 +89,19 @@ def sessions(events: DataFrame, gap_minutes: int = 30, engaged_seconds: int = 10
 
 
 def engagement(events: DataFrame) -> DataFrame:
-    return sessions(events).groupBy("engaged").agg(F.count("*").alias("sessions"), F.round(F.avg("events"), 4).alias("avg_events"))
+    return sessions(events).groupBy("engaged").agg(F.count("*").alias("sessions"), T.rounded(F.avg("events"), 4).alias("avg_events"))
 
 
 def event_log_report(events: DataFrame) -> DataFrame:
     """Mix of event types by day of week: share of the day's events."""
     g = events.groupBy(F.dayofweek("ts").cast("long").alias("weekday"), "event_type").agg(F.count("*").alias("events"))
-    return g.withColumn("share", F.round(F.col("events") / F.sum("events").over(W.partitionBy("weekday")), 4))
+    return g.withColumn("share", T.rounded(F.col("events") / F.sum("events").over(W.partitionBy("weekday")), 4))
 
 
 def value_p75(events: DataFrame) -> DataFrame:
     """event_type, the exact third quartile of its values, and their number."""
     kinds = events.groupBy("event_type").agg(F.count("value").alias("n"))
-    q = quantiles(events, "event_type", "value", 0.75).select(F.col("event_type").alias("kind"), F.round("quantile", 4).alias("p75"))
+    q = quantiles(events, "event_type", "value", 0.75).select(F.col("event_type").alias("kind"), T.rounded(F.col("quantile"), 4).alias("p75"))
     return kinds.join(q, F.col("event_type").eqNullSafe(F.col("kind")), "left").select("event_type", "p75", "n")
 
 

@@ -28,7 +28,7 @@ def thin_content(pages: DataFrame, floor: int = 300, critical: int = 100) -> Dat
 
 
 def host_word_stats(pages: DataFrame, floor: int = 300) -> DataFrame:
-    g = word_stats(pages).groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("words") < floor).alias("thin_pages"), F.round(F.avg("words"), 2).alias("avg_words"), F.min("words").alias("min_words"), F.max("words").alias("max_words"))
+    g = word_stats(pages).groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("words") < floor).alias("thin_pages"), T.rounded(F.avg("words"), 2).alias("avg_words"), F.min("words").alias("min_words"), F.max("words").alias("max_words"))
     return g.withColumn("score", F.greatest(F.lit(0), F.lit(100) - F.lit(10) * F.col("thin_pages")).cast("long"))
 
 
@@ -111,7 +111,7 @@ def image_scores(pages: DataFrame) -> DataFrame:
     )
     zero = [c for c in g.columns if c not in ("page_id", "lazy_first")]
     g = pages.select("page_id").join(g, "page_id", "left").select("page_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in zero), F.coalesce("lazy_first", F.lit(False)).alias("lazy_first"))
-    pct = F.round(F.lit(100.0) * F.col("missing_alt") / F.greatest("total", F.lit(1)), 1)
+    pct = T.rounded(F.lit(100.0) * F.col("missing_alt") / F.greatest("total", F.lit(1)), 1)
     off = F.when(pct > 25, 30).when(pct > 10, 15).when(pct > 0, 5).otherwise(0) + F.when(F.col("lazy_first"), 20).otherwise(0) + F.when(F.col("missing_dimensions") > F.floor(F.col("total") / 2), 10).otherwise(0) + F.when(F.col("raster") > 0, 5).otherwise(0)
     return g.withColumn("score", F.when(F.col("total") == 0, 70).otherwise(F.greatest(F.lit(0), F.lit(100) - off)).cast("long"))
 
@@ -203,7 +203,7 @@ def uniqueness(pages: DataFrame, fact: str) -> DataFrame:
 def template_groups(pages: DataFrame, least: int = 3) -> DataFrame:
     """URL templates with at least ``least`` pages: counts, word statistics, distinct titles and h1, risk."""
     p = pages.select("page_id", F.concat(U.host(F.col("url")), U.template(F.col("url"))).alias("pattern")).join(facts(pages).select("page_id", F.lower("title").alias("title"), F.lower("first_h1").alias("h1")), "page_id").join(word_stats(pages).select("page_id", "words"), "page_id")
-    g = p.groupBy("pattern").agg(F.count("*").alias("pages"), F.round(F.avg("words"), 1).alias("avg_words"), F.min("words").alias("min_words"), F.max("words").alias("max_words"), F.count_if(F.col("words") < 300).alias("thin_pages"), F.countDistinct("title").alias("titles"), F.countDistinct("h1").alias("h1s"))
+    g = p.groupBy("pattern").agg(F.count("*").alias("pages"), T.rounded(F.avg("words"), 1).alias("avg_words"), F.min("words").alias("min_words"), F.max("words").alias("max_words"), F.count_if(F.col("words") < 300).alias("thin_pages"), F.countDistinct("title").alias("titles"), F.countDistinct("h1").alias("h1s"))
     g = g.where(F.col("pages") >= least)
     warnings = sum((F.when(c, 1).otherwise(0) for c in (F.col("titles") < F.col("pages"), F.col("h1s") < F.col("pages"), F.col("thin_pages") > 0)), F.lit(0))
     return g.withColumn("risk", F.when(F.col("thin_pages") * 2 > F.col("pages"), "high").when(warnings > 2, "medium").otherwise("low"))

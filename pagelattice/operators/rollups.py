@@ -64,8 +64,8 @@ def template_uniqueness(pages: DataFrame, least: int = 3, k: int = 5) -> DataFra
     df = _shingles(pages, k).groupBy("pattern", "x", "y").agg(F.count("*").alias("df"), F.min("n").alias("n"))
     s = df.groupBy("pattern").agg(F.count("*").alias("shingles"), F.count_if(F.col("df") == 1).alias("unique_shingles"), F.sum(F.when(F.col("df") == 1, F.lit(1.0) / F.col("n"))).alias("parts"))
     w = pages.select(pattern(F.col("url")).alias("pattern"), F.size(T.words(H.visible(F.coalesce("html", F.lit(""))))).alias("words"), F.size(T.ascii_words(H.visible(F.coalesce("html", F.lit(""))))).alias("letters"))
-    g = w.groupBy("pattern").agg(F.count("*").alias("pages"), F.round(F.avg("words"), 1).alias("avg_words"), F.count_if(F.col("letters") > 0).alias("worded")).where(F.col("pages") >= least)
-    u = F.round(F.coalesce(F.col("parts"), F.lit(0.0)) / F.greatest("worded", F.lit(1)), 4)
+    g = w.groupBy("pattern").agg(F.count("*").alias("pages"), T.rounded(F.avg("words"), 1).alias("avg_words"), F.count_if(F.col("letters") > 0).alias("worded")).where(F.col("pages") >= least)
+    u = T.rounded(F.coalesce(F.col("parts"), F.lit(0.0)) / F.greatest("worded", F.lit(1)), 4)
     j = g.join(s, "pattern", "left").select("pattern", "pages", "avg_words", F.coalesce("shingles", F.lit(0)).alias("shingles"), F.coalesce("unique_shingles", F.lit(0)).alias("unique_shingles"), u.alias("uniqueness"))
     stop = (F.col("uniqueness") < STOP) | ((F.col("pages") >= HUGE) & (F.col("uniqueness") < WARN))
     return j.withColumn("gate", F.when(stop, "stop").when((F.col("uniqueness") < WARN) | (F.col("avg_words") < WORDS) | (F.col("pages") >= LARGE), "warn").otherwise("pass"))
