@@ -16,7 +16,7 @@ def test_rounded(spark):
     assert got == [con.execute("select round(?::double, 1)", [x]).fetchone()[0] for x in values] and got[0] == 111.7
 
 
-@pytest.mark.parametrize("name", ["readability_a"])
+@pytest.mark.parametrize("name", ["readability_a", "readability_b"])
 def test_readability_at_a_tie(spark, tmp_path, name):
     spark.createDataFrame([(1, " ".join(["ab"] * 296))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = catalog.QUERIES[name](spark, str(tmp_path))
