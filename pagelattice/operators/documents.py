@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import md5
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans import dims
-from ..plans.stage import staged
+from ..plans.stage import in_batches, small, staged
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -229,16 +230,62 @@ def quality_by_readability(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return j.groupBy("level").agg(F.count("*").alias("docs"), T.rounded(F.avg(F.col("quality").cast("double")), 4).alias("share_good"))
 
 
+#: An n-gram's score is its count by these, and n-grams are kept above these counts.
+GRAM_WEIGHTS, GRAM_FLOORS = (1, 3, 5), (3, 1, 1)
+
+
+def _best_grams(k: int):
+    """Of each row of (doc_id, words parted by blanks), whose doc_id is no other row's: its terms as ``keywords`` has them."""
+
+    def best(t: str) -> list[tuple[str, int]]:
+        w = t.split(" ") if t else []
+        c = [(" ".join(g), m * v) for m, f, n in zip(GRAM_WEIGHTS, GRAM_FLOORS, (1, 2, 3)) for g, v in Counter(zip(*(w[i:] for i in range(n)))).items() if v > f]
+        c.sort(key=lambda x: (-x[1], x[0]))
+        top, out = [x for x, _ in c[: 3 * k]], []
+        for x in c:
+            if not any(x[0] in y and x[0] != y for y in top):
+                out.append(x)
+                if len(out) == k:
+                    break
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [best(t) for t in batch.column(1).to_pylist()]
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each])))
+            flat = [y for x in each for y in x]
+            columns = [ids, pa.array([x for x, _ in flat], pa.string()), pa.array([v for _, v in flat], pa.int64()), pa.array([i + 1 for x in each for i in range(len(x))], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "term", "score", "rank"])
+
+    return run
+
+
 def keywords(docs: DataFrame, k: int = 12) -> DataFrame:
     """Frequent uni-, bi- and trigrams without stop-words: doc_id, term, score, rank; a term inside a better ranked longer one is left out.
 
     Scores: uni above 3 times as they are, bi and tri above once by 3 and 5. Ties go by term.
+
+    A document whose id is its own is done within its row. Rows that share an id are one document: their grams are shuffled (``_shared_keywords``).
     """
     w = F.filter(T.ascii_words(F.col("text")), lambda x: (F.length(x) >= 3) & ~x.isin(*T.STOP_WORDS))
-    d = docs.select("doc_id", w.alias("w"))
-    each = reduce(DataFrame.unionByName, (d.select("doc_id", F.lit(n).alias("n"), F.explode_outer(T.grams(F.col("w"), n)).alias("term")) for n in (1, 2, 3))).where("term is not null")
-    c = each.groupBy("doc_id", "n", "term").agg(F.count("*").alias("c")).where(F.when(F.col("n") == 1, F.col("c") > 3).otherwise(F.col("c") > 1))
-    c = c.select("doc_id", "n", "term", (F.col("c") * F.when(F.col("n") == 1, 1).when(F.col("n") == 2, 3).otherwise(5)).cast("long").alias("score"))
+    shared = staged(docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 or doc_id is null").select("doc_id"))
+    none = shared.isEmpty()
+    alone = docs if none else docs.where("doc_id is not null").join(small(shared.where("doc_id is not null")), "doc_id", "left_anti")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = in_batches(alone.select("doc_id", F.array_join(w, " ").alias("t")), _best_grams(k), f"doc_id {kind}, term string, score long, rank long")
+    if none:
+        return own
+    rest = docs.join(small(shared), docs["doc_id"].eqNullSafe(shared["doc_id"]), "left_semi")
+    return own.unionByName(_shared_keywords(rest.select("doc_id", w.alias("w")), k))
+
+
+def _shared_keywords(d: DataFrame, k: int) -> DataFrame:
+    """``keywords`` of (doc_id, w) where several rows may have one id."""
+    sized = lambda n: F.transform(T.grams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("term")))
+    each = d.select("doc_id", F.concat(*map(sized, (1, 2, 3))).alias("g")).select("doc_id", F.explode_outer("g").alias("g"))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("n"))
+    c = each.where("g is not null").groupBy("doc_id", "g.n", "g.term").agg(F.count("*").alias("c")).where(F.col("c") > pick(GRAM_FLOORS))
+    c = staged(c.select("doc_id", "term", (F.col("c") * pick(GRAM_WEIGHTS)).cast("long").alias("score")))
     order = W.partitionBy("doc_id").orderBy(F.col("score").desc(), "term")
     top = c.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 3 * k)
     # the best terms suppress, but any term may fill a place
