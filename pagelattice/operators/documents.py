@@ -177,20 +177,37 @@ def near_pairs(docs: DataFrame, threshold: float = 0.85, k: int = 5, n: int = 10
     return near.unionByName(members.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")))
 
 
+def _source_shingles(docs: DataFrame, k: int) -> DataFrame:
+    """source, n (distinct shingles of the document), x and y (halves of a shingle's digest), a row a shingle of documents that have words."""
+    s = in_batches(_worded(docs, F.col("source")), _halves(k), "source string, x array<long>, y array<long>")
+    return s.select("source", F.size("x").alias("n"), F.explode(F.arrays_zip("x", "y")).alias("h")).select("source", "n", "h.x", "h.y")
+
+
 def boilerplate(docs: DataFrame, share: float = 0.8, k: int = 5) -> DataFrame:
     """By source: documents, shingles that at least max(2, share of documents) have, and their mean share of a document's shingles.
 
-    One shuffle of shingles, as the halves of their digests: every occurrence brings one over the number of its document's shingles, and
-    the sum of these over common shingles is the sum of the documents' shares.
+    A common shingle is missing in at most ``spare`` of a source's documents, so any M of them have it M - spare times or more. Candidates are the
+    shingles that the shortest documents have so often: these are few words, and at most three times as many candidates as such a document has shingles
+    on average. Only they are counted in all documents, so no other shingle of a longer document is shuffled. Every occurrence brings one over the number of its
+    document's shingles, and the sum of these over common shingles is the sum of the documents' shares.
     """
-    s = _worded(docs, F.col("source")).mapInArrow(_halves(k), "source string, x array<long>, y array<long>")
-    s = s.select("source", F.size("x").alias("n"), F.explode(F.arrays_zip("x", "y")).alias("h"))
-    n = docs.groupBy("source").agg(F.count("*").alias("docs"), F.count_if(F.size(T.ascii_words(F.col("text"))) > 0).alias("with_words"))
-    df = s.groupBy("source", "h.x", "h.y").agg(F.count("*").alias("df"), F.sum(F.lit(1.0) / F.col("n")).alias("part"))
-    common = df.join(n, "source").where(F.col("df") >= F.greatest(F.lit(2.0), share * F.col("docs")))
+    lengths = staged(docs.groupBy("source", F.coalesce(F.size(T.ascii_words(F.col("text"))), F.lit(0)).alias("words")).agg(F.count("*").alias("docs")))
+    n = lengths.groupBy("source").agg(F.sum("docs").alias("docs"), F.coalesce(F.sum(F.when(F.col("words") > 0, F.col("docs"))), F.lit(0)).alias("with_words"))
+    need = F.greatest(F.lit(2.0), share * F.col("docs"))
+    spare = F.col("docs") - F.ceil(need)
+    # the shortest documents, by whole lengths: half as many again as may lack a common shingle, and one more
+    upto = F.sum("part").over(W.partitionBy("source").orderBy("words"))
+    cut = lengths.withColumnRenamed("docs", "part").join(n, "source").where(spare >= 0).select("source", "words", spare.alias("spare"), upto.alias("m")).where(F.col("m") >= F.ceil(F.lit(1.5) * (F.col("spare") + 1)))
+    cut = staged(cut.groupBy("source").agg(F.min(F.struct("words", "m", "spare")).alias("c")).select("source", F.col("c.words").alias("longest"), (F.col("c.m") - F.col("c.spare")).alias("least")).where("longest > 0"))
+    short = docs.join(small(cut), "source").where(F.size(T.ascii_words(F.col("text"))) <= F.col("longest")).select("source", "text")
+    often = _source_shingles(short, k).groupBy("source", "x", "y").agg(F.count("*").alias("c")).join(small(cut), "source").where("c >= least")
+    often = staged(often.select("source", "x", "y"))
+    among = docs.join(small(often.select("source").distinct()), "source", "left_semi")
+    df = _source_shingles(among, k).join(small(often), ["source", "x", "y"]).groupBy("source", "x", "y").agg(F.count("*").alias("df"), F.sum(F.lit(1.0) / F.col("n")).alias("part"))
+    common = df.join(n, "source").where(F.col("df") >= need)
     g = common.groupBy("source").agg(F.count("*").alias("common_shingles"), F.sum("part").alias("parts"))
     mean = T.rounded(F.col("parts") / F.col("with_words"), 4)
-    return n.join(g, "source", "left").select("source", "docs", F.coalesce("common_shingles", F.lit(0)).alias("common_shingles"), F.coalesce(mean, F.lit(0.0)).alias("mean_share"))
+    return n.join(g, n["source"].eqNullSafe(g["source"]), "left").select(n["source"], "docs", F.coalesce("common_shingles", F.lit(0)).alias("common_shingles"), F.coalesce(mean, F.lit(0.0)).alias("mean_share"))
 
 
 def shingle_overlap(docs: DataFrame, other: DataFrame, k: int = 8) -> DataFrame:
