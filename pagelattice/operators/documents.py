@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 from hashlib import md5
 
 import numpy as np
@@ -63,7 +62,7 @@ def signed(docs: DataFrame, *keep: Column, k: int = 5, n: int = 100, all_rows: b
     """Columns ``keep`` and sig, the minima, of every row that has words (null for others with ``all_rows``); rows that share an id stay rows of their own."""
     d = _worded(docs, *keep, all_rows=all_rows)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
-    return d.mapInArrow(_minima(k, coefficients(n)), f"{kept}, sig array<long>")
+    return in_batches(d, _minima(k, coefficients(n)), f"{kept}, sig array<long>")
 
 
 def band_keys(sig: Column, threshold: float, n: int = 100, bands: int = 20) -> Column:
@@ -92,9 +91,37 @@ def _worded(docs: DataFrame, *keep: Column, all_rows: bool = False) -> DataFrame
 
 def _digests(words: str, k: int) -> np.ndarray:
     """Halves of the MD5 digests of the distinct k-word shingles, in order of first place; fewer words are one shingle."""
-    w = words.split(" ")
-    distinct = dict.fromkeys(" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
-    return np.frombuffer(b"".join([md5(x.encode()).digest() for x in distinct]), dtype=">u8").reshape(-1, 2)
+    text = words.encode()
+    ends = [-1, *np.flatnonzero(np.frombuffer(text, np.uint8) == ord(" ")).tolist(), len(text)]
+    distinct = dict.fromkeys([text[i + 1 : j] for i, j in zip(ends, ends[k:])] or [text])
+    return np.frombuffer(b"".join([md5(x).digest() for x in distinct]), dtype=">u8").reshape(-1, 2)
+
+
+def _kernel(pairs: list[tuple[int, int]]) -> Callable[[np.ndarray], np.ndarray]:
+    """Digests below PRIME -> the minimum of every hash (a * x + b) mod PRIME over them. Works in two buffers of SLICE columns that fit a core's cache."""
+    a, b = (np.array(c, dtype=np.int64)[:, None] for c in zip(*pairs, strict=True))
+    x, y = (np.empty(len(pairs) * SLICE, np.int64) for _ in range(2))
+
+    def least(h: np.ndarray) -> np.ndarray:
+        out = np.full(len(pairs), PRIME, np.int64)
+        for i in range(0, len(h), SLICE):
+            g = h[i : i + SLICE]
+            u, v = x[: len(pairs) * len(g)], y[: len(pairs) * len(g)]
+            at = u.reshape(len(pairs), len(g))
+            np.multiply(a, g, out=at)
+            at += b
+            # mod 2^31 - 1 by adding high and low bits: as digests, a and b are below PRIME, the sum is below 2 * PRIME
+            np.right_shift(u, 31, out=v)
+            u &= PRIME
+            u += v
+            # either it or it less PRIME is the residue; a negative one becomes huge
+            np.subtract(u, PRIME, out=v)
+            v &= 2**63 - 1
+            np.minimum(u, v, out=u)
+            np.minimum(out, at.min(axis=1), out=out)
+        return out
+
+    return least
 
 
 def _residues(x: np.ndarray) -> np.ndarray:
@@ -104,18 +131,19 @@ def _residues(x: np.ndarray) -> np.ndarray:
     return np.where(x == PRIME, 0, x)
 
 
+def _hashed(words: str, k: int) -> np.ndarray:
+    """The distinct k-word shingles as the numbers that are hashed: the first 60 bits of their digests, below PRIME."""
+    return _residues((_digests(words, k)[:, 0] >> np.uint64(4)).astype(np.int64))
+
+
 def _minima(k: int, pairs: list[tuple[int, int]]):
     """Of each row, whose last column is t, the minimum of every hash over its shingles."""
-    a, b = (np.array(c, dtype=np.int64) for c in zip(*pairs, strict=True))
-
-    def least(h: np.ndarray) -> np.ndarray:
-        parts = (_residues(h[i : i + SLICE, None] * a + b) for i in range(0, len(h), SLICE))
-        return reduce(np.minimum, (x.min(axis=0) for x in parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = _kernel(pairs)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            sig = np.stack([least(((_digests(t, k)[:, 0] >> np.uint64(4)) % np.uint64(PRIME)).astype(np.int64)) for t in texts if t] or [np.empty(0, np.int64)])
+            sig = np.stack([least(_hashed(t, k)) for t in texts if t] or [np.empty(0, np.int64)])
             ends = np.cumsum([len(pairs) if t else 0 for t in texts], dtype=np.int32)
             offsets = pa.array(np.concatenate([np.zeros(1, np.int32), ends]), mask=np.array([*(not t for t in texts), False]))
             flat = pa.ListArray.from_arrays(offsets, pa.array(sig.ravel()))
@@ -125,7 +153,7 @@ def _minima(k: int, pairs: list[tuple[int, int]]):
 
 
 #: Shingles of a document that are hashed at once.
-SLICE = 1 << 10
+SLICE = 1 << 8
 
 
 def _halves(k: int):

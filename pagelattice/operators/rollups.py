@@ -2,25 +2,46 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
-from ..plans.stage import small, staged
-from .documents import _halves, _worded, signed
+from ..plans.stage import in_batches, small, staged
+from .documents import _halves, _hashed, _kernel, _worded, coefficients
 from .page_audit import parsed
 
 
+def _merged(k: int, pairs: list[tuple[int, int]]):
+    """Of each batch of (by, t): by, rows and the minimum of every hash over the shingles of all its texts, a shingle of a group hashed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = _kernel(pairs)
+        for batch in batches:
+            texts = defaultdict(list)
+            for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                texts[g].append(t)
+            sig = [least(np.unique(np.concatenate([_hashed(t, k) for t in set(x)]))) for x in texts.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.column(0).type), pa.array(list(map(len, texts.values())), pa.int64()), pa.array(sig, pa.list_(pa.int64()))], names=["by", "docs", "sig"])
+
+    return run
+
+
 def merged_signatures(docs: DataFrame, by: Column, k: int = 5, n: int = 256) -> DataFrame:
-    """by, docs (rows with words) and sig: the signature of all texts of a group as one set of shingles.
+    """by (a plain value), docs (rows with words) and sig: the signature of all texts of a group as one set of shingles.
 
-    A minimum over a group is the least of its texts' minima, so signatures are made a text at a time and merge in n partial minima, whatever the
+    A minimum over a group is the least of its parts' minima, so signatures are made of a batch's texts of the group at a time and merge in n partial minima, whatever the
     group's size. Null is a group of its own; rows without words are in none.
     """
-    s = signed(docs, by.alias("by"), k=k, n=n)
-    g = s.groupBy("by").agg(F.count("*").alias("docs"), *(F.min(F.get("sig", F.lit(i))).alias(f"m{i}") for i in range(n)))
+    d = _worded(docs, by.alias("by"))
+    s = in_batches(d, _merged(k, coefficients(n)), f"by {d.schema['by'].dataType.simpleString()}, docs long, sig array<long>")
+    g = s.groupBy("by").agg(F.sum("docs").alias("docs"), *(F.min(F.get("sig", F.lit(i))).alias(f"m{i}") for i in range(n)))
     return g.select("by", "docs", F.array(*(f"m{i}" for i in range(n))).alias("sig"))
 
 
