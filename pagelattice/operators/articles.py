@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..plans import dims
+from ..plans.stage import in_batches
 from .pages import json_ld, meta_first, metas, rules
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -141,7 +142,7 @@ def article_facts(pages: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_pylist([article_of(r["page_id"], r["url"] or "", r["html"] or "") for r in b.to_pylist()], schema=arrow)
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(parse, schema)
+    return in_batches(pages.select(F.col("page_id").cast("long"), "url", "html"), parse, schema)
 
 
 def article_findings(facts: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def _shingles(pages: DataFrame, k: int) -> DataFrame:
     """site, pattern, row (a number of the page, good within this frame), n (distinct shingles of the page), x and y (halves of a shingle's digest), a row a shingle."""
     t = pages.select(U.host(F.col("url")).alias("site"), pattern(F.col("url")).alias("pattern"), H.visible(F.coalesce("html", F.lit(""))).alias("text"), F.monotonically_increasing_id().alias("row"))
     # what names a page travels as one column of text
-    s = _worded(t, F.to_json(F.struct("site", "pattern", "row")).alias("source")).mapInArrow(_halves(k), "source string, x array<long>, y array<long>")
+    s = in_batches(_worded(t, F.to_json(F.struct("site", "pattern", "row")).alias("source")), _halves(k), "source string, x array<long>, y array<long>")
     s = s.select(F.from_json("source", "site string, pattern string, row long").alias("g"), F.size("x").alias("n"), F.arrays_zip("x", "y").alias("h"))
     return s.select("g.site", "g.pattern", "g.row", "n", F.explode("h").alias("h")).select("site", "pattern", "row", "n", "h.x", "h.y")
 

@@ -3,6 +3,7 @@
 import pyarrow as pa
 
 from pagelattice.operators import documents, rollups
+from pagelattice.plans.stage import BATCH_BYTES
 
 
 def test_minima_of_a_batch_of_sources_in_one_row_each():
@@ -13,3 +14,12 @@ def test_minima_of_a_batch_of_sources_in_one_row_each():
     (one,) = list(documents._minima(5, pairs)(iter([batch])))
     sig = one.column(1).to_pylist()
     assert out == [{"by": "x", "docs": 3, "sig": [min(v) for v in zip(sig[0], sig[1], sig[3])]}, {"by": None, "docs": 1, "sig": sig[2]}]
+
+
+def test_batches_of_pages_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = spark.createDataFrame([(1, "https://a.test/x/1", "one two")], "page_id long, url string, html string")
+    for make in (rollups.template_uniqueness,):
+        spark.conf.unset(name)
+        make(df)
+        assert int(spark.conf.get(name)) <= BATCH_BYTES
