@@ -1,5 +1,6 @@
 """What keeps time and memory of large tables in bounds: minima by a kernel, merged batches, bounded Arrow batches, parts evaluated once."""
 
+import numpy as np
 import pyarrow as pa
 
 from pagelattice.operators import documents, rollups
@@ -16,6 +17,14 @@ def test_minima_of_a_batch_of_sources_in_one_row_each():
     assert out == [{"by": "x", "docs": 3, "sig": [min(v) for v in zip(sig[0], sig[1], sig[3])]}, {"by": None, "docs": 1, "sig": sig[2]}]
 
 
+def test_kernel_against_whole_numbers():
+    p, rng = documents.PRIME, np.random.default_rng(5)
+    pairs = [(p - 1, p - 1), (1, 0), (1, p - 1), (p - 1, 1), *documents.coefficients(9)]
+    h = np.array([0, 1, 2, p - 2, p - 1, *rng.integers(0, p, 700)], dtype=np.int64)
+    for part in (h, h[:1], h[3:5], h[:256], h[:257]):
+        assert documents._kernel(pairs)(part).tolist() == [min((int(x) * a + b) % p for x in part) for a, b in pairs]
+
+
 def test_batches_of_pages_are_bounded(spark):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     df = spark.createDataFrame([(1, "https://a.test/x/1", "one two")], "page_id long, url string, html string")
