@@ -350,36 +350,44 @@ def long_sentences(docs: DataFrame, k: int = 5) -> DataFrame:
 CONJUNCTIONS = ("and", "but", "because", "which", "that", "while", "although", "however", "so")
 
 
-def _squared(tokens: Column, at: Column) -> Column:
-    first = F.regexp_replace(F.array_join(F.slice(tokens, 1, at), " "), r"[,;:.]+$", "")
-    rest = F.slice(tokens, at + 1, F.size(tokens))
+def _squared(head: Column, rest: Column) -> Column:
+    """Two sentences of the tokens before and after a cut."""
+    first = F.regexp_replace(F.array_join(head, " "), r"[,;:.]+$", "")
     drop = F.lower(F.regexp_replace(F.coalesce(F.get(rest, 0), F.lit("")), "[,;:]+", "")).isin(*CONJUNCTIONS)
     second = F.regexp_replace(F.array_join(F.when(drop, F.slice(rest, 2, F.size(rest))).otherwise(rest), " "), r"^[,;: ]+", "")
     up = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))
     return F.concat(up(first), F.lit(". "), up(second), F.lit("."))
 
 
-def _navigation(s: Column) -> Column:
-    """Whether a sentence is of a menu or a list rather than prose: a phrase of menus, two line breaks, no word, or 25 words and more of which over 85 % differ."""
-    w = F.filter(T.words(F.lower(s)), lambda x: x.rlike("^[a-z]+$"))
-    return F.lower(s).rlike("|".join(re.escape(p) for p in dims.MENU_PHRASES)) | (F.regexp_count(s, F.lit("\n")) >= 2) | (F.size(w) == 0) | ((F.size(w) >= 25) & (100 * F.size(F.array_distinct(w)) > 85 * F.size(w)))
+def _letter_words(s: Column) -> Column:
+    return F.filter(T.words(F.lower(s)), lambda x: x.rlike("^[a-z]+$"))
+
+
+def _navigation(s: Column, n: Column, distinct: Column) -> Column:
+    """Whether a sentence of n words is of a menu or a list rather than prose: a phrase of menus, two line breaks, no word, or 25 words and more of which over 85 % differ."""
+    return F.lower(s).rlike("|".join(re.escape(p) for p in dims.MENU_PHRASES)) | (F.regexp_count(s, F.lit("\n")) >= 2) | (n == 0) | ((n >= 25) & (100 * distinct > 85 * n))
 
 
 def sentence_rewrites(docs: DataFrame, longer: int = 25, best: int = 5, k: int = 3) -> DataFrame:
     """doc_id, rank and rewrite: of the ``best`` longest sentences of over ``longer`` words of ASCII letters (ties by place) the first ``k`` that are prose, split in two
     near the middle, at a comma or conjunction if one lies eight words from either end. Sentences of up to 22 tokens stay. All within a row.
     """
-    count = lambda s: F.size(F.filter(T.words(s), lambda w: w.rlike("^[a-zA-Z]+$")))
+    # words are cut only where length and runs of letters, which are words at most, leave room for so many
+    room = lambda s: (F.length(s) > 2 * longer) & (F.regexp_count(s, F.lit("[a-zA-Z]+")) > longer)
+    count = lambda s: F.when(room(s), F.size(F.filter(T.words(s), lambda w: w.rlike("^[a-zA-Z]+$")))).otherwise(0)
     d = docs.select("doc_id", T.sentences(F.col("text")).alias("s")).select("doc_id", F.transform("s", lambda s, i: F.struct((-count(s)).alias("n"), i.alias("i"), s.alias("s"))).alias("s"))
     d = d.select("doc_id", F.slice(F.array_sort(F.filter("s", lambda x: x["n"] < -longer)), 1, best).alias("s"))
-    d = d.select("doc_id", F.slice(F.filter("s", lambda x: ~_navigation(x["s"])), 1, k).alias("s"))
+    # what is used more than once is a column or a field of its own first: words of a sentence, the place to cut, both parts
+    d = d.select("doc_id", F.transform("s", lambda x: F.struct(x["s"].alias("s"), _letter_words(x["s"]).alias("w"))).alias("s"))
+    d = d.select("doc_id", F.transform("s", lambda x: F.struct(x["s"].alias("s"), F.size(x["w"]).alias("n"), F.size(F.array_distinct(x["w"])).alias("distinct"))).alias("s"))
+    d = d.select("doc_id", F.slice(F.filter("s", lambda x: ~_navigation(x["s"], x["n"], x["distinct"])), 1, k).alias("s"))
     s = d.select("doc_id", F.posexplode_outer("s").alias("pos", "s")).where("pos is not null").select("doc_id", (F.col("pos") + 1).cast("long").alias("rank"), F.trim("s.s").alias("sentence"))
-    s = s.withColumn("tok", F.split("sentence", r"\s+"))
-    mid = F.floor(F.size("tok") / 2).cast("int")
-    ends = F.transform("tok", lambda t, i: F.when(t.rlike("[,;:]$") | F.lower(F.regexp_replace(t, "[,;:]+", "")).isin(*CONJUNCTIONS), F.struct(F.abs(i - mid).alias("d"), i.alias("i"))))
-    point = F.array_min(F.filter(ends, lambda x: x.isNotNull()))["i"]
-    at = F.when(point.isNull() | (point < 8) | (point > F.size("tok") - 8), mid).otherwise(point)
-    return s.select("doc_id", "rank", F.when(F.size("tok") <= 22, F.col("sentence")).otherwise(_squared(F.col("tok"), at)).alias("rewrite"))
+    s = s.withColumn("tok", F.split("sentence", r"\s+")).withColumn("size", F.size("tok")).withColumn("mid", F.floor(F.col("size") / 2).cast("int"))
+    ends = F.transform("tok", lambda t, i: F.when(t.rlike("[,;:]$") | F.lower(F.regexp_replace(t, "[,;:]+", "")).isin(*CONJUNCTIONS), F.struct(F.abs(i - F.col("mid")).alias("d"), i.alias("i"))))
+    s = s.withColumn("point", F.when(F.col("size") > 22, F.array_min(F.filter(ends, lambda x: x.isNotNull()))["i"]))
+    s = s.withColumn("at", F.when(F.col("point").isNull() | (F.col("point") < 8) | (F.col("point") > F.col("size") - 8), F.col("mid")).otherwise(F.col("point")))
+    s = s.withColumns({"head": F.slice("tok", 1, F.col("at")), "rest": F.slice("tok", F.col("at") + 1, F.col("size"))})
+    return s.select("doc_id", "rank", F.when(F.col("size") <= 22, F.col("sentence")).otherwise(_squared(F.col("head"), F.col("rest"))).alias("rewrite"))
 
 
 def citable_passages(docs: DataFrame, low: int = 134, high: int = 167) -> DataFrame:

@@ -32,3 +32,9 @@ def test_batches_of_pages_are_bounded(spark):
         spark.conf.unset(name)
         make(df)
         assert int(spark.conf.get(name)) <= BATCH_BYTES
+
+
+def test_parts_of_a_rewrite_are_evaluated_once(spark):
+    df = documents.sentence_rewrites(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[,;:]$") == 1
