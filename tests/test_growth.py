@@ -28,7 +28,7 @@ def test_kernel_against_whole_numbers():
 def test_batches_of_pages_are_bounded(spark):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     df = spark.createDataFrame([(1, "https://a.test/x/1", "one two")], "page_id long, url string, html string")
-    for make in (rollups.template_uniqueness, rollups.template_audit):
+    for make in (rollups.vocabulary_rollup, rollups.template_uniqueness, rollups.template_audit):
         spark.conf.unset(name)
         make(df)
         assert int(spark.conf.get(name)) <= BATCH_BYTES
