@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import trimmed
+
 #: Elements whose content is no visible text of the page.
 CHROME = ("script", "style", "nav", "footer", "header", "aside")
 ATTR = r"""(?is)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -31,7 +33,7 @@ def elements(html: Column, name: str) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[ \t\r\n\f]+", " "))
+    return trimmed(F.regexp_replace(text, r"[ \t\r\n\f]+", " "))
 
 
 def decode(text: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
+#: What SQL's trim takes off: all space separators of Unicode, where Spark's trim takes the blank alone.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 #: Words that are no keywords.
 STOP_WORDS = (
@@ -27,9 +29,19 @@ def ascii_words(text: Column) -> Column:
     return F.filter(words(F.lower(text)), lambda w: w.rlike("^[a-z]+$"))
 
 
+def trimmed(x: Column) -> Column:
+    """x without blanks at its ends, as SQL trims."""
+    return F.btrim(x, F.lit(BLANKS))
+
+
+def solid(x: Column) -> Column:
+    """Whether ``trimmed`` leaves something of x."""
+    return x.rlike(f"[^{BLANKS}]")
+
+
 def normalised(text: Column) -> Column:
     """Lower case, trimmed, white space squeezed: the form in which exact copies are equal."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[ \t\r\n\f]+", " "))
+    return trimmed(F.regexp_replace(F.lower(text), r"[ \t\r\n\f]+", " "))
 
 
 def shingles(tokens: Column, k: int = 5) -> Column:
@@ -47,7 +59,7 @@ def grams(tokens: Column, n: int) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split after . ! or ? at white space."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])[ \t\r\n\f]+"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])[ \t\r\n\f]+"), lambda s: trimmed(s)), lambda s: s != "")
 
 
 def syllables_a(word: Column) -> Column:

@@ -259,8 +259,8 @@ def readability_a(docs: DataFrame) -> DataFrame:
 def readability_b(docs: DataFrame) -> DataFrame:
     """Second method: words with apostrophes and hyphens, sentences between runs of . ! ?."""
     w = F.regexp_extract_all("text", F.lit("[a-zA-Z'-]+"), F.lit(0))
-    s = F.filter(F.split("text", "[.!?]+"), lambda x: F.trim(x) != "")
-    d = docs.where(F.trim("text") != "").select("doc_id", F.greatest(F.lit(1), F.size(w)).cast("long").alias("words"), F.greatest(F.lit(1), F.size(s)).cast("long").alias("sentences"), T.total(F.transform(w, T.syllables_b)).cast("long").alias("syllables"))
+    s = F.filter(F.split("text", "[.!?]+"), T.solid)
+    d = docs.where(T.solid(F.col("text"))).select("doc_id", F.greatest(F.lit(1), F.size(w)).cast("long").alias("words"), F.greatest(F.lit(1), F.size(s)).cast("long").alias("sentences"), T.total(F.transform(w, T.syllables_b)).cast("long").alias("syllables"))
     n, m, y = (F.col(c).cast("double") for c in ("words", "sentences", "syllables"))
     d = d.withColumns({"reading_ease": T.reading_ease(n, m, y), "grade": T.reading_grade(n, m, y)})
     return d.withColumn("label", F.when(F.col("reading_ease") >= 70, "easy").when(F.col("reading_ease") >= 50, "medium").otherwise("difficult"))
@@ -381,7 +381,7 @@ def sentence_rewrites(docs: DataFrame, longer: int = 25, best: int = 5, k: int =
     d = d.select("doc_id", F.transform("s", lambda x: F.struct(x["s"].alias("s"), _letter_words(x["s"]).alias("w"))).alias("s"))
     d = d.select("doc_id", F.transform("s", lambda x: F.struct(x["s"].alias("s"), F.size(x["w"]).alias("n"), F.size(F.array_distinct(x["w"])).alias("distinct"))).alias("s"))
     d = d.select("doc_id", F.slice(F.filter("s", lambda x: ~_navigation(x["s"], x["n"], x["distinct"])), 1, k).alias("s"))
-    s = d.select("doc_id", F.posexplode_outer("s").alias("pos", "s")).where("pos is not null").select("doc_id", (F.col("pos") + 1).cast("long").alias("rank"), F.trim("s.s").alias("sentence"))
+    s = d.select("doc_id", F.posexplode_outer("s").alias("pos", "s")).where("pos is not null").select("doc_id", (F.col("pos") + 1).cast("long").alias("rank"), T.trimmed(F.col("s.s")).alias("sentence"))
     s = s.withColumn("tok", F.split("sentence", r"\s+")).withColumn("size", F.size("tok")).withColumn("mid", F.floor(F.col("size") / 2).cast("int"))
     ends = F.transform("tok", lambda t, i: F.when(t.rlike("[,;:]$") | F.lower(F.regexp_replace(t, "[,;:]+", "")).isin(*CONJUNCTIONS), F.struct(F.abs(i - F.col("mid")).alias("d"), i.alias("i"))))
     s = s.withColumn("point", F.when(F.col("size") > 22, F.array_min(F.filter(ends, lambda x: x.isNotNull()))["i"]))
