@@ -56,15 +56,17 @@ def shingles(lines: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
     return values, offsets
 
 
-def _spans(lines: list[str]):
-    a, held = 0, 0
-    for i, x in enumerate(lines):
-        held += len(x)
-        if held > CHUNK:
-            yield a, i + 1
-            a, held = i + 1, 0
-    if a < len(lines):
-        yield a, len(lines)
+def _chunks(lines: list[str]):
+    """Places of the lines in chunks of about CHUNK characters, in order of length: lines of one length fill their sketches in as many rounds, so that few short ones don't keep a chunk going."""
+    size = np.array([len(x) for x in lines], np.int64)
+    order = np.argsort(size, kind="stable")
+    if len(order):
+        yield from np.split(order, np.flatnonzero(np.diff(np.cumsum(size[order]) // CHUNK)) + 1)
+
+
+def _solid(line):
+    """Whether a line is not blank; told by the first character where it can be."""
+    return (F.ascii(line) > 32) | (F.btrim(line, F.lit(ENDS)) != "")
 
 
 def _first_hash():
@@ -74,8 +76,11 @@ def _first_hash():
 def _split(docs: DataFrame, *keep, bad: DataFrame | None = None) -> DataFrame:
     """(keep, pos, fp, fp2, line) of lines that are not blank, as they are compared; ids in ``bad`` are replaced by the second hash."""
     # the outer form: else the optimizer would split once more to filter on the number of lines
-    d = docs.select(*keep, F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", F.lower(F.btrim("line", F.lit(ENDS))))
-    d = d.where("line <> ''").withColumns({"fp": _first_hash(), "fp2": F.xxhash64(F.lit(1), "line")})
+    d = docs.select(*keep, F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line"))
+    # a filter on the line as it is compared would make that line once more for every row; most lines have no blank at their ends
+    ends = (F.ascii("line") <= 32) | (F.ascii(F.right("line", F.lit(1))) <= 32)
+    d = d.where(_solid(F.col("line"))).withColumn("line", F.lower(F.when(ends, F.btrim("line", F.lit(ENDS))).otherwise(F.col("line"))))
+    d = d.withColumns({"fp": _first_hash(), "fp2": F.xxhash64(F.lit(1), "line")})
     if bad is not None:
         d = d.join(checked_broadcast(bad.withColumn("_bad", F.lit(True))), "fp", "left").withColumn("fp", F.when(F.col("_bad"), F.col("fp2")).otherwise(F.col("fp"))).drop("_bad")
     return d
@@ -89,8 +94,8 @@ def buckets(lines: DataFrame, places: int, k: int = K, n_bands: int = BANDS, row
         for b in batches:
             b = b.take(pa.array(fresh(b.column("fp").to_numpy(), seen)))
             text, fp = b.column("line").to_pylist(), b.column("fp").to_numpy()
-            for lo, hi in _spans(text):
-                yield fp[lo:hi], bands(sketch(*shingles(text[lo:hi], k), n_bands * rows), rows)
+            for at in _chunks(text):
+                yield fp[at], bands(sketch(*shingles([text[i] for i in at.tolist()], k), n_bands * rows), rows)
 
     return lines.select("fp", "line").mapInArrow(lambda batches: packs(keys(batches), places), PACKED)
 
@@ -154,7 +159,9 @@ def dropped(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
         def run(batches):
             for b in batches:
                 if b.num_rows:
-                    made = short(sketch(*shingles([t.decode("utf-8", "replace") for t in b.column("payload").to_pylist()], k), BANDS * ROWS))
+                    text, made = [t.decode("utf-8", "replace") for t in b.column("payload").to_pylist()], np.empty((b.num_rows, BANDS * ROWS), np.uint8)
+                    for at in _chunks(text):
+                        made[at] = short(sketch(*shingles([text[i] for i in at.tolist()], k), BANDS * ROWS))
                     yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array([r.tobytes() for r in made], pa.binary())], names=["fp", "sk"])
 
         return sets.select("fp", "payload").mapInArrow(run, "fp long, sk binary")
@@ -185,6 +192,6 @@ def deduplicated(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFra
     # places that stay by a hashed difference, so that documents of very many lines take linear time
     d = d.withColumn("_parts", F.split("text", "\n", -1)).withColumn("_stay", F.when(F.col("_drop").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), "_drop")))
     left = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_stay", lambda i: F.get("_parts", i)), "\n"))
-    count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.filter("_parts", lambda x: F.btrim(x, F.lit(ENDS)) != ""))).cast("long")
+    count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.filter("_parts", _solid))).cast("long")
     back = [left.alias("text") if c == "text" else F.col(names[c]).alias(c) for c in kept]
     return d.select(*back, count.alias("n_lines"), F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop")).cast("long").alias("n_dropped"))

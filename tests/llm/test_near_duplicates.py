@@ -217,3 +217,25 @@ def test_components_of_many_tasks(spark, monkeypatch):
     got = dict(map(tuple, common.components(spark.createDataFrame(edges, "u long, v long").repartition(9)).collect()))
     label = common.forest(2300, *np.array(edges).T)
     assert got == {x: int(label[x]) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_lines_of_one_length_are_sketched_together(monkeypatch):
+    """Lines in order of length, all of them once, with the sketches that each has alone; a chunk's rounds are those of its own lines."""
+    monkeypatch.setattr(line_dedup, "CHUNK", 300)
+    lines = ["".join(chr(97 + (i * j * j) % 26) for j in range(n)) for i, n in enumerate([3, 200, 7, 90, 400, 1, 8, 200, 60])]
+    chunks = list(line_dedup._chunks(lines))
+    assert sorted(np.concatenate(chunks).tolist()) == list(range(len(lines))) and len(chunks) > 2
+    sizes = [len(lines[i]) for c in chunks for i in c]
+    assert sizes == sorted(sizes) and not list(line_dedup._chunks([]))
+    alone = [sketch.sketch(*line_dedup.shingles([x]), 168)[0] for x in lines]
+    for c in chunks:
+        assert (sketch.sketch(*line_dedup.shingles([lines[i] for i in c]), 168) == np.stack([alone[i] for i in c])).all()
+
+
+def test_blank_lines_and_ends(spark):
+    """What is a blank at a line's ends, next to characters that look like one."""
+    lines = [" ", "\t\x0b", "\x0c", "", " one line ", "\tone line", "one line\r", "\x1fone line", "\u00a0one line", "one line\u00a0", "é ", "É"]
+    d = spark.createDataFrame([(1, "\n".join(lines), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    r = line_dedup._split(d, "doc_id").orderBy("pos").collect()
+    assert [x.line for x in r] == [y for y in (x.strip(line_dedup.ENDS).lower() for x in lines) if y]
+    assert line_dedup.deduplicated(d).first().n_lines == len(r)
