@@ -8,6 +8,9 @@ first line by document and place stays, whatever the number of its copies; blank
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,9 +67,13 @@ def _chunks(lines: list[str]):
         yield from np.split(order, np.flatnonzero(np.diff(np.cumsum(size[order]) // CHUNK)) + 1)
 
 
+def _starts(line):
+    return reduce(or_, (line.startswith(c) for c in ENDS))
+
+
 def _solid(line):
     """Whether a line is not blank; told by the first character where it can be."""
-    return (F.ascii(line) > 32) | (F.btrim(line, F.lit(ENDS)) != "")
+    return ((line != "") & ~_starts(line)) | (F.btrim(line, F.lit(ENDS)) != "")
 
 
 def _first_hash():
@@ -78,7 +85,7 @@ def _split(docs: DataFrame, *keep, bad: DataFrame | None = None) -> DataFrame:
     # the outer form: else the optimizer would split once more to filter on the number of lines
     d = docs.select(*keep, F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line"))
     # a filter on the line as it is compared would make that line once more for every row; most lines have no blank at their ends
-    ends = (F.ascii("line") <= 32) | (F.ascii(F.right("line", F.lit(1))) <= 32)
+    ends = _starts(F.col("line")) | reduce(or_, (F.col("line").endswith(c) for c in ENDS))
     d = d.where(_solid(F.col("line"))).withColumn("line", F.lower(F.when(ends, F.btrim("line", F.lit(ENDS))).otherwise(F.col("line"))))
     d = d.withColumns({"fp": _first_hash(), "fp2": F.xxhash64(F.lit(1), "line")})
     if bad is not None:

@@ -91,7 +91,8 @@ def sketch(values: np.ndarray, offsets: np.ndarray, t: int) -> np.ndarray:
     flat = out.reshape(-1)
     live = np.flatnonzero(n)
     out[n == 0] = 0
-    x, at = values, np.repeat(np.arange(len(n)) * t, n)
+    x, size = values, n[live]
+    at = np.repeat(live * t, size)
     odd = mix(np.arange(1, 2 * t + 1, dtype=np.uint64) * STEP) | np.uint64(1)
     for i in range(2 * t):
         if not len(live):
@@ -109,12 +110,10 @@ def sketch(values: np.ndarray, offsets: np.ndarray, t: int) -> np.ndarray:
         h >>= np.uint64(10)
         h |= np.uint64(i) << np.uint64(54)
         np.minimum.at(flat, place, h)
-        unfilled = (out[live] == void).any(axis=1)
+        unfilled = out[live].max(axis=1) == void
         if not unfilled.all():
-            live = live[unfilled]
-            stay = np.zeros(len(n), bool)
-            stay[live] = True
-            keep = stay[at // t]
+            keep = np.repeat(unfilled, size)
+            live, size = live[unfilled], size[unfilled]
             x, at = x[keep], at[keep]
     return out
 
