@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +17,11 @@ from ..functions import text as T
 from ..plans import dims
 from ..plans.stage import in_batches, small, staged
 
+try:  # Python's own: half the time of OpenSSL's for texts as short as shingles
+    from _md5 import md5
+except ImportError:
+    from hashlib import md5
+
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """Groups of equal normalised texts: digest, docs, first_id."""
@@ -60,9 +65,10 @@ def signatures(docs: DataFrame, k: int = 5, n: int = 100, seeded_md5: bool = Fal
 
 def signed(docs: DataFrame, *keep: Column, k: int = 5, n: int = 100, all_rows: bool = False) -> DataFrame:
     """Columns ``keep`` and sig, the minima, of every row that has words (null for others with ``all_rows``); rows that share an id stay rows of their own."""
-    d = _worded(docs, *keep, all_rows=all_rows)
+    d = _joined(docs, *keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
-    return in_batches(d, _minima(k, coefficients(n)), f"{kept}, sig array<long>")
+    s = in_batches(d, _minima(k, coefficients(n)), f"{kept}, sig array<long>")
+    return s if all_rows else s.where("sig is not null")
 
 
 def band_keys(sig: Column, threshold: float, n: int = 100, bands: int = 20) -> Column:
@@ -80,13 +86,29 @@ def band_keys(sig: Column, threshold: float, n: int = 100, bands: int = 20) -> C
     if shared == 1:
         return F.array(*(F.xxhash64(F.lit(b), *places(b)) for b in range(bands)))
     groups = [list(range(g, bands, shared - 1)) for g in range(shared - 1)]
-    return F.array(*(F.xxhash64(F.lit(x * bands + y), *places(x), *places(y)) for g in groups for i, x in enumerate(g) for y in g[i + 1 :]))
+    # a band is hashed once, not for each of its pairs
+    pairs = lambda h: F.array(*(F.xxhash64(F.lit(x * bands + y), F.get(h, x), F.get(h, y)) for g in groups for i, x in enumerate(g) for y in g[i + 1 :]))
+    return F.get(F.transform(F.array(F.array(*(F.xxhash64(F.lit(b), *places(b)) for b in range(bands)))), pairs), 0)
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """Rows (node, key) of the keys that several rows have; of keys that the same nodes have, of one alone."""
+    sums = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x")).where("n > 1")
+    once = staged(sums.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key"))
+    return staged(keys.join(small(once, 1_000_000), "key"))
+
 
+def _joined(docs: DataFrame, *keep: Column) -> DataFrame:
+    """Columns ``keep`` and t, the words parted by blanks, '' without words.
+
+    Rows without words are left out where batches are read (``_worded``): a filter on t here is pushed below, and the words are cut twice.
+    """
+    return docs.select(*keep, F.coalesce(F.array_join(T.ascii_words(F.col("text")), " "), F.lit("")).alias("t"))
 
-def _worded(docs: DataFrame, *keep: Column, all_rows: bool = False) -> DataFrame:
-    """Columns ``keep`` and t, the words parted by blanks, of rows that have words."""
-    d = docs.select(*keep, F.coalesce(F.array_join(T.ascii_words(F.col("text")), " "), F.lit("")).alias("t"))
-    return d if all_rows else d.where("t <> ''")
+
+def _worded(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows of a batch whose last column, t, has words."""
+    return batch.filter(pc.not_equal(batch.column(batch.num_columns - 1), ""))
 
 
 def _digests(words: str, k: int) -> np.ndarray:
@@ -160,7 +182,7 @@ def _halves(k: int):
     """Of each row of (source, t) the shingles' digests as two lists of longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(_worded, batches):
             d = [_digests(t, k).astype(np.uint64).view(np.int64) for t in batch.column(1).to_pylist()]
             offsets = pa.array(np.cumsum([0, *map(len, d)]), pa.int32())
             flat = np.concatenate(d) if d else np.empty((0, 2), np.int64)
@@ -190,13 +212,13 @@ def near_pairs(docs: DataFrame, threshold: float = 0.85, k: int = 5, n: int = 10
     a member with another text than its class's id is paired with that id alone. So a class of m copies gives m - 1 rows at most,
     and copies of one text (see ``exact_groups``) none.
 
-    Lossless: candidates come from an equi join on ``band_keys``, of one row a class. Rows that share an id are documents of their own.
+    Lossless: candidates come from an equi join on ``band_keys``, of one row a class, over the keys that are shared. Rows that share an id are documents of their own.
     """
     sig = signed(docs, F.col("doc_id"), F.sha2(T.normalised(F.col("text")), 256).alias("exact"), k=k, n=n)
     sig = staged(sig.withColumn("digest", F.md5(F.array_join(F.col("sig").cast("array<string>"), ",").cast("binary"))))
     one = staged(sig.groupBy("digest").agg(F.min(F.struct("doc_id", "exact", "sig")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), F.col("r.exact").alias("rep_exact"), "r.sig"))
-    keys = one.select("rep", F.explode(band_keys(F.col("sig"), threshold, n, bands)).alias("key"))
-    x, y = keys.select(F.col("rep").alias("a"), "key"), keys.select(F.col("rep").alias("b"), "key")
+    keys = shared_keys(one.select(F.col("rep").alias("node"), F.explode(band_keys(F.col("sig"), threshold, n, bands)).alias("key")))
+    x, y = keys.select(F.col("node").alias("a"), "key"), keys.select(F.col("node").alias("b"), "key")
     cand = x.join(y, "key").where("a < b").select("a", "b").distinct()
     agree = F.size(F.filter(F.zip_with("sx", "sy", lambda p, q: p == q), lambda z: z)) / F.lit(float(n))
     sides = cand.join(one.select(F.col("rep").alias("a"), F.col("sig").alias("sx")), "a").join(one.select(F.col("rep").alias("b"), F.col("sig").alias("sy")), "b")
@@ -207,7 +229,7 @@ def near_pairs(docs: DataFrame, threshold: float = 0.85, k: int = 5, n: int = 10
 
 def _source_shingles(docs: DataFrame, k: int) -> DataFrame:
     """source, n (distinct shingles of the document), x and y (halves of a shingle's digest), a row a shingle of documents that have words."""
-    s = in_batches(_worded(docs, F.col("source")), _halves(k), "source string, x array<long>, y array<long>")
+    s = in_batches(_joined(docs, F.col("source")), _halves(k), "source string, x array<long>, y array<long>")
     return s.select("source", F.size("x").alias("n"), F.explode(F.arrays_zip("x", "y")).alias("h")).select("source", "n", "h.x", "h.y")
 
 

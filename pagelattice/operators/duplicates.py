@@ -16,7 +16,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..plans.components import connected
 from ..plans.stage import staged
-from .documents import band_keys, signed
+from .documents import band_keys, shared_keys, signed
 
 #: Nodes of a block.
 BLOCK = 512
@@ -67,9 +67,7 @@ def near_components(nodes: DataFrame, threshold: float = 0.85, n: int = 100, ban
     nodes = staged(nodes)
     most = int((1 - threshold) * n + 1e-9)
     keys = nodes.select("node", F.explode(band_keys(F.col("sig"), threshold, n, bands)).alias("key"))
-    sums = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x")).where("n > 1")
-    once = sums.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key")  # keys of the same nodes are one
-    members = staged(keys.join(once, "key"))
+    members = shared_keys(keys)
     first = staged(_stars(members, nodes, most, n))
     found = connected(first)
     c = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))

@@ -14,7 +14,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
 from ..plans.stage import in_batches, small, staged
-from .documents import _halves, _hashed, _kernel, _worded, coefficients
+from .documents import _halves, _hashed, _joined, _kernel, _worded, coefficients
 from .page_audit import parsed
 
 
@@ -23,7 +23,7 @@ def _merged(k: int, pairs: list[tuple[int, int]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = _kernel(pairs)
-        for batch in batches:
+        for batch in map(_worded, batches):
             texts = defaultdict(list)
             for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 texts[g].append(t)
@@ -39,7 +39,7 @@ def merged_signatures(docs: DataFrame, by: Column, k: int = 5, n: int = 256) ->
     A minimum over a group is the least of its parts' minima, so signatures are made of a batch's texts of the group at a time and merge in n partial minima, whatever the
     group's size. Null is a group of its own; rows without words are in none.
     """
-    d = _worded(docs, by.alias("by"))
+    d = _joined(docs, by.alias("by"))
     s = in_batches(d, _merged(k, coefficients(n)), f"by {d.schema['by'].dataType.simpleString()}, docs long, sig array<long>")
     g = s.groupBy("by").agg(F.sum("docs").alias("docs"), *(F.min(F.get("sig", F.lit(i))).alias(f"m{i}") for i in range(n)))
     return g.select("by", "docs", F.array(*(f"m{i}" for i in range(n))).alias("sig"))
@@ -66,7 +66,7 @@ def _shingles(pages: DataFrame, k: int) -> DataFrame:
     """site, pattern, row (a number of the page, good within this frame), n (distinct shingles of the page), x and y (halves of a shingle's digest), a row a shingle."""
     t = pages.select(U.host(F.col("url")).alias("site"), pattern(F.col("url")).alias("pattern"), H.visible(F.coalesce("html", F.lit(""))).alias("text"), F.monotonically_increasing_id().alias("row"))
     # what names a page travels as one column of text
-    s = in_batches(_worded(t, F.to_json(F.struct("site", "pattern", "row")).alias("source")), _halves(k), "source string, x array<long>, y array<long>")
+    s = in_batches(_joined(t, F.to_json(F.struct("site", "pattern", "row")).alias("source")), _halves(k), "source string, x array<long>, y array<long>")
     s = s.select(F.from_json("source", "site string, pattern string, row long").alias("g"), F.size("x").alias("n"), F.arrays_zip("x", "y").alias("h"))
     return s.select("g.site", "g.pattern", "g.row", "n", F.explode("h").alias("h")).select("site", "pattern", "row", "n", "h.x", "h.y")
 

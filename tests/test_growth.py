@@ -38,3 +38,17 @@ def test_parts_of_a_rewrite_are_evaluated_once(spark):
     df = documents.sentence_rewrites(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[,;:]$") == 1
+
+
+def test_words_are_cut_once(spark):
+    docs = spark.createDataFrame([(1, "s", "one two"), (2, "s", "12 34"), (3, "s", None)], "doc_id long, source string, text string")
+    for df in (documents.signed(docs, docs["doc_id"]), rollups.merged_signatures(docs, docs["doc_id"]), documents._source_shingles(docs, 5)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+        assert df.count() == 1
+    assert documents.signed(docs, docs["doc_id"], all_rows=True).where("sig is null").count() == 2
+
+
+def test_keys_that_one_node_has_are_not_joined(spark):
+    rows = [("a", 1), ("b", 1), ("a", 2), ("b", 2), ("c", 3), ("a", 4), ("c", 4), ("d", 5), ("d", 5)]
+    got = documents.shared_keys(spark.createDataFrame(rows, "node string, key long")).select("key", "node").collect()
+    assert sorted(map(tuple, got)) == [(1, "a"), (1, "b"), (4, "a"), (4, "c"), (5, "d"), (5, "d")]
