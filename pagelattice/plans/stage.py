@@ -32,7 +32,7 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 #: Most bytes of an Arrow batch of whole texts, as far as one row isn't larger.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def in_batches(df: DataFrame, f: Callable, schema: str) -> DataFrame:

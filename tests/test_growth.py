@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from pagelattice.operators import documents, rollups
-from pagelattice.plans.stage import BATCH_BYTES
+from pagelattice.plans.stage import BATCH_BYTES, in_batches
 
 
 def test_minima_of_a_batch_of_sources_in_one_row_each():
@@ -34,6 +34,15 @@ def test_batches_of_pages_are_bounded(spark):
         assert int(spark.conf.get(name)) <= BATCH_BYTES
 
 
+def test_a_batch_has_a_megabyte(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["bytes", "rows"])
+
+    rows = in_batches(spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 1000) AS t"), sizes, "bytes long, rows long").collect()
+    assert sum(r.rows for r in rows) == 3000 and max(r.bytes for r in rows) < 2 << 20
+
+
 def test_parts_of_a_rewrite_are_evaluated_once(spark):
     df = documents.sentence_rewrites(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
